@@ -77,11 +77,20 @@ ALERT_SCHEMA = T.StructType(
 USAGE_COLUMNS = USAGE_SCHEMA.fieldNames()
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """File system and path object of ``path``, by the scheme it names."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), found
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` exists on the file system its scheme names."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return fs.exists(hadoop_path)
+    fs, found = hadoop_path(spark, path)
+    return fs.exists(found)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, found = hadoop_path(spark, path)
+    return fs.exists(found) and fs.getFileStatus(found).isDirectory()
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

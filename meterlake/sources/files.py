@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterlake.schema import MANIFEST_SCHEMA, path_exists, read_or_empty
+from meterlake.schema import MANIFEST_SCHEMA, hadoop_path, path_exists, read_or_empty
 from meterlake.staging import stage
 
 # Files up to this size are read as one row each, which numbers their lines
@@ -158,7 +158,6 @@ def matches_any(spark: SparkSession, pattern: str) -> bool:
     """Whether a glob pattern matches at least one path."""
     if not any(c in pattern for c in "*?[{"):
         return path_exists(spark, pattern)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    found = fs.globStatus(hadoop_path)
+    fs, globbed = hadoop_path(spark, pattern)
+    found = fs.globStatus(globbed)
     return found is not None and len(found) > 0

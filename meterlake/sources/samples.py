@@ -150,14 +150,16 @@ def api_calls(events: DataFrame) -> DataFrame:
     )
     number = F.col("event_uid").cast("bigint")
     identity = F.when(number % 5 != 0, F.concat(F.lit("r"), F.col("event_uid")))
-    return events.where(F.col("source") == labels.API).select(
+    logged = events.where(F.col("source") == labels.API).select(
         F.to_json(F.struct(identity.alias("id"), "model", usage.alias("usage"))).alias("response"),
         "project",
         "is_batch",
         "cache_ttl",
         F.col("ts").alias("logged_at"),
-        F.posexplode(F.array(F.col("event_uid"), F.col("event_uid"))).alias("copy", "number"),
-    ).withColumn("location", F.concat_ws(":", "number", "copy")).drop("copy", "number")
+        "event_uid",
+    )
+    copies = logged.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    return copies.withColumn("location", F.concat_ws(":", "event_uid", "copy")).drop("copy", "event_uid")
 
 
 def report_pages(events: DataFrame) -> DataFrame:
