@@ -38,11 +38,11 @@ class UnitRates(NamedTuple):
     cache_write_1h: Column
 
 
-def unit_rates(input_rate: Column, output_rate: Column, modifiers: Modifiers, is_batch: Column) -> UnitRates:
-    discount = F.when(is_batch, F.lit(modifiers.batch)).otherwise(F.lit(Decimal(1)))
+def unit_rates(input_rate: Column, output_rate: Column, modifiers: Modifiers, batch: bool) -> UnitRates:
+    discount = modifiers.batch if batch else Decimal(1)
 
     def rate(base: Column, factor: Decimal) -> Column:
-        return (base * F.lit(factor) * discount).cast(UNIT_RATE)
+        return (base * F.lit(factor * discount)).cast(UNIT_RATE)
 
     return UnitRates(
         rate(input_rate, Decimal(1)),
@@ -53,6 +53,10 @@ def unit_rates(input_rate: Column, output_rate: Column, modifiers: Modifiers, is
     )
 
 
+def rates_for(is_batch: Column, batched: UnitRates, direct: UnitRates) -> UnitRates:
+    return UnitRates(*[F.when(is_batch, b).otherwise(d) for b, d in zip(batched, direct)])
+
+
 def cost_usd(rates: UnitRates) -> Column:
     """Dollars of one event, rounded to six places; NULL beyond ``DECIMAL(18,6)``."""
 

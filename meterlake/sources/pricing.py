@@ -52,32 +52,9 @@ class PriceTable:
         return None if row is None else (row.input_rate, row.output_rate)
 
 
-def _checked(rates: DataFrame, modifiers: Modifiers, fallback_model: str | None, updated) -> PriceTable:
-    fallback_row = F.max(
-        F.when(F.col("model") == fallback_model, F.struct("input_rate", "output_rate"))
-    )
-    facts = rates.agg(
-        F.count(F.lit(1)).alias("models"),
-        F.count_if(
-            F.col("input_rate").isNull()
-            | F.col("output_rate").isNull()
-            | (F.col("input_rate") < 0)
-            | (F.col("output_rate") < 0)
-        ).alias("bad"),
-        fallback_row.alias("fallback"),
-    ).first()
-    if facts.models == 0:
-        raise PricingError("the price table has no models")
-    if facts.bad:
-        raise PricingError(f"{facts.bad} models have a missing or negative rate")
+def _check_modifiers(modifiers: Modifiers) -> None:
     if any(m is None or m < 0 for m in modifiers):
         raise PricingError("a price modifier is missing or negative")
-    if facts.fallback is None:
-        raise PricingError("fallback_model must name a model in the price table")
-    return PriceTable(
-        rates, facts.models, modifiers, fallback_model,
-        facts.fallback.input_rate, facts.fallback.output_rate, updated,
-    )
 
 
 def load_pricing(spark: SparkSession, path: str) -> PriceTable:
@@ -86,12 +63,28 @@ def load_pricing(spark: SparkSession, path: str) -> PriceTable:
     head = raw.select("updated", "modifiers", "fallback_model").first()
     if head is None or head.modifiers is None:
         raise PricingError(f"no price table in {path}")
+    modifiers = Modifiers(*head.modifiers)
+    _check_modifiers(modifiers)
     rates = raw.select(F.explode("models").alias("model", "rate")).select(
         "model",
         F.col("rate.input").alias("input_rate"),
         F.col("rate.output").alias("output_rate"),
     )
-    return _checked(rates, Modifiers(*head.modifiers), head.fallback_model, head.updated)
+    is_fallback = F.col("model") == F.lit(head.fallback_model)
+    facts = rates.agg(
+        F.count(F.lit(1)).alias("models"),
+        F.count_if(
+            ~F.coalesce((F.col("input_rate") >= 0) & (F.col("output_rate") >= 0), F.lit(False))
+        ).alias("bad"),
+        F.max(F.when(is_fallback, F.struct("input_rate", "output_rate"))).alias("fallback"),
+    ).first()
+    if facts.models == 0:
+        raise PricingError("the price table has no models")
+    if facts.bad:
+        raise PricingError(f"{facts.bad} models have a missing or negative rate")
+    if facts.fallback is None:
+        raise PricingError("fallback_model must name a model in the price table")
+    return PriceTable(rates, facts.models, modifiers, head.fallback_model, *facts.fallback, head.updated)
 
 
 def price_table(
@@ -101,29 +94,52 @@ def price_table(
     fallback_model: str,
     updated: dt.date | None = None,
 ) -> PriceTable:
-    """A price table from values in the program."""
-    rows = pa.table(
-        {
-            "model": list(models),
-            "input_rate": [None if r[0] is None else str(r[0]) for r in models.values()],
-            "output_rate": [None if r[1] is None else str(r[1]) for r in models.values()],
-        },
-        schema=pa.schema([("model", pa.string()), ("input_rate", pa.string()), ("output_rate", pa.string())]),
-    )
-    rates = spark.createDataFrame(rows).select(
+    """A price table from values in the program: model to input and output rate."""
+    modifiers = Modifiers(*[None if m is None else Decimal(str(m)) for m in modifiers])
+    _check_modifiers(modifiers)
+    rates = {model: [None if r is None else Decimal(str(r)) for r in pair] for model, pair in models.items()}
+    if not rates:
+        raise PricingError("the price table has no models")
+    bad = [model for model, pair in rates.items() if any(r is None or r < 0 for r in pair)]
+    if bad:
+        raise PricingError(f"models with a missing or negative rate: {bad}")
+    if fallback_model not in rates:
+        raise PricingError("fallback_model must name a model in the price table")
+    columns = {"model": list(rates)} | {
+        name: [str(pair[i]) for pair in rates.values()] for i, name in enumerate(("input_rate", "output_rate"))
+    }
+    table = spark.createDataFrame(pa.table(columns)).select(
         "model", F.col("input_rate").cast(RATE), F.col("output_rate").cast(RATE)
     )
-    return _checked(rates, Modifiers(*map(Decimal, modifiers)), fallback_model, updated)
+    return PriceTable(table, len(rates), modifiers, fallback_model, *rates[fallback_model], updated)
 
 
-def event_rates(prices: PriceTable) -> UnitRates:
-    """Unit rates of the joined row; the fallback's where the model has none."""
-    return money.unit_rates(
-        F.coalesce(F.col("input_rate"), F.lit(prices.fallback_input).cast(RATE)),
-        F.coalesce(F.col("output_rate"), F.lit(prices.fallback_output).cast(RATE)),
-        prices.modifiers,
-        F.col("is_batch"),
+def _literal_rates(prices: PriceTable, input_rate: Decimal, output_rate: Decimal) -> UnitRates:
+    """Unit rates of one known model, chosen by each event's batch flag."""
+    direct, batched = (
+        money.unit_rates(F.lit(input_rate).cast(RATE), F.lit(output_rate).cast(RATE), prices.modifiers, batch)
+        for batch in (False, True)
     )
+    return money.rates_for(F.col("is_batch"), batched, direct)
+
+
+def _unit_rate_table(prices: PriceTable) -> DataFrame:
+    """Two rows per model, for direct and for batch calls, with all factors multiplied in."""
+    sides = [
+        prices.rates.select(
+            F.col("model").alias("rate_model"),
+            F.lit(batch).alias("rate_batch"),
+            *[
+                rate.alias(f"rate_{kind}")
+                for kind, rate in money.unit_rates(
+                    F.col("input_rate"), F.col("output_rate"), prices.modifiers, batch
+                )._asdict().items()
+            ],
+        )
+        for batch in (False, True)
+    ]
+    table = sides[0].unionAll(sides[1])
+    return F.broadcast(table) if prices.model_count <= BROADCAST_MODELS else table
 
 
 def price(events: DataFrame, prices: PriceTable, model: str = "model") -> DataFrame:
@@ -132,25 +148,21 @@ def price(events: DataFrame, prices: PriceTable, model: str = "model") -> DataFr
     ``model`` names the column to price by: the reported name, which may be null
     or unknown and is then priced as the fallback model.
     """
-    rates = prices.joinable_rates().withColumnRenamed("model", "rate_model")
-    joined = events.join(rates, F.col(model) == F.col("rate_model"), "left")
-    return joined.withColumns(
-        {
-            "known_model": F.col("rate_model").isNotNull(),
-            "cost_usd": money.cost_usd(event_rates(prices)),
-        }
-    ).drop("rate_model", "input_rate", "output_rate")
+    table = _unit_rate_table(prices)
+    same = (F.col(model) == F.col("rate_model")) & (F.col("is_batch") == F.col("rate_batch"))
+    fallback = _literal_rates(prices, prices.fallback_input, prices.fallback_output)
+    rates = UnitRates(
+        *[F.coalesce(F.col(f"rate_{kind}"), rate) for kind, rate in fallback._asdict().items()]
+    )
+    return events.join(table, same, "left").withColumns(
+        {"known_model": F.col("rate_model").isNotNull(), "cost_usd": money.cost_usd(rates)}
+    ).drop(*table.columns)
 
 
 def cost_at(prices: PriceTable, model: str) -> Column | None:
     """Cost of each event had it run on ``model``; None when that has no rates."""
     found = prices.rates_of(model)
-    if found is None:
-        return None
-    rates = money.unit_rates(
-        F.lit(found[0]).cast(RATE), F.lit(found[1]).cast(RATE), prices.modifiers, F.col("is_batch")
-    )
-    return money.cost_usd(rates)
+    return None if found is None else money.cost_usd(_literal_rates(prices, *found))
 
 
 def is_stale(updated: Column, now: dt.datetime, days: int = 30) -> Column:
