@@ -18,6 +18,8 @@ from meterlake.sources.budgets import DEFAULT_FRACTIONS
 from meterlake.sources.pricing import PriceTable
 from meterlake.staging import new_staging_path, stage
 
+LANDED_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
 
 def read_table_stream(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table, a folder or a single file, as a stream of its files."""
@@ -127,6 +129,7 @@ def ingest_stream(
     """
     landed = (
         store.spark.readStream.format("binaryFile")
+        .schema(LANDED_FILE_SCHEMA)
         .load(source.pattern)
         .select(F.col("_metadata.file_path").alias("file_path"), "length", F.col("modificationTime").alias("modified"))
     )

@@ -18,7 +18,7 @@ def normal(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame[sorted(frame.columns)].copy()
     for name in frame.columns:
         column = frame[name]
-        if column.map(lambda x: type(x) is datetime.date).any():
+        if any(type(x) is datetime.date for x in column):
             column = pd.to_datetime(column)
         if pd.api.types.is_datetime64_any_dtype(column):
             frame[name] = column.dt.strftime("%Y-%m-%d %H:%M:%S.%f").fillna("")
