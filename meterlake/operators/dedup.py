@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterlake.staging import broadcast_if_small
+
 
 def first_per_key(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The first row per ``key`` by ``order``; ties go to the least remaining columns.
@@ -22,13 +24,25 @@ def first_per_key(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     )
 
 
+def stored_keys(keys: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """The values of ``key`` in ``keys`` that occur in ``stored``.
+
+    The semi join has the new keys on its small side: Spark can broadcast them
+    or filter the stored table by them before its shuffle. A plain anti join
+    would have to move every stored key, as only its stored side may be broadcast.
+    """
+    return stored.select(key).join(broadcast_if_small(keys.select(key)), key, "left_semi")
+
+
 def not_stored(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` does not occur in ``stored``.
+    """Rows whose ``key`` does not occur in ``stored``."""
+    return rows.join(stored_keys(rows, stored, key), key, "left_anti")
+
+
+def on_days_of(stored: DataFrame, rows: DataFrame, day: str) -> DataFrame:
+    """Stored rows of the days that occur in ``rows``.
 
-    The keys that do occur are found first, by a semi join that has the new rows
-    on its small side: Spark can broadcast them or filter the stored table by
-    them before its shuffle. A plain anti join would have to move every stored
-    key, as only its stored side may be broadcast.
+    There are at most as many days as the calendar has, so they are broadcast,
+    and Spark leaves the partitions of other days out of the scan.
     """
-    hits = stored.select(key).join(rows.select(key), key, "left_semi")
-    return rows.join(hits, key, "left_anti")
+    return stored.join(F.broadcast(rows.select(day).distinct()), day, "left_semi")

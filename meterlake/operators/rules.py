@@ -44,6 +44,9 @@ BATCH_SAVING = Decimal("0.50")
 
 MILLION = Decimal(1_000_000)
 
+# Above any token count.
+INPUT_RANGE = Decimal(10**19)
+
 
 def _project() -> Column:
     return F.coalesce("project", F.lit(""))
@@ -148,7 +151,10 @@ def cache_groups(
     """Recurring large inputs that never read a cache, by project, model and size."""
     bucket = (F.bround(F.col("input_tokens") / F.lit(bucket_size)) * bucket_size).cast("bigint")
     # The input of the first call: among calls of the same instant, the smallest.
-    first = F.min(F.struct("ts", "input_tokens"))["input_tokens"]
+    # Time and input make one number, as a minimum of numbers is kept in a hash
+    # table, while a minimum of structs would sort all calls first.
+    by_time = F.unix_micros("ts").cast("decimal(18,0)") * F.lit(INPUT_RANGE) + F.col("input_tokens")
+    first = F.pmod(F.min(by_time), F.lit(INPUT_RANGE)).cast("bigint")
     groups = (
         events.where((F.col("input_tokens") >= input_min) & (F.col("cache_read_tokens") == 0))
         .groupBy(_project().alias("project"), "model", bucket.alias("input_bucket"))

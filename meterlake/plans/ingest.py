@@ -21,7 +21,7 @@ from meterlake.sources.org_reports import parse_org_reports
 from meterlake.sources.pricing import PriceTable
 from meterlake.sources.records import accepted, priced, rejected
 from meterlake.sources.session_logs import log_pattern, parse_session_lines
-from meterlake.staging import stage
+from meterlake.staging import StagingArea
 
 LOG = logging.getLogger(__name__)
 
@@ -30,36 +30,36 @@ LOG = logging.getLogger(__name__)
 class FileSource:
     """Files of one kind and the function that makes drafts of them.
 
-    ``drafts`` gets the store's session, the changed files and their oldest
+    ``drafts`` gets a staging area, the changed files and their oldest
     modification time.
     """
 
     name: str
     pattern: str
-    drafts: Callable[[DataFrame, dt.datetime], DataFrame]
+    drafts: Callable[[StagingArea, DataFrame, dt.datetime], DataFrame]
 
 
-def session_log_source(spark, root: str, dedupe_on: str = "line") -> FileSource:
+def session_log_source(root: str, dedupe_on: str = "line") -> FileSource:
     pattern = log_pattern(root)
 
-    def drafts(files, since):
-        return parse_session_lines(landed.read_lines(spark, pattern, files, since), dedupe_on)
+    def drafts(area, files, since):
+        return parse_session_lines(landed.read_lines(area, pattern, files, since), dedupe_on)
 
     return FileSource(labels.SESSION_LOG, pattern, drafts)
 
 
-def api_record_source(spark, pattern: str) -> FileSource:
-    def drafts(files, since):
-        return parse_api_records(logged_calls(landed.read_lines(spark, pattern, files, since)))
+def api_record_source(pattern: str) -> FileSource:
+    def drafts(area, files, since):
+        return parse_api_records(logged_calls(landed.read_lines(area, pattern, files, since)))
 
     return FileSource(labels.API, pattern, drafts)
 
 
-def org_report_source(spark, pattern: str) -> FileSource:
+def org_report_source(pattern: str) -> FileSource:
     """One report page per file."""
 
-    def drafts(files, since):
-        pages = landed.read_whole(spark, pattern, files, since)
+    def drafts(area, files, since):
+        pages = landed.read_whole(area.spark, pattern, files, since)
         return parse_org_reports(pages.select(F.col("value").alias("payload"), F.col("file_path").alias("location")))
 
     return FileSource(labels.ORG_REPORT, pattern, drafts)
@@ -83,23 +83,26 @@ def ingest_files(store: UsageStore, source: FileSource, files: DataFrame, prices
     since = landed.oldest_change(files)
     if since is None:
         return 0, 0
-    rows = stage(priced(source.drafts(files, since), prices), f"parsed-{source.name}")
-    skipped = store.append_rejects(rejected(rows)).count()
-    added = store.append_events(accepted(rows)).count()
+    with StagingArea(store.spark, f"ingest-{source.name}") as area:
+        rows = area.stage(priced(source.drafts(area, files, since), prices), "parsed")
+        skipped = store.append_rejects(rejected(rows))
+        added = store.append_events(accepted(rows))
     store.record_files(files)
     return added, skipped
 
 
 def ingest_source(store: UsageStore, source: FileSource, prices: PriceTable) -> Ingested:
     """Ingest the files of a source that changed since they were last read."""
-    if not landed.matches_any(store.spark, source.pattern):
+    spark = store.spark
+    if not landed.matches_any(spark, source.pattern):
         return Ingested(source.name, 0, 0, 0)
-    listed = stage(landed.list_files(store.spark, source.pattern), "listing")
-    changed = stage(
-        landed.changed_files(listed, landed.read_manifest(store.spark, store.manifest_path)), "changed-files"
-    )
-    added, skipped = ingest_files(store, source, changed, prices)
-    return Ingested(source.name, listed.count(), added, skipped)
+    with StagingArea(spark, f"files-{source.name}") as area:
+        listed = area.stage(landed.list_files(spark, source.pattern), "listed")
+        changed = area.stage(
+            landed.changed_files(listed, landed.read_manifest(spark, store.manifest_path)), "changed"
+        )
+        added, skipped = ingest_files(store, source, changed, prices)
+        return Ingested(source.name, listed.count(), added, skipped)
 
 
 def ingest(

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.operators.dedup import first_per_key, not_stored
-from meterlake.schema import ALERT_SCHEMA, REJECT_SCHEMA, USAGE_SCHEMA, path_exists, read_or_empty
-from meterlake.staging import stage
+from meterlake.operators.dedup import first_per_key, not_stored, on_days_of, stored_keys
+from meterlake.schema import ALERT_SCHEMA, REJECT_SCHEMA, USAGE_COLUMNS, USAGE_SCHEMA, path_exists, read_or_empty
+from meterlake.staging import StagingArea
 
 
 @dataclass(frozen=True)
@@ -51,34 +51,47 @@ class UsageStore:
     def alerts(self) -> DataFrame:
         return read_or_empty(self.spark, self.alerts_path, ALERT_SCHEMA)
 
-    def append_events(self, events: DataFrame) -> DataFrame:
-        """Add the events whose key is not stored; returns the added ones.
+    def append_events(self, events: DataFrame) -> int:
+        """Add the events whose key is not stored; returns how many were added.
 
-        Of several new events with one key the earliest counts. The rows are
-        staged before they are appended, so that counting them afterwards does
-        not compare them with themselves.
+        Of several new events with one key the earliest counts. Events that are
+        ``dated`` are looked up on their own day only, all others on every day.
         """
-        order = ["ts", "source", "session_id"]
-        unique = first_per_key(events, "event_uid", order)
-        added = stage(not_stored(unique, self.events(), "event_uid"), "new-events")
-        # Rebalancing splits a day that is too large for one task and joins small
-        # ones, so that files come out even; sorting makes row groups skippable
-        # by project, model and time.
-        (
-            added.hint("rebalance", "event_date")
-            .sortWithinPartitions("event_date", "project", "model", "ts")
-            .write.mode("append")
-            .partitionBy("event_date")
-            .parquet(self.events_path)
-        )
-        return added
-
-    def append_rejects(self, rejects: DataFrame) -> DataFrame:
-        """Add rejected records not recorded before; returns the added ones."""
-        unique = first_per_key(rejects, "reject_uid", ["source", "location"])
-        added = stage(not_stored(unique, self.rejects(), "reject_uid"), "new-rejects")
-        added.write.mode("append").parquet(self.rejects_path)
-        return added
+        if "dated" not in events.columns:
+            events = events.withColumn("dated", F.lit(False))
+        with StagingArea(self.spark, "append-events") as area:
+            unique = area.stage(
+                first_per_key(events, "event_uid", ["ts", "source", "session_id"]), "unique-events"
+            )
+            dated, undated = unique.where("dated"), unique.where("NOT dated")
+            new = unique
+            if not dated.isEmpty():
+                near = on_days_of(self.events().select("event_uid", "event_date"), dated, "event_date")
+                new = new.join(stored_keys(dated, near, "event_uid"), "event_uid", "left_anti")
+            if not undated.isEmpty():
+                new = new.join(stored_keys(undated, self.events(), "event_uid"), "event_uid", "left_anti")
+            # Staged before they are appended, so that counting the new events
+            # afterwards does not compare them with themselves.
+            new = area.stage(new.select(*USAGE_COLUMNS), "new-events")
+            # Rebalancing splits a day that is too large for one task and joins
+            # small ones, so that files come out even; sorting makes row groups
+            # skippable by project, model and time.
+            (
+                new.hint("rebalance", "event_date")
+                .sortWithinPartitions("event_date", "project", "model", "ts")
+                .write.mode("append")
+                .partitionBy("event_date")
+                .parquet(self.events_path)
+            )
+            return new.count()
+
+    def append_rejects(self, rejects: DataFrame) -> int:
+        """Add rejected records not recorded before; returns how many were added."""
+        with StagingArea(self.spark, "append-rejects") as area:
+            unique = first_per_key(rejects, "reject_uid", ["source", "location"])
+            new = area.stage(not_stored(unique, self.rejects(), "reject_uid"), "new-rejects")
+            new.write.mode("append").parquet(self.rejects_path)
+            return new.count()
 
     def record_files(self, files: DataFrame) -> None:
         files.select("file_path", "length", "modified", F.current_timestamp().alias("ingested")).write.mode(

@@ -72,6 +72,8 @@ def parse_api_records(records: DataFrame) -> DataFrame:
             "cache_creation_tokens": tokens("cache_creation_input_tokens"),
             "cache_read_tokens": tokens("cache_read_input_tokens"),
             "session_id": response_id,
+            # The same response may be logged again on another day.
+            "dated": F.lit(False),
             "collector": F.lit(None).cast("string"),
             "reported_cost_usd": F.lit(None).cast("decimal(18,6)"),
             "aggregated_cost": F.lit(False),

@@ -8,16 +8,12 @@ from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterlake.schema import MANIFEST_SCHEMA, hadoop_path, path_exists, read_or_empty
-from meterlake.staging import stage
+from meterlake.staging import StagingArea, broadcast_if_small
 
 # Files up to this size are read as one row each, which numbers their lines
 # without a shuffle. Larger ones are read in splits.
 WHOLE_FILE_BYTES = 32 * 1024 * 1024
 
-# A list of up to this many files or splits goes to every executor (some 100
-# bytes a row); a longer one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
-
 # What ends a line, the longest first.
 LINE_END = r"\r\n|\n|\r"
 
@@ -64,7 +60,7 @@ def _numbered_small(files: DataFrame) -> DataFrame:
     )
 
 
-def _numbered_large(lines: DataFrame) -> DataFrame:
+def _numbered_large(lines: DataFrame, area: StagingArea) -> DataFrame:
     """Lines of files that arrive in splits, numbered without moving the text.
 
     Rows keep their order inside a split, so a line's number is its place in the
@@ -72,14 +68,14 @@ def _numbered_large(lines: DataFrame) -> DataFrame:
     depends on the cores it has at that moment, so the cut lines are staged and
     counted from there. Only the counts, one row per split, are shuffled.
     """
-    lines = stage(lines, "split-lines")
+    lines = area.stage(lines, "split-lines")
     split_key = ["file_path", "split_start", "task"]
     counts = lines.groupBy(*split_key).agg(F.count(F.lit(1)).alias("lines"), F.min("place").alias("first_place"))
     before = Window.partitionBy("file_path").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
         *split_key, "first_place", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("lines_before")
     )
-    return lines.join(broadcast_if_small(stage(starts, "split-starts")), split_key).select(
+    return lines.join(broadcast_if_small(area.stage(starts, "split-starts")), split_key).select(
         "file_path",
         "modified",
         (F.col("lines_before") + F.col("place") - F.col("first_place") + 1).alias("line_number"),
@@ -87,11 +83,6 @@ def _numbered_large(lines: DataFrame) -> DataFrame:
     )
 
 
-def broadcast_if_small(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``keys`` with a broadcast hint when a count shows that they are few."""
-    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
-
-
 def _reader(spark: SparkSession, since: dt.datetime | None) -> DataFrameReader:
     if since is None:
         return spark.read
@@ -117,7 +108,7 @@ def read_whole(
 
 
 def read_lines(
-    spark: SparkSession,
+    area: StagingArea,
     pattern: str,
     files: DataFrame | None = None,
     since: dt.datetime | None = None,
@@ -128,8 +119,9 @@ def read_lines(
     ``files`` (a staged list) keeps only those files. ``since`` is a bound on
     their modification time that lets Spark leave older files out of the scan
     altogether; it need not be tight, because the exact choice is the join with
-    ``files``.
+    ``files``. Lines of large files are staged in ``area``.
     """
+    spark = area.spark
     reader = _reader(spark, since)
     whole = reader.text(pattern, wholetext=True)
     split = reader.text(pattern, wholetext=False)
@@ -150,7 +142,7 @@ def read_lines(
             F.monotonically_increasing_id().alias("place"),
             "value",
         )
-        lines = lines.unionByName(_numbered_large(chosen(cut)))
+        lines = lines.unionByName(_numbered_large(chosen(cut), area))
     return lines.withColumn("value", F.make_valid_utf8("value"))
 
 

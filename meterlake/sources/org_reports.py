@@ -116,6 +116,7 @@ def parse_org_reports(payloads: DataFrame) -> DataFrame:
             "event_uid": key,
             "cache_ttl": F.lit(None).cast("string"),
             "session_id": F.lit(None).cast("string"),
+            "dated": F.lit(True),
             "collector": F.lit(labels.ORG_REPORT),
             "aggregated_cost": ~any_tokens(),
             "reject_reason": reason,

@@ -2,7 +2,9 @@
 
 A source produces *drafts*: one row per raw record with the columns below, where
 ``reject_reason`` says why a record is no usage event. ``reported_model`` is the
-name in the record, which may be missing or unknown to the price table.
+name in the record, which may be missing or unknown to the price table. ``dated``
+says that a record with the same key always has the same time, so that it can
+only be stored on that day.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ DRAFT_COLUMNS = [
     "is_batch",
     "cache_ttl",
     "session_id",
+    "dated",
     "collector",
     "reported_cost_usd",
     "aggregated_cost",
@@ -65,12 +68,12 @@ def priced(drafts: DataFrame, prices: PriceTable) -> DataFrame:
             "reject_reason",
             F.coalesce("reject_reason", F.when(F.col("cost_usd").isNull(), F.lit("cost_out_of_range"))),
         )
-        .select(*USAGE_COLUMNS, "reject_reason", "location", "raw")
+        .select(*USAGE_COLUMNS, "dated", "reject_reason", "location", "raw")
     )
 
 
 def accepted(rows: DataFrame) -> DataFrame:
-    return rows.where("reject_reason IS NULL").select(*USAGE_COLUMNS)
+    return rows.where("reject_reason IS NULL").select(*USAGE_COLUMNS, "dated")
 
 
 def rejected(rows: DataFrame) -> DataFrame:

@@ -52,6 +52,7 @@ def parse_session_lines(lines: DataFrame, dedupe_on: str = "line") -> DataFrame:
     key = labels.event_uid(source, F.col("file_path"), F.col("line_number").cast("string"), message_id)
     if dedupe_on == "message_id":
         key = F.when(message_id.isNotNull(), labels.event_uid(source, message_id)).otherwise(key)
+    stated = F.coalesce(J.instant(record["timestamp"]), J.instant(record["ts"]))
     reason = (
         F.when(F.trim("value") == "", "blank")
         .when(record.isNull(), "not_a_json_object")
@@ -60,7 +61,7 @@ def parse_session_lines(lines: DataFrame, dedupe_on: str = "line") -> DataFrame:
     return rows.withColumns(
         {
             "event_uid": key,
-            "ts": F.coalesce(J.instant(record["timestamp"]), J.instant(record["ts"]), F.col("modified")),
+            "ts": F.coalesce(stated, F.col("modified")),
             "source": source,
             "project": labels.project_label(labels.parent_directory(F.col("file_path"))),
             "reported_model": F.coalesce(J.only_text(nested["model"]), J.only_text(flat["model"])),
@@ -71,6 +72,9 @@ def parse_session_lines(lines: DataFrame, dedupe_on: str = "line") -> DataFrame:
             "is_batch": F.lit(False),
             "cache_ttl": F.lit(None).cast("string"),
             "session_id": labels.session_label(F.col("file_path")),
+            # Without an id, another message may take the place of a line; without
+            # a time of its own, a line gets the one of the file.
+            "dated": stated.isNotNull() & message_id.isNotNull(),
             "collector": F.lit(None).cast("string"),
             "reported_cost_usd": F.lit(None).cast("decimal(18,6)"),
             "aggregated_cost": F.lit(False),

@@ -16,7 +16,7 @@ from meterlake.plans.store import UsageStore
 from meterlake.schema import is_folder
 from meterlake.sources.budgets import DEFAULT_FRACTIONS
 from meterlake.sources.pricing import PriceTable
-from meterlake.staging import new_staging_path, stage
+from meterlake.staging import StagingArea, new_staging_path
 
 LANDED_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -135,7 +135,8 @@ def ingest_stream(
     )
 
     def handle(batch: DataFrame) -> None:
-        ingest_files(store, source, stage(batch, "landed-files"), prices)
+        with StagingArea(store.spark, "landed-files") as area:
+            ingest_files(store, source, area.stage(batch, "files"), prices)
         if budgets is not None:
             fire_alerts(store, budgets, clock(), fractions)
 

@@ -35,10 +35,10 @@ def test_append_twice_is_append_once(spark, usage, tmp_path):
         {"event_uid": "a", "ts": at("2026-06-01"), "input_tokens": 9},
         {"event_uid": "b", "ts": at("2026-06-03")},
     )
-    assert store.append_events(events).count() == 2
-    assert store.append_events(events).count() == 0
+    assert store.append_events(events) == 2
+    assert store.append_events(events) == 0
     more = usage({"event_uid": "b", "ts": at("2026-01-01"), "input_tokens": 77}, {"event_uid": "c"})
-    assert [r.event_uid for r in store.append_events(more).collect()] == ["c"]
+    assert store.append_events(more) == 1
     rows = {r.event_uid: r for r in store.events().collect()}
     assert set(rows) == {"a", "b", "c"}
     # The earliest of new ones counts, and a stored one is not replaced.
@@ -64,3 +64,24 @@ def test_reports_read_only_the_days_they_need(spark, usage, tmp_path):
 
 def test_staging_follows_the_session_setting(spark):
     assert staging_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_dated_events_are_looked_up_on_their_day(spark, usage, tmp_path):
+    store = UsageStore(spark, str(tmp_path))
+    first = usage({"event_uid": "a", "ts": at("2026-06-01")}, {"event_uid": "b", "ts": at("2026-06-02")})
+    assert store.append_events(first.withColumn("dated", F.lit(True))) == 2
+    again = usage(
+        {"event_uid": "a", "ts": at("2026-06-01")},
+        {"event_uid": "b", "ts": at("2026-06-05")},
+        {"event_uid": "c", "ts": at("2026-06-01")},
+    )
+    # "b" comes with another time, so it must not claim to be dated.
+    assert store.append_events(again.withColumn("dated", F.col("event_uid") != "b")) == 1
+    assert sorted(r.event_uid for r in store.events().collect()) == ["a", "b", "c"]
+
+
+def test_staged_tables_are_removed(spark, usage, tmp_path):
+    import pathlib
+
+    UsageStore(spark, str(tmp_path)).append_events(usage({}))
+    assert not list(pathlib.Path(staging_root(spark)).glob("meterlake/append-events-*"))

@@ -74,7 +74,7 @@ def test_deduplicated_within_delay(spark, usage, tmp_path):
 
 def test_ingest_stream_fires_alerts_once(spark, prices, tmp_path):
     store = UsageStore(spark, str(tmp_path / "store"))
-    source = session_log_source(spark, str(tmp_path))
+    source = session_log_source(str(tmp_path))
     budgets = budget_table(spark, {"monthly": "0.01"})
 
     def run():
