@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.calendar import PERIODS, period_bounds, period_key
 from meterlake.operators.filters import in_range
-from meterlake.sources.budgets import DEFAULT_FRACTIONS
+from meterlake.sources.budgets import DEFAULT_FRACTIONS, checked_fractions
 
 AMBER = Decimal("0.8")
 RED = Decimal("1")
@@ -101,10 +101,7 @@ def split_dedupe_key(key: Column) -> tuple[Column, Column]:
 
 def crossings(status: DataFrame, fractions: Sequence[str | Decimal] = DEFAULT_FRACTIONS) -> DataFrame:
     """One row per budget and alert fraction that its spend has reached."""
-    values = [Decimal(str(f)) for f in fractions]
-    if not values or any(v <= 0 for v in values):
-        raise ValueError("alert fractions must be one or more positive numbers")
-    marks = F.array(*[F.lit(v).cast(FRACTION) for v in sorted(values)])
+    marks = F.array(*[F.lit(f).cast(FRACTION) for f in checked_fractions(fractions)])
     threshold = F.round(F.col("fraction") * F.col("budget"), 6).cast("decimal(24,6)")
     return (
         status.select("*", F.explode(marks).alias("fraction"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,20 @@ def load_budgets(spark: SparkSession, path: str) -> DataFrame:
     return _checked(_with_scope(rows.where("budget IS NOT NULL")))
 
 
+def load_alert_fractions(spark: SparkSession, path: str) -> tuple[Decimal, ...]:
+    """The alert fractions of a settings file, ascending; the defaults where it has none."""
+    row = spark.read.schema(BUDGET_FILE_SCHEMA).json(path, multiLine=True).select("alert_fractions").first()
+    found = DEFAULT_FRACTIONS if row is None or row.alert_fractions is None else row.alert_fractions
+    return checked_fractions(found)
+
+
+def checked_fractions(fractions: Iterable[str | Decimal]) -> tuple[Decimal, ...]:
+    values = sorted(Decimal(str(f)) for f in fractions if f is not None)
+    if not values or values[0] <= 0:
+        raise BudgetError("alert fractions must be one or more positive numbers")
+    return tuple(values)
+
+
 def budget_table(
     spark: SparkSession,
     overall: Mapping[str, object] | None = None,

@@ -119,18 +119,22 @@ def ingest_stream(
     clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc),
     fractions: Sequence = DEFAULT_FRACTIONS,
     continuous: str | None = None,
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Ingest files as they land, and fire budget alerts after each batch.
 
+    ``files_per_batch`` cuts a large backlog into batches of bounded size.
+
     The stream carries only the files' names, sizes and times; their contents are
     read by the batch code. A streaming source does not look at a file again, so
     files must be complete when they land. Logs that grow in place need the batch
     job ``ingest``.
     """
+    reader = store.spark.readStream.format("binaryFile").schema(LANDED_FILE_SCHEMA)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     landed = (
-        store.spark.readStream.format("binaryFile")
-        .schema(LANDED_FILE_SCHEMA)
-        .load(source.pattern)
+        reader.load(source.pattern)
         .select(F.col("_metadata.file_path").alias("file_path"), "length", F.col("modificationTime").alias("modified"))
     )
 

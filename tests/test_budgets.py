@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import at
 from meterlake import UsageStore, budget_status, budget_table, crossings, fire_alerts, load_budgets, recent_alerts
 from meterlake.operators.budgets import alert_messages, fraction_label, split_dedupe_key
-from meterlake.sources.budgets import BudgetError
+from meterlake.sources.budgets import BudgetError, load_alert_fractions
 
 NOW = at("2026-06-20T12:00:00")
 
@@ -105,8 +105,13 @@ def test_load(spark, tmp_path):
     }, indent=1))
     rows = {tuple(r) for r in load_budgets(spark, str(path)).collect()}
     assert rows == {("global", None, "monthly", Decimal(200)), ("project:a", "a", "weekly", Decimal("5.5"))}
+    assert load_alert_fractions(spark, str(path)) == (Decimal("0.8"),)
+    path.write_text(json.dumps({"budgets": {"global": {"monthly": 1}}, "alert_fractions": [0.5, -1]}))
+    with pytest.raises(BudgetError):
+        load_alert_fractions(spark, str(path))
     path.write_text(json.dumps({"budgets": {"global": {"monthly": 1}}}))
     assert load_budgets(spark, str(path)).count() == 1
+    assert load_alert_fractions(spark, str(path)) == (Decimal("0.8"), Decimal("1.0"))
 
 
 @pytest.mark.parametrize("limits", [{"yearly": 1}, {"daily": 0}, {"daily": -1}])

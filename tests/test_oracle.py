@@ -6,7 +6,7 @@ import pathlib
 import pytest
 
 import __spark_entry__ as registered
-from compare import differences, duck
+from compare import differences, duck, type_differences
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
@@ -24,9 +24,10 @@ def test_every_query_has_a_counterpart():
 
 @pytest.mark.parametrize("name", list(registered.queries()))
 def test_query(spark, connection, name):
-    got = registered.queries()[name](spark, FOLDER).toPandas()
-    want = connection.execute(registered.oracle_sql()[name]).df()
-    assert differences(got, want) is None
+    rows = registered.queries()[name](spark, FOLDER)
+    want = connection.execute(registered.oracle_sql()[name])
+    assert type_differences(dict(rows.dtypes), {d[0]: str(d[1]) for d in want.description}) is None
+    assert differences(rows.toPandas(), want.df()) is None
 
 
 def test_entry(spark):

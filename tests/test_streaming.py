@@ -79,7 +79,7 @@ def test_ingest_stream_fires_alerts_once(spark, prices, tmp_path):
 
     def run():
         streams.ingest_stream(
-            store, source, prices, str(tmp_path / "checkpoint"), budgets, lambda: at("2026-06-20")
+            store, source, prices, str(tmp_path / "checkpoint"), budgets, lambda: at("2026-06-20"), files_per_batch=1
         ).awaitTermination()
         return store.events().count(), store.rejects().count(), store.alerts().count()
 
