@@ -19,6 +19,7 @@ from meterlake.sources.budgets import budget_table
 from meterlake.sources.org_reports import parse_org_reports
 from meterlake.sources.records import accepted, priced
 from meterlake.sources.session_logs import parse_session_lines
+from meterlake.staging import stage
 from meterlake.streaming import streams
 
 UTC = dt.timezone.utc
@@ -121,7 +122,7 @@ def dedup_first(spark, folder):
 def append_new_events(spark, folder):
     rows = _lineitem(spark, folder)
     stored = rows.where(F.col("l_quantity") <= 30)
-    arriving = dedup.first_per_key(rows.where(F.col("l_quantity") >= 20), "event_uid", LINEITEM_ORDER)
+    arriving = stage(dedup.first_per_key(rows.where(F.col("l_quantity") >= 20), "event_uid", LINEITEM_ORDER), "arriving")
     new = dedup.not_stored(arriving, stored, "event_uid")
     return _ntz(_doubles(new.select("event_uid", "ts", "model", "input_tokens", "cost_usd")), "ts")
 

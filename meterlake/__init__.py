@@ -1,5 +1,6 @@
 """Usage and cost analytics for metered model APIs, on Spark DataFrames."""
 
+from meterlake.functions.calendar import resolve_range
 from meterlake.operators.budgets import budget_status, crossings, recent_alerts
 from meterlake.operators.filters import in_range
 from meterlake.operators.reports import breakdown, breakdown_all, health, project_list, spend_pivot, summary, timeseries
@@ -30,6 +31,7 @@ __all__ = [
     "price_table",
     "project_list",
     "recent_alerts",
+    "resolve_range",
     "savings_suggestions",
     "session_log_source",
     "spend_pivot",
