@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Epoch seconds of the years 1 and 9999, the range a timestamp can print.
@@ -10,15 +10,17 @@ MIN_EPOCH = -62135596800
 MAX_EPOCH = 253402300799
 
 
-def one_object(text: Column, fields: str) -> Column:
-    """Parse ``text`` as exactly one JSON object and keep only ``fields``.
+def with_object(rows: DataFrame, name: str, text: str, fields: str) -> DataFrame:
+    """Add ``name``: the column ``text`` parsed as exactly one JSON object.
 
     Wrapping the text in brackets makes the parser read to its end, so trailing
     junk, a cut-off record or a second value give NULL instead of being ignored.
-    The parser skips every key that is not in ``fields`` without building it.
+    Only ``fields`` are built; the parser skips over every other key.
     """
-    records = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"ARRAY<STRUCT<{fields}>>")
-    return F.when((F.size(records) == 1) & F.rtrim(text).endswith("}"), F.get(records, F.lit(0)))
+    wrapped = F.concat(F.lit("["), F.col(text), F.lit("]"))
+    parsed = rows.withColumn(name, F.from_json(wrapped, f"ARRAY<STRUCT<{fields}>>"))
+    is_one = (F.size(name) == 1) & F.rtrim(F.col(text)).endswith("}")
+    return parsed.withColumn(name, F.when(is_one, F.get(name, F.lit(0))))
 
 
 def kind(value: Column) -> Column:

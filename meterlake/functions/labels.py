@@ -20,12 +20,13 @@ def project_label(directory: Column) -> Column:
 
 
 def parent_directory(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)/[^/]*$", 1)
+    return F.split_part(path, F.lit("/"), F.lit(-2))
 
 
 def session_label(path: Column) -> Column:
     """The file name without its ending."""
-    return F.regexp_extract(path, r"([^/]+)\.jsonl$", 1)
+    name = F.split_part(path, F.lit("/"), F.lit(-1))
+    return F.regexp_replace(name, r"\.jsonl$", "")
 
 
 def event_uid(*parts: Column) -> Column:

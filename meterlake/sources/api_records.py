@@ -22,7 +22,7 @@ def logged_calls(lines: DataFrame) -> DataFrame:
     A call without ``logged_at`` counts at the time its file was written.
     """
     entry = F.col("entry")
-    return lines.withColumn("entry", J.one_object(F.col("value"), LOGGED)).select(
+    return J.with_object(lines, "entry", "value", LOGGED).select(
         F.to_json(entry["response"]).alias("response"),
         J.any_text(entry["project"]).alias("project"),
         F.coalesce(J.truthy(entry["is_batch"]) & entry["is_batch"].isNotNull(), F.lit(False)).alias("is_batch"),
@@ -41,7 +41,7 @@ def parse_api_records(records: DataFrame) -> DataFrame:
     ``location``, which unlike a random key stays the same on a second run.
     """
     record = F.col("record")
-    rows = records.withColumn("record", J.one_object(F.col("response"), FIELDS))
+    rows = J.with_object(records, "record", "response", FIELDS)
     if not isinstance(records.schema["logged_at"].dataType, T.TimestampType):
         raise TypeError("logged_at must be a timestamp")
     if "raw" not in records.columns:

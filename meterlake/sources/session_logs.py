@@ -38,7 +38,7 @@ def parse_session_lines(lines: DataFrame, dedupe_on: str = "line") -> DataFrame:
         raise ValueError(f"dedupe_on must be 'line' or 'message_id', got {dedupe_on!r}")
     record = F.col("record")
     nested, flat = record["message"], record
-    rows = lines.withColumn("record", J.one_object(F.col("value"), FIELDS))
+    rows = J.with_object(lines, "record", "value", FIELDS)
     rows = rows.withColumn(
         "used",
         F.when(J.is_object(nested["usage"]), nested["usage"]).when(J.is_object(flat["usage"]), flat["usage"]),
