@@ -130,7 +130,7 @@ def session_lines(events: DataFrame) -> DataFrame:
     whole = F.when(number % 2 == 0, nested).otherwise(flat)
     value = F.when(number % 50 == 0, F.expr("substring(line, 1, length(line) - 10)")).when(
         number % 50 == 1, unused
-    ).otherwise(whole)
+    ).otherwise(F.col("line"))
     return events.withColumn("line", whole).select(
         F.concat(F.lit("/logs/projects/-home-team-"), F.col("project"), F.lit("/s"), F.col("session_id"), F.lit(".jsonl"))
         .alias("file_path"),
