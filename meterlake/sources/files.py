@@ -97,6 +97,18 @@ def _facts() -> list[Column]:
     ]
 
 
+def plain_path(path: Column) -> Column:
+    """A file path as it is on disk; Spark's metadata encodes it as in a URL.
+
+    Decoding would turn ``+`` into a space, so that is encoded first.
+    """
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def _readable(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"file_path": plain_path(F.col("file_path")), "value": F.make_valid_utf8("value")})
+
+
 def read_whole(
     spark: SparkSession, pattern: str, files: DataFrame | None = None, since: dt.datetime | None = None
 ) -> DataFrame:
@@ -104,7 +116,7 @@ def read_whole(
     rows = _reader(spark, since).text(pattern, wholetext=True).select(*_facts(), "value")
     if files is not None:
         rows = rows.join(broadcast_if_small(files.select("file_path")), "file_path", "left_semi")
-    return rows.withColumn("value", F.make_valid_utf8("value"))
+    return _readable(rows)
 
 
 def read_lines(
@@ -143,7 +155,7 @@ def read_lines(
             "value",
         )
         lines = lines.unionByName(_numbered_large(chosen(cut), area))
-    return lines.withColumn("value", F.make_valid_utf8("value"))
+    return _readable(lines)
 
 
 def matches_any(spark: SparkSession, pattern: str) -> bool:
