@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import decontaminate, mixing, simhash
+from meterlake.llm import decontaminate, kneser_ney, mixing, simhash, substrings
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +41,21 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target::DOUBLE AS targe
 """
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return substrings.mark_repeats(docs, length=35).drop("spans")
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+h AS (SELECT r, k, md5(array_to_string(w[k : k + 34], ' ')) AS m FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM d)),
+c AS (SELECT DISTINCT r, unnest(range(k, k + 35)) AS pos FROM h WHERE m IN (SELECT m FROM h GROUP BY m HAVING count(*) > 1)),
+p AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+k AS (SELECT r, count(c.pos) AS gone, string_agg(word, ' ' ORDER BY p.pos) FILTER (WHERE c.pos IS NULL) AS kept FROM p LEFT JOIN c USING (r, pos) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+
+
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.find_benchmark(docs, _table(spark, folder, "benchmark"))
@@ -69,13 +84,20 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(docs, shingle=3, distance=2).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_kneser_ney_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return kneser_ney.token_scores(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op8_kneser_ney_scores": op8_kneser_ney_scores,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mixing": OP1_SQL,
+    "op2_substring_dedup": OP2_SQL,
     "op4_benchmark_decontamination": OP4_SQL,
 }
