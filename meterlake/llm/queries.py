@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import decontaminate, kneser_ney, mixing, simhash, substrings
+from meterlake.llm import decontaminate, kneser_ney, mixing, pairwise, simhash, substrings, toxicity
+from meterlake.llm.labelled import fold
+from meterlake.llm.shared import ship_package
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -84,6 +87,21 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(docs, shingle=3, distance=2).select("doc_id", "fingerprint", "component_id")
 
 
+def _scored(spark: SparkSession, folder: str, module, threshold: float, *more: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    learned = module.learn(docs, _table(spark, folder, "labels"), modulus=3, held_out=1)
+    predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
+    return module.score(docs, learned).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", predicted, *more)
+
+
+def op6_nearest_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder, toxicity, toxicity.THRESHOLD, "evidence")
+
+
+def op9_pairwise_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder, pairwise, 0.5)
+
+
 def op8_kneser_ney_scores(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.token_scores(_table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -92,7 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op6_nearest_toxicity": op6_nearest_toxicity,
     "op8_kneser_ney_scores": op8_kneser_ney_scores,
+    "op9_pairwise_quality": op9_pairwise_quality,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 

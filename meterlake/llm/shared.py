@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,3 +52,20 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+_shipped: dict[str, str] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of an application, once; they need not find it on their own path."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="llm-package-")
+    with zipfile.ZipFile(f"{folder}/{package.name}.zip", "w") as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, path.relative_to(package.parent))
+    context.addPyFile(f"{folder}/{package.name}.zip")
+    _shipped[context.applicationId] = folder
