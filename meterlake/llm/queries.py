@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import decontaminate, kneser_ney, mixing, pairwise, simhash, substrings, toxicity
+from meterlake.llm import decontaminate, divergence, kneser_ney, mixing, pairwise, simhash, substrings, toxicity
 from meterlake.llm.labelled import fold
 from meterlake.llm.shared import ship_package
 
@@ -87,6 +87,11 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(docs, shingle=3, distance=2).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_distribution_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return divergence.judge(docs).drop("char_distance", "word_distance")
+
+
 def _scored(spark: SparkSession, folder: str, module, threshold: float, *more: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     learned = module.learn(docs, _table(spark, folder, "labels"), modulus=3, held_out=1)
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_distribution_divergence": op5_distribution_divergence,
     "op6_nearest_toxicity": op6_nearest_toxicity,
     "op8_kneser_ney_scores": op8_kneser_ney_scores,
     "op9_pairwise_quality": op9_pairwise_quality,

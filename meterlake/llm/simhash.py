@@ -123,24 +123,25 @@ def _longs(values: list[int]) -> Column:
 
 def _keys(prints: DataFrame, probes: list[tuple[int, int]], around: bool) -> DataFrame:
     """Rows (part, key, fp): the part's own bits, or all keys within its threshold of them."""
-    each = []
-    for i, (mask, t) in enumerate(probes):
+    def part(i: int, mask: int, t: int) -> Column:
         own = F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long"))
-        keys = F.transform(_longs([x for x, _ in _ball(mask, t)]), lambda x, own=own: own.bitwiseXOR(x)) if around and t else F.array(own)
-        each.append(F.transform(keys, lambda k, i=i: F.struct(F.lit(i).alias("part"), k.alias("key"))))
+        keys = F.transform(_longs([x for x, _ in _ball(mask, t)]), lambda x: own.bitwiseXOR(x)) if around and t else F.array(own)
+        return F.transform(keys, lambda k: F.struct(F.lit(i).alias("part"), k.alias("key")))
+
+    each = [part(i, mask, t) for i, (mask, t) in enumerate(probes)]
     return prints.select("fp", F.explode(F.concat(*each)).alias("k")).select("k.part", "k.key", "fp")
 
 
-def similar_prints(prints: DataFrame, distance: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def similar_prints(prints: DataFrame, distance: int, bucket_rows: int = BUCKET_ROWS, probes: list[tuple[int, int]] | None = None) -> DataFrame:
     """Edges (a, b), a > b, that connect all of the distinct fingerprints `fp` within the distance, and no others.
 
     Probed buckets of up to bucket_rows fingerprints are verified pair by pair. Fingerprints of larger buckets are linked
     by midpoints: two are within the distance if one lies at most floor(distance / 2) and the other at most
     ceil(distance / 2) flips from the same point. A point has no more fingerprints than its ball, so no group is large.
     """
-    n = prints.count()
-    sample = [r.fp for r in prints.orderBy(F.xxhash64("fp"), "fp").limit(PLAN_ROWS).collect()]
-    probes = plan_probes(np.array(sample, np.int64).view(np.uint64), n, distance)
+    if probes is None:
+        sample = [r.fp for r in prints.orderBy(F.xxhash64("fp"), "fp").limit(PLAN_ROWS).collect()]
+        probes = plan_probes(np.array(sample, np.int64).view(np.uint64), prints.count(), distance)
     own = _keys(prints, probes, False)
     around = _keys(prints, probes, True) if any(t for _, t in probes) else own
     sizes = around.groupBy("part", "key").count()

@@ -55,9 +55,12 @@ def test_sample_table(spark):
     check([(r.doc_id, r.text) for r in docs.collect()], simhash.simhash_components(docs).collect())
 
 
-@pytest.mark.parametrize("bucket_rows", [1, 64])
-@pytest.mark.parametrize("distance", [0, 1, 2, 3])
-def test_links_of_prints(spark, distance, bucket_rows):
+HALF = (1 << 32) - 1
+PLANS = [(d, b, None) for d in (0, 1, 2, 3) for b in (1, 64)] + [(2, b, [(HALF << 32, 1), (HALF, 0)]) for b in (1, 64)] + [(2, 64, [(HALF << 32 | 1, 0), (HALF - 1, 1)])]
+
+
+@pytest.mark.parametrize("distance,bucket_rows,probes", PLANS)
+def test_links_of_prints(spark, distance, bucket_rows, probes):
     rng = random.Random(distance)
     prints = {rng.getrandbits(64) for _ in range(60)}
     for p in list(prints):
@@ -67,7 +70,7 @@ def test_links_of_prints(spark, distance, bucket_rows):
                 q ^= 1 << b
             prints.add(q)
     df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp long")
-    found = simhash.components(simhash.similar_prints(df, distance, bucket_rows)).collect()
+    found = simhash.components(simhash.similar_prints(df, distance, bucket_rows, probes)).collect()
     got = {r.node % (1 << 64): r.component % (1 << 64) for r in found}
     classes = plain_components(prints, distance)
     same = lambda of: {frozenset(p for p in prints if of(p) == c) for c in {of(p) for p in prints}}
