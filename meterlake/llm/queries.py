@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import decontaminate, divergence, kneser_ney, mixing, pairwise, simhash, substrings, toxicity
+from meterlake.llm import decontaminate, divergence, kneser_ney, mixing, pairwise, pii, simhash, substrings, toxicity
 from meterlake.llm.labelled import fold
 from meterlake.llm.shared import ship_package
 
@@ -103,6 +103,10 @@ def op6_nearest_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(spark, folder, toxicity, toxicity.THRESHOLD, "evidence")
 
 
+def op7_bootstrapped_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op9_pairwise_quality(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(spark, folder, pairwise, 0.5)
 
@@ -117,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_distribution_divergence": op5_distribution_divergence,
     "op6_nearest_toxicity": op6_nearest_toxicity,
+    "op7_bootstrapped_pii": op7_bootstrapped_pii,
     "op8_kneser_ney_scores": op8_kneser_ney_scores,
     "op9_pairwise_quality": op9_pairwise_quality,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
