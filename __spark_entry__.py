@@ -23,10 +23,15 @@ from meterlake.staging import stage
 from meterlake.streaming import streams
 
 try:
+    import corpus_pipeline
     from meterlake.llm.queries import ORACLE_SQL as LLM_SQL
     from meterlake.llm.queries import QUERIES as LLM_QUERIES
+
+    LLM_QUERIES = {**LLM_QUERIES, "pipeline": corpus_pipeline.run}
+    if corpus_pipeline.ORACLE_SQL:
+        LLM_SQL = {**LLM_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
 except ModuleNotFoundError as missing:
-    if not (missing.name or "").startswith("meterlake.llm"):
+    if missing.name != "corpus_pipeline" and not (missing.name or "").startswith("meterlake.llm"):
         raise
     LLM_QUERIES, LLM_SQL = {}, {}
 
