@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import decontaminate, divergence, kneser_ney, mixing, pairwise, pii, simhash, substrings, toxicity
+from meterlake.llm import decontaminate, divergence, kneser_ney, mixing, pairwise, pii, simhash, substrings, toxicity, training_order
 from meterlake.llm.labelled import fold
 from meterlake.llm.shared import ship_package
 
@@ -59,6 +59,12 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed
 """
 
 
+def op3_training_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each document's tokens are in the shards that are written to the shared folder."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return training_order.materialise(docs)[0]
+
+
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.find_benchmark(docs, _table(spark, folder, "benchmark"))
@@ -118,6 +124,7 @@ def op8_kneser_ney_scores(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_training_order": op3_training_order,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_distribution_divergence": op5_distribution_divergence,
     "op6_nearest_toxicity": op6_nearest_toxicity,
