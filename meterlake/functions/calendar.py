@@ -12,44 +12,74 @@ PERIODS = ("daily", "weekly", "monthly")
 DEFAULT_RANGE_DAYS = 30
 
 
-def monday_zero_week(ts: Column) -> Column:
-    """``YYYY-Www`` with Monday weeks, days before the first Monday in week 00."""
-    number = F.floor((F.dayofyear(ts) + 6 - F.weekday(ts)) / 7)
+DAY_MICROS = 86_400_000_000
+
+
+def utc_date(ts: Column) -> Column:
+    """The UTC calendar day of an instant, whatever the session's time zone is.
+
+    Day functions of Spark see instants in the session's zone. From here on only
+    dates are used, which have none.
+    """
+    micros = F.unix_micros(ts)
+    return F.date_from_unix_date(((micros - F.pmod(micros, F.lit(DAY_MICROS))) / F.lit(DAY_MICROS)).cast("int"))
+
+
+def utc_text(ts: Column) -> Column:
+    """``YYYY-MM-DDTHH:MM:SS.ffffff`` of an instant in UTC."""
+    micros = F.pmod(F.unix_micros(ts), F.lit(DAY_MICROS))
+    seconds = ((micros - F.pmod(micros, F.lit(1_000_000))) / 1_000_000).cast("int")
+
+    def two(value: Column) -> Column:
+        return F.lpad(value.cast("int").cast("string"), 2, "0")
+
     return F.concat(
-        F.date_format(ts, "yyyy"), F.lit("-W"), F.lpad(number.cast("string"), 2, "0")
+        utc_date(ts).cast("string"),
+        F.lit("T"), two(F.floor(seconds / 3600)),
+        F.lit(":"), two(F.floor(seconds / 60) % 60),
+        F.lit(":"), two(seconds % 60),
+        F.lit("."), F.lpad((micros % 1_000_000).cast("string"), 6, "0"),
     )
 
 
+def monday_zero_week(ts: Column) -> Column:
+    """``YYYY-Www`` with Monday weeks, days before the first Monday in week 00."""
+    day = utc_date(ts)
+    number = F.floor((F.dayofyear(day) + 6 - F.weekday(day)) / 7)
+    return F.concat(F.substring(day.cast("string"), 1, 4), F.lit("-W"), F.lpad(number.cast("string"), 2, "0"))
+
+
 def iso_week(ts: Column) -> Column:
     """``YYYY-Www`` of the ISO calendar."""
+    day = utc_date(ts)
     return F.concat(
-        F.lpad(F.extract(F.lit("YEAROFWEEK"), ts).cast("string"), 4, "0"),
+        F.lpad(F.extract(F.lit("YEAROFWEEK"), day).cast("string"), 4, "0"),
         F.lit("-W"),
-        F.lpad(F.weekofyear(ts).cast("string"), 2, "0"),
+        F.lpad(F.weekofyear(day).cast("string"), 2, "0"),
     )
 
 
 def bucket_key(ts: Column, granularity: str) -> Column:
     """The time-series bucket of ``ts``."""
     if granularity == "hour":
-        return F.date_format(ts, "yyyy-MM-dd'T'HH")
+        return F.substring(utc_text(ts), 1, 13)
     if granularity == "day":
-        return F.date_format(ts, "yyyy-MM-dd")
+        return utc_date(ts).cast("string")
     if granularity == "week":
         return monday_zero_week(ts)
     if granularity == "month":
-        return F.date_format(ts, "yyyy-MM")
+        return F.substring(utc_date(ts).cast("string"), 1, 7)
     raise ValueError(f"granularity must be one of {GRANULARITIES}, got {granularity!r}")
 
 
 def period_key(ts: Column, period: str) -> Column:
     """The calendar key of the budget period that holds ``ts``."""
     if period == "daily":
-        return F.date_format(ts, "yyyy-MM-dd")
+        return utc_date(ts).cast("string")
     if period == "weekly":
         return iso_week(ts)
     if period == "monthly":
-        return F.date_format(ts, "yyyy-MM")
+        return F.substring(utc_date(ts).cast("string"), 1, 7)
     raise ValueError(f"period must be one of {PERIODS}, got {period!r}")
 
 

@@ -55,9 +55,20 @@ def money_or_null(value: Column) -> Column:
 
 
 def text_instant(text: Column) -> Column:
-    """ISO-8601 text to an instant. A text without a leading year is not a date."""
+    """ISO-8601 text to an instant; text without a zone is UTC, whatever the session's zone is.
+
+    Times may be written without separators (``20260601T120000Z``). A text without a
+    leading year is not a date.
+    """
     trimmed = F.trim(text)
-    return F.when(trimmed.rlike(r"^\d{4}-"), trimmed.try_cast("timestamp"))
+    for digits in (r"(\d{2})(\d{2})(\d{2})", r"(\d{2})(\d{2})"):
+        times = "$4:$5:$6$7" if digits.count("2") == 3 else "$4:$5$6"
+        trimmed = F.regexp_replace(trimmed, rf"^(\d{{4}})(\d{{2}})(\d{{2}})[T ]{digits}(?!\d)(.*)$", f"$1-$2-$3T{times}")
+    zoned = trimmed.rlike(r"^\d{4}-[^T ]*[T ].*(?:[zZ]|[+-]\d{1,2}(?::?\d{2}){0,2}|[A-Za-z_/]{3,})$")
+    with_zone = F.when(zoned, trimmed).when(trimmed.rlike("[T ]"), F.concat(trimmed, F.lit("Z"))).otherwise(F.concat(trimmed, F.lit("T00:00:00Z")))
+    for given, full in ((r"([T ]\d{1,2})(?![\d:])", "$1:00:00"), (r"([T ]\d{1,2}:\d{2})(?![\d:])", "$1:00")):
+        with_zone = F.regexp_replace(with_zone, given, full)
+    return F.when(trimmed.rlike(r"^\d{4}-"), with_zone.try_cast("timestamp"))
 
 
 def instant(value: Column) -> Column:

@@ -21,6 +21,11 @@ SAVING = "decimal(24,10)"
 SCALE = "decimal(13,8)"
 
 
+def places(decimal_type: str) -> int:
+    """The scale of a decimal type written as text."""
+    return int(decimal_type.rstrip(")").split(",")[1])
+
+
 class Modifiers(NamedTuple):
     cache_read: Decimal
     cache_write_5m: Decimal

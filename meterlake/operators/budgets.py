@@ -137,13 +137,10 @@ def recent_alerts(fired: DataFrame, limit: int = 50) -> DataFrame:
 def alert_messages(alerts: DataFrame) -> DataFrame:
     """Title, text and JSON payload of each alert, for whatever delivers them."""
     percent = F.round(F.col("fraction") * 100, 0).cast("bigint")
-    title = F.format_string("Budget alert: %s %s", "scope", "period")
+    title = F.format_string("%s budget of %s: %d%% reached", "period", "scope", percent)
     body = F.format_string(
-        "%s %s spend $%s crossed %d%% of budget ($%s).",
-        "scope",
-        "period",
+        "spend_usd=%s threshold_usd=%s",
         F.round("actual", 2).cast("decimal(20,2)").cast("string"),
-        percent,
         F.round("threshold", 2).cast("decimal(20,2)").cast("string"),
     )
     named = alerts.withColumns({"title": title, "message": body})

@@ -30,8 +30,9 @@ def stored_keys(keys: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     The semi join has the new keys on its small side: Spark can broadcast them
     or filter the stored table by them before its shuffle. A plain anti join
     would have to move every stored key, as only its stored side may be broadcast.
+    A key stored many times is one row of the result, combined by map tasks.
     """
-    return stored.select(key).join(broadcast_if_small(keys.select(key)), key, "left_semi")
+    return stored.select(key).join(broadcast_if_small(keys.select(key)), key, "left_semi").distinct()
 
 
 def not_stored(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:

@@ -14,8 +14,7 @@ from meterlake.sources.pricing import is_stale
 
 DIMENSIONS = ("project", "model", "source")
 
-# More distinct models than this make no readable table of columns.
-PIVOT_MODELS = 1_000
+OTHER = "other"
 
 
 def total_tokens() -> Column:
@@ -88,22 +87,23 @@ def breakdown_all(events: DataFrame) -> DataFrame:
 def spend_pivot(
     events: DataFrame, granularity: str = "day", models: Sequence[str] | None = None
 ) -> DataFrame:
-    """Spend per time bucket with one column per model, missing cells 0.
+    """Spend per time bucket: one column for each of ``models`` and one, ``other``, for all the rest, missing cells 0.
 
-    Without ``models`` the columns are the models that occur, found by a query of
-    their own.
+    The columns of a bucket add up to its spend. Without ``models`` the result is
+    long, ``(bucket, model, spend_usd)``, however many models there are.
     """
-    if models is None:
-        found = events.select("model").distinct().orderBy("model").limit(PIVOT_MODELS + 1).collect()
-        if len(found) > PIVOT_MODELS:
-            raise ValueError(f"more than {PIVOT_MODELS} models: name the ones to show")
-        models = [row.model for row in found]
     bucket = bucket_key(F.col("ts"), granularity).alias("bucket")
-    if not models:
-        return events.select(bucket).distinct()
-    spend = events.groupBy(bucket).pivot("model", list(models)).agg(F.sum("cost_usd"))
-    filled = {m: F.coalesce(F.col(f"`{m}`"), F.lit(0)).cast("decimal(28,6)") for m in models}
-    return spend.withColumns(filled).orderBy("bucket")
+    if models is None:
+        spend = F.sum("cost_usd").cast("decimal(28,6)").alias("spend_usd")
+        return events.groupBy(bucket, "model").agg(spend).orderBy("bucket", "model")
+    if OTHER in models:
+        raise ValueError(f"{OTHER!r} is the column of the models that are not named")
+    columns = [*models, OTHER]
+    named = F.when(F.col("model").isin(list(models)), F.col("model")).otherwise(F.lit(OTHER)).alias("column")
+    spend = events.groupBy(bucket, named).agg(F.sum("cost_usd").alias("cost_usd"))
+    wide = spend.groupBy("bucket").pivot("column", columns).agg(F.sum("cost_usd"))
+    filled = {m: F.coalesce(F.col(f"`{m}`"), F.lit(0)).cast("decimal(28,6)") for m in columns}
+    return wide.withColumns(filled).orderBy("bucket")
 
 
 def project_list(events: DataFrame) -> DataFrame:

@@ -106,6 +106,11 @@ def downgrade_groups(
     ).withColumn("saving_usd", (F.col("current_usd") - F.col("target_usd")).cast(money.SAVING))
 
 
+def facts(**values: Column) -> Column:
+    """The figures behind a suggestion as ``name=value`` text, in the order given."""
+    return F.concat_ws(" ", *[F.concat(F.lit(f"{name}="), value.cast("string")) for name, value in values.items()])
+
+
 def model_downgrade(
     events: DataFrame,
     prices: PriceTable,
@@ -124,20 +129,19 @@ def model_downgrade(
     found = downgrade_groups(events, target_cost, family, **limits)
     saved = money.monthly(F.col("saving_usd"), span_days)
     percent = F.round(F.col("saving_usd") * 100 / F.col("current_usd"), 0).cast("bigint")
-    detail = F.concat(
-        F.col("calls"),
-        F.lit(" calls in '"), F.col("project"),
-        F.lit("' look like work for a cheaper model (median output "),
-        F.floor("median_output"),
-        F.lit(f" tokens, similar inputs). On {target} they would have cost "),
-        money.dollars(F.col("target_usd")), F.lit(" instead of "), money.dollars(F.col("current_usd")),
-        F.lit(": save about "), money.dollars(saved), F.lit(" a month ("), percent, F.lit("%)."),
+    detail = facts(
+        calls=F.col("calls"),
+        median_output_tokens=F.floor("median_output"),
+        usd_now=money.dollars(F.col("current_usd")),
+        usd_on_target=money.dollars(F.col("target_usd")),
+        usd_saved_monthly=money.dollars(saved),
+        percent_saved=percent,
     )
     return _suggestions(
         found, "model_downgrade", span_days, "high",
         model=F.lit(None).cast("string"),
         input_bucket=F.lit(None).cast("bigint"),
-        title=F.concat(F.lit("Move calls in '"), F.col("project"), F.lit(f"' to {target}")),
+        title=F.concat(F.lit(f"Cheaper model ({target}): "), F.col("project")),
         detail=detail,
     )
 
@@ -190,17 +194,16 @@ def missing_prompt_cache(
         .withColumn("saving_usd", (micros / F.lit(MILLION)).cast(money.SAVING))
     )
     saved = money.monthly(F.col("saving_usd"), span_days)
-    detail = F.concat(
-        F.lit("'"), F.col("project"), F.lit("' sends about "), F.col("input_bucket"),
-        F.lit(" input tokens uncached on "), F.col("calls"), F.lit(" calls ("), F.col("model"),
-        F.lit("). A prompt cache would serve "), F.col("repeated_input_tokens"),
-        F.lit(" repeated input tokens: save about "), money.dollars(saved), F.lit(" a month."),
+    detail = facts(
+        calls=F.col("calls"),
+        model=F.col("model"),
+        input_tokens_each=F.col("input_bucket"),
+        input_tokens_repeated=F.col("repeated_input_tokens"),
+        usd_saved_monthly=money.dollars(saved),
     )
     return _suggestions(
         found, "missing_prompt_cache", span_days, "medium",
-        title=F.concat(
-            F.lit("Cache prompts of '"), F.col("project"), F.lit("' ("), F.col("model"), F.lit(")")
-        ),
+        title=F.concat(F.lit("Prompt cache ("), F.col("model"), F.lit("): "), F.col("project")),
         detail=detail,
     )
 
@@ -229,16 +232,16 @@ def batch_candidates(
         "saving_usd", (F.col("cost_usd") * F.lit(saving)).cast(money.SAVING)
     )
     saved = money.monthly(F.col("saving_usd"), span_days)
-    detail = F.concat(
-        F.col("calls"), F.lit(" direct API calls in '"), F.col("project"), F.lit("' (up to "),
-        F.col("max_in_window"),
-        F.lit(f" within {window_minutes} minutes) could wait. In batches they would save about "),
-        money.dollars(saved), F.lit(" a month."),
+    detail = facts(
+        direct_calls=F.col("calls"),
+        window_minutes=F.lit(window_minutes),
+        most_calls_in_window=F.col("max_in_window"),
+        usd_saved_monthly=money.dollars(saved),
     )
     return _suggestions(
         found, "batch_candidates", span_days, "medium",
         model=F.lit(None).cast("string"),
         input_bucket=F.lit(None).cast("bigint"),
-        title=F.concat(F.lit("Send calls of '"), F.col("project"), F.lit("' in batches")),
+        title=F.concat(F.lit("Batch interface: "), F.col("project")),
         detail=detail,
     )

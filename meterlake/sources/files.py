@@ -50,9 +50,14 @@ def changed_files(listed: DataFrame, manifest: DataFrame) -> DataFrame:
     return listed.join(seen, ["file_path", "length", "modified"], "left_anti")
 
 
+def _without_mark(text: str) -> Column:
+    """A file's text without a byte-order mark, which Spark's split reader leaves out too."""
+    return F.regexp_replace(text, "^\ufeff", "")
+
+
 def _numbered_small(files: DataFrame) -> DataFrame:
     """Lines of files that arrive whole. What follows the last line end is no line."""
-    text = F.regexp_replace("value", rf"({LINE_END})\z", "")
+    text = F.regexp_replace(_without_mark("value"), rf"({LINE_END})\z", "")
     return (
         files.where(F.length("value") > 0)
         .select("file_path", "modified", F.posexplode(F.split(text, LINE_END)).alias("position", "value"))
@@ -113,7 +118,7 @@ def read_whole(
     spark: SparkSession, pattern: str, files: DataFrame | None = None, since: dt.datetime | None = None
 ) -> DataFrame:
     """``(file_path, modified, value)`` with each file's whole text."""
-    rows = _reader(spark, since).text(pattern, wholetext=True).select(*_facts(), "value")
+    rows = _reader(spark, since).text(pattern, wholetext=True).select(*_facts(), _without_mark("value").alias("value"))
     if files is not None:
         rows = rows.join(broadcast_if_small(files.select("file_path")), "file_path", "left_semi")
     return _readable(rows)

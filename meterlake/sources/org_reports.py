@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions import jsonfields as J
 from meterlake.functions import labels
+from meterlake.functions.calendar import utc_text
 from meterlake.sources.records import DRAFT_COLUMNS, any_tokens
 
 # The alternative keys under which reports carry a field, in the
@@ -31,15 +32,18 @@ COST_KEYS = ("cost_usd", "cost", "amount", "total_cost")
 BATCH_KEYS = ("is_batch", "batch")
 TIER_KEYS = ("service_tier", "tier")
 
+END_MARK = "\u2402 end of page \u2402"
+
 
 def flatten_reports(payloads: DataFrame) -> DataFrame:
-    """``(record, bucket_time, location)`` of every record in ``(payload, location)``.
+    """``(record, bucket_time, unparsed, location)`` of every record in ``(payload, location)``.
 
     A payload is a list of entries, an object holding one under ``data`` or
     ``results``, or a single bare entry. An entry is a record, or a bucket with
-    its records in a nested list; those inherit the bucket's time. A payload that
-    does not parse comes out as one row with a null record, and so does every
-    entry that is no object, so that both can be counted.
+    its records in a nested list; those inherit the bucket's time. A payload that is
+    not exactly one JSON value comes out as one row with a null record and its text
+    in ``unparsed``, and every entry that is no object as a row with a null record,
+    so that both can be counted.
     """
     page = F.col("page")
     data = F.try_variant_get(page, "$.data", "variant")
@@ -50,8 +54,14 @@ def flatten_reports(payloads: DataFrame) -> DataFrame:
         .when(held.isNotNull(), J.list_items(held))
         .when(J.is_object(page), F.array(page))
     )
-    top = payloads.withColumn("page", F.try_parse_json("payload")).select(
+    # With brackets and a mark behind it, a payload that is not exactly one value
+    # comes out as something other than two items with the mark at the end.
+    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col("payload"), F.lit(f', "{END_MARK}"]')))
+    items = F.try_variant_get(wrapped, "$", "array<variant>")
+    is_one = (F.size(items) == 2) & (F.try_variant_get(F.get(items, F.lit(1)), "$", "string") == END_MARK)
+    top = payloads.withColumn("page", F.when(is_one, F.get(items, F.lit(0)))).select(
         "location",
+        F.when(F.col("page").isNull(), F.col("payload")).alias("unparsed"),
         F.posexplode(F.coalesce(entries, F.array(F.lit(None).cast("variant")))).alias("entry_number", "entry"),
     )
     entry = F.col("entry")
@@ -61,12 +71,14 @@ def flatten_reports(payloads: DataFrame) -> DataFrame:
     # A bare record is treated as a bucket of one, without a time to pass on.
     return top.select(
         "location",
+        "unparsed",
         "entry_number",
         J.first_of(entry, *TIME_KEYS).alias("bucket_time"),
         F.posexplode(F.coalesce(nested, F.array(entry))).alias("record_number", "record"),
     ).select(
         "record",
         "bucket_time",
+        "unparsed",
         F.concat_ws(":", "location", "entry_number", "record_number").alias("location"),
     )
 
@@ -101,7 +113,7 @@ def parse_org_reports(payloads: DataFrame) -> DataFrame:
     )
     key = labels.event_uid(
         F.col("source"),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+        utc_text(F.col("ts")),
         F.coalesce("reported_model", F.lit("")),
         F.coalesce("project", F.lit("")),
         F.when(F.col("is_batch"), "1").otherwise("0"),
@@ -120,6 +132,6 @@ def parse_org_reports(payloads: DataFrame) -> DataFrame:
             "collector": F.lit(labels.ORG_REPORT),
             "aggregated_cost": ~any_tokens(),
             "reject_reason": reason,
-            "raw": F.when(reason.isNotNull(), F.to_json(record)),
+            "raw": F.when(reason.isNotNull(), F.coalesce(F.to_json(record), F.col("unparsed"))),
         }
     ).select(*DRAFT_COLUMNS)

@@ -12,18 +12,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions import money
+from meterlake.functions.calendar import DAY_MICROS, as_utc
 from meterlake.functions.money import Modifiers, UnitRates
 
+EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 RATE = "decimal(12,4)"
+# As wide as files are read, so that a rate that RATE would round is seen.
+READ_RATE = "decimal(38,18)"
 
 # A price table up to this many models goes to every executor; a larger one is
 # joined however Spark's own statistics say.
 BROADCAST_MODELS = 50_000
 
 PRICING_FILE_SCHEMA = (
-    f"updated DATE, models MAP<STRING, STRUCT<input: {RATE}, output: {RATE}>>, "
-    "modifiers STRUCT<cache_read_multiplier: decimal(8,4), cache_write_5m_multiplier: decimal(8,4), "
-    "cache_write_1h_multiplier: decimal(8,4), batch_multiplier: decimal(8,4)>, fallback_model STRING"
+    f"updated DATE, models MAP<STRING, STRUCT<input: {READ_RATE}, output: {READ_RATE}>>, "
+    f"modifiers STRUCT<cache_read_multiplier: {READ_RATE}, cache_write_5m_multiplier: {READ_RATE}, "
+    f"cache_write_1h_multiplier: {READ_RATE}, batch_multiplier: {READ_RATE}>, fallback_model STRING"
 )
 
 
@@ -57,6 +61,18 @@ def _check_modifiers(modifiers: Modifiers) -> None:
         raise PricingError("a price modifier is missing or negative")
 
 
+def _places(value: Column) -> Column:
+    """Decimal places that a number needs."""
+    return F.length(F.regexp_replace(F.split_part(value.cast("decimal(38,18)").cast("string"), F.lit("."), F.lit(2)), "0+$", ""))
+
+
+def _check_places(facts, modifiers: Modifiers) -> None:
+    """Costs are exact only if a rate times its factors fits the unit rate's places; nothing is rounded to make it fit."""
+    factors = max(-(m.normalize().as_tuple().exponent) for m in modifiers[:3]) + max(0, -modifiers.batch.normalize().as_tuple().exponent)
+    if facts > money.places(RATE) or facts + max(0, factors) > money.places(money.UNIT_RATE):
+        raise PricingError(f"a rate has {facts} decimal places, too many to be kept exactly with these modifiers")
+
+
 def load_pricing(spark: SparkSession, path: str) -> PriceTable:
     """Read and check a pricing file (one JSON object)."""
     raw = spark.read.schema(PRICING_FILE_SCHEMA).json(path, multiLine=True)
@@ -70,6 +86,9 @@ def load_pricing(spark: SparkSession, path: str) -> PriceTable:
         F.col("rate.input").alias("input_rate"),
         F.col("rate.output").alias("output_rate"),
     )
+    most_places = rates.agg(F.max(F.greatest(_places(F.col("input_rate")), _places(F.col("output_rate"))))).first()[0]
+    _check_places(most_places or 0, modifiers)
+    rates = rates.select("model", F.col("input_rate").try_cast(RATE).alias("input_rate"), F.col("output_rate").try_cast(RATE).alias("output_rate"))
     is_fallback = F.col("model") == F.lit(head.fallback_model)
     facts = rates.agg(
         F.count(F.lit(1)).alias("models"),
@@ -105,6 +124,7 @@ def price_table(
         raise PricingError(f"models with a missing or negative rate: {bad}")
     if fallback_model not in rates:
         raise PricingError("fallback_model must name a model in the price table")
+    _check_places(max(max(0, -r.normalize().as_tuple().exponent) for pair in rates.values() for r in pair), modifiers)
     columns = {"model": list(rates)} | {
         name: [str(pair[i]) for pair in rates.values()] for i, name in enumerate(("input_rate", "output_rate"))
     }
@@ -171,5 +191,5 @@ def is_stale(updated: Column, now: dt.datetime, days: int = 30) -> Column:
     The age is measured in time from the start of that day, so it turns stale
     as soon as ``days`` whole days have passed.
     """
-    limit = F.lit(now) - F.make_dt_interval(F.lit(days))
-    return F.coalesce(updated.cast("timestamp") < limit, F.lit(True))
+    limit = round((as_utc(now) - EPOCH) / dt.timedelta(microseconds=1)) - days * DAY_MICROS
+    return F.coalesce(F.unix_date(updated).cast("long") * F.lit(DAY_MICROS) < F.lit(limit), F.lit(True))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterlake.functions.calendar import utc_date
 from meterlake.functions.labels import event_uid
 from meterlake.schema import MONEY, RAW_META, TOKEN_COLUMNS, USAGE_COLUMNS
 from meterlake.sources.pricing import PriceTable, price
@@ -61,7 +62,7 @@ def priced(drafts: DataFrame, prices: PriceTable) -> DataFrame:
                 "model": F.coalesce("reported_model", F.lit(prices.fallback_model)),
                 "cost_usd": F.when(aggregated, F.col("reported_cost_usd")).otherwise(F.col("cost_usd")).cast(MONEY),
                 "raw_meta": F.when(has_meta, meta),
-                "event_date": F.to_date("ts"),
+                "event_date": utc_date(F.col("ts")),
             }
         )
         .withColumn(

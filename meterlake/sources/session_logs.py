@@ -73,8 +73,9 @@ def parse_session_lines(lines: DataFrame, dedupe_on: str = "line") -> DataFrame:
             "cache_ttl": F.lit(None).cast("string"),
             "session_id": labels.session_label(F.col("file_path")),
             # Without an id, another message may take the place of a line; without
-            # a time of its own, a line gets the one of the file.
-            "dated": stated.isNotNull() & message_id.isNotNull(),
+            # a time of its own, a line gets the one of the file; and a message id
+            # alone says nothing of the time.
+            "dated": stated.isNotNull() & message_id.isNotNull() & F.lit(dedupe_on == "line"),
             "collector": F.lit(None).cast("string"),
             "reported_cost_usd": F.lit(None).cast("decimal(18,6)"),
             "aggregated_cost": F.lit(False),

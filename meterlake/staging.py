@@ -14,15 +14,16 @@ from meterlake.schema import hadoop_path
 def staging_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in a local test session, a temporary folder is chosen and remembered.
+    A cluster names it in ``spark.checkpoint.dir`` and can't go without, as its
+    machines see only their own temporary folders. A local session, which is one
+    process, is given one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.conf.get("spark.meterlake.stagingDir", None)
-    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="meterlake-")
-        spark.conf.set("spark.meterlake.stagingDir", root)
+        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
@@ -65,5 +66,8 @@ BROADCAST_ROWS = 500_000
 
 
 def broadcast_if_small(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``keys`` with a broadcast hint when a count shows that they are few."""
-    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
+    """``keys`` with a broadcast hint when a count shows that they are few.
+
+    A staged table is counted from the footers of its files.
+    """
+    return F.broadcast(keys) if keys.count() <= limit else keys

@@ -43,36 +43,33 @@ def test_a_project_called_like_the_overall_scope(spark, usage):
     assert [(r.scope, r.spend) for r in rows] == [("global", 5), ("project:global", 5)]
 
 
-def fixture_store(spark, usage, path):
-    store = UsageStore(spark, str(path))
-    store.append_events(usage({"ts": at("2026-06-18"), "model": "large-a", "input_tokens": 2_000_000}))
-    return store
+# 47.50 dollars in May.
+MAY = {"ts": at("2027-05-11T06:30:00"), "model": "large-a", "input_tokens": 4_500_000, "output_tokens": 1_000_000}
 
 
 def test_fire_once(spark, usage, tmp_path):
-    store = fixture_store(spark, usage, tmp_path)
-    budgets = budget_table(spark, {"monthly": 10})
-    fired = fire_alerts(store, budgets, NOW, outbox=True).orderBy("fraction").collect()
-    assert [r.period_key for r in fired] == ["2026-06@0.8", "2026-06@1"]
-    assert [(r.threshold, r.actual) for r in fired] == [(8, 10), (10, 10)]
-    assert fire_alerts(store, budgets, NOW, outbox=True).count() == 0
-    # A new fraction fires on its own, and a new month fires again.
-    assert [r.period_key for r in fire_alerts(store, budgets, NOW, ["0.8", "0.5"]).collect()] == ["2026-06@0.5"]
-    store.append_events(usage({"event_uid": "july", "ts": at("2026-07-02"), "model": "large-a", "input_tokens": 1_600_000}))
-    assert [r.period_key for r in fire_alerts(store, budgets, at("2026-07-03")).collect()] == ["2026-07@0.8"]
-    latest = recent_alerts(store.alerts(), 2).collect()
-    assert [r.period_key for r in latest] == ["2026-07@0.8", "2026-06@1"]
+    store = UsageStore(spark, str(tmp_path))
+    store.append_events(usage(MAY))
+    budgets, when = budget_table(spark, {"monthly": 50}), at("2027-05-12")
+    marks = ["0.25", "0.95", "0.96"]
+    fired = fire_alerts(store, budgets, when, marks, outbox=True).orderBy("fraction").collect()
+    assert [(r.period_key, r.threshold, r.actual) for r in fired] == [("2027-05@0.25", Decimal("12.5"), Decimal("47.5")), ("2027-05@0.95", Decimal("47.5"), Decimal("47.5"))]
+    assert fire_alerts(store, budgets, when, marks, outbox=True).count() == 0
+    # Another mark fires by itself, and so does each mark in another month.
+    assert [r.period_key for r in fire_alerts(store, budgets, when, ["0.25", "0.6"]).collect()] == ["2027-05@0.6"]
+    store.append_events(usage({"event_uid": "august", "ts": at("2027-08-31T23:00:00"), "model": "small", "output_tokens": 3_000_000}))
+    assert [r.period_key for r in fire_alerts(store, budgets, at("2027-08-31T23:30:00"), marks).collect()] == ["2027-08@0.25"]
+    assert [r.period_key for r in recent_alerts(store.alerts(), 3).collect()] == ["2027-08@0.25", "2027-05@0.95", "2027-05@0.6"]
     payloads = [json.loads(r.value) for r in spark.read.text(store.outbox_path).collect()]
-    assert len(payloads) == 2 and set(payloads[0]) == {
-        "title", "message", "scope", "period", "fraction", "threshold", "actual", "period_key",
-    }
+    assert sorted(p["period_key"] for p in payloads) == ["2027-05@0.25", "2027-05@0.95"]
+    assert {(p["scope"], p["period"], p["actual"]) for p in payloads} == {("global", "monthly", 47.5)}
+    assert {key for p in payloads for key in p} == {"title", "message", "scope", "period", "fraction", "threshold", "actual", "period_key"}
 
 
-@pytest.mark.parametrize("budget, want", [("10", ["2026-06@0.8", "2026-06@1"]), ("12.5", ["2026-06@0.8"]), ("20", [])])
+@pytest.mark.parametrize("budget, want", [("47.5", ["0.8", "1"]), ("47.500001", ["0.8"]), ("59.375", ["0.8"]), ("59.375001", [])])
 def test_crossings(spark, usage, budget, want):
-    events = usage({"ts": at("2026-06-18"), "model": "large-a", "input_tokens": 2_000_000})
-    status = budget_status(events, budget_table(spark, {"monthly": budget}), NOW)
-    assert sorted(r.period_key for r in crossings(status).collect()) == want
+    status = budget_status(usage(MAY), budget_table(spark, {"monthly": budget}), at("2027-05-31T23:59:59"))
+    assert sorted(r.period_key for r in crossings(status).collect()) == [f"2027-05@{f}" for f in want]
     with pytest.raises(ValueError):
         crossings(status, [])
     with pytest.raises(ValueError):
@@ -80,11 +77,9 @@ def test_crossings(spark, usage, budget, want):
 
 
 def test_message(spark, usage):
-    events = usage({"ts": at("2026-06-18"), "model": "large-a", "input_tokens": 2_000_000})
-    status = budget_status(events, budget_table(spark, {"monthly": "12.5"}), NOW)
+    status = budget_status(usage(MAY), budget_table(spark, {"monthly": "55"}), at("2027-05-20"))
     row = alert_messages(crossings(status)).first()
-    assert row.title == "Budget alert: global monthly"
-    assert row.message == "global monthly spend $10.00 crossed 80% of budget ($10.00)."
+    assert (row.title, row.message) == ("monthly budget of global: 80% reached", "spend_usd=47.50 threshold_usd=44.00")
 
 
 def test_labels(spark):

@@ -10,21 +10,22 @@ from meterlake.sources.pricing import PricingError, cost_at, is_stale, load_pric
 from meterlake.sources.samples import SAMPLE_MODIFIERS
 
 M = 1_000_000
+# Sample rates: large-a 5 and 25, medium 3 and 15 (also for unknown models), small 1 and 5 dollars a million.
 CASES = [
     # model, input, output, cache read, cache write, ttl, batch, dollars
-    ("large-a", M, 0, 0, 0, None, False, "5"),
-    ("large-a", M, M, 0, 0, None, False, "30"),
-    ("large-a", 0, 0, M, 0, None, False, "0.5"),
-    ("large-a", 0, 0, 0, M, None, False, "6.25"),
-    ("large-a", 0, 0, 0, M, "5m", False, "6.25"),
-    ("large-a", 0, 0, 0, M, "1h", False, "10"),
-    ("large-a", M, M, 0, 0, None, True, "15"),
-    ("large-a", 0, 0, M, M, None, True, "3.375"),
-    ("unlisted", M, M, 0, 0, None, False, "18"),
-    ("large-a", 100_000, 20_000, M, 400_000, None, False, "4"),
-    ("large-a", 1, 0, 0, 0, None, False, "0.000005"),
-    (None, M, 0, 0, 0, None, False, "3"),
-    ("small", 1, 0, 0, 0, None, True, "0.000001"),
+    ("medium", 70, 0, 0, 0, None, False, "0.00021"),
+    ("medium", 70, 11, 0, 0, None, False, "0.000375"),
+    ("medium", 0, 0, 900, 0, None, False, "0.00027"),
+    ("medium", 0, 0, 0, 800, None, False, "0.003"),
+    ("medium", 0, 0, 0, 800, "5m", False, "0.003"),
+    ("medium", 0, 0, 0, 800, "1h", False, "0.0048"),
+    ("large-a", 30, 4, 200, 60, "1h", False, "0.00095"),
+    ("large-a", 30, 4, 200, 60, "1h", True, "0.000475"),
+    ("not in the table", 33, 7, 0, 0, None, False, "0.000204"),
+    (None, 33, 7, 0, 0, None, True, "0.000102"),
+    ("small", 3, 0, 0, 0, None, True, "0.000002"),
+    ("small", 0, 0, 14, 0, None, False, "0.000001"),
+    ("small", 0, 0, 0, 0, None, False, "0"),
 ]
 
 
@@ -32,7 +33,7 @@ def test_costs(spark, prices):
     names = "model string, input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, cache_creation_tokens bigint, cache_ttl string, is_batch boolean, want string"
     rows = price(spark.createDataFrame(CASES, names), prices).collect()
     assert [r.cost_usd for r in rows] == [Decimal(r.want).quantize(Decimal("1e-6")) for r in rows]
-    assert {r.model for r in rows if not r.known_model} == {"unlisted", None}
+    assert {r.model for r in rows if not r.known_model} == {"not in the table", None}
 
 
 def test_cost_out_of_range_is_null_and_no_failure(usage):
@@ -108,3 +109,12 @@ def test_staleness(spark):
     now = dt.datetime(2026, 7, 20, 0, 0, 1, tzinfo=dt.timezone.utc)
     dates = spark.createDataFrame([(dt.date(2026, 6, 20),), (dt.date(2026, 6, 21),), (None,)], "d date")
     assert [r[0] for r in dates.select(is_stale(F.col("d"), now)).collect()] == [True, False, True]
+
+
+@pytest.mark.parametrize("rate", ["0.00004", "0.12345", "3.00001"])
+def test_rates_are_never_rounded(spark, tmp_path, rate):
+    with pytest.raises(PricingError, match="decimal places"):
+        load_pricing(spark, write(tmp_path, models={"b": {"input": float(rate), "output": 5}}))
+    with pytest.raises(PricingError, match="decimal places"):
+        price_table(spark, {"a": (rate, 5)}, SAMPLE_MODIFIERS, "a")
+    assert load_pricing(spark, write(tmp_path, models={"b": {"input": 0.1234, "output": 5}})).rates_of("b")[0] == Decimal("0.1234")
