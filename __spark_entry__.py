@@ -9,17 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlake.functions import calendar
+from meterlake.functions import calendar, labels
+from meterlake.functions.calendar import utc_date
 from meterlake.operators import budgets, dedup, density, reports, rules
 from meterlake.operators.filters import in_range
+from meterlake.plans.alerts import fire_alerts
+from meterlake.plans.ingest import ingest
+from meterlake.plans.store import UsageStore
 from meterlake.plans.suggestions import savings_suggestions
-from meterlake.sources import samples
+from meterlake.schema import RAW_META, USAGE_COLUMNS
+from meterlake.sources import landing, samples
 from meterlake.sources.api_records import parse_api_records
-from meterlake.sources.budgets import budget_table
+from meterlake.sources.budgets import budget_table, load_alert_fractions, load_budgets
+from meterlake.sources.files import read_manifest
 from meterlake.sources.org_reports import parse_org_reports
 from meterlake.sources.records import accepted, priced
 from meterlake.sources.session_logs import parse_session_lines
-from meterlake.staging import stage
+from meterlake.sources.pricing import load_pricing
+from meterlake.staging import new_staging_path, stage
 from meterlake.streaming import streams
 
 try:
@@ -242,27 +249,100 @@ def flatten_org_report(spark, folder):
     return _ntz(_doubles(rows.select(*[c for c in USAGE if c != "session_id"], meta)), "ts")
 
 
+def _landed(spark, folder):
+    """A fresh root of landed files, its sources, and prices and budgets read from files."""
+    events = _events(spark, folder)
+    root = new_staging_path(spark, "landed")
+    landing.land_settings(root, spark, samples.sample_prices(spark), _budget_rows(spark))
+    landing.land_pages(root, events)
+    prices, limits = load_pricing(spark, f"{root}/pricing"), load_budgets(spark, f"{root}/settings")
+    return events, root, landing.landed_sources(root), prices, limits
+
+
+def _ingested(spark, folder):
+    """Even events land and are ingested; then odd ones land in the same folders, and only their files are read."""
+    events, root, sources, prices, limits = _landed(spark, folder)
+    store = UsageStore(spark, f"{root}/store")
+    reports = []
+    for part in (0, 1):
+        landing.land(root, events.where(F.col("event_uid").cast("bigint") % 2 == part))
+        reports.append(ingest(store, sources, prices).withColumn("run", F.lit(part + 1).cast("bigint")))
+    return store, reports[0].unionByName(reports[1])
+
+
+STORED = [c for c in USAGE if c not in ("event_uid", "session_id")]
+
+
+def _stored(events):
+    day = F.col("event_date").cast("string").alias("event_date")
+    return _ntz(_doubles(events.select(*STORED, "cache_ttl", day)), "ts")
+
+
+def stored_events(spark, folder):
+    return _stored(_ingested(spark, folder)[0].events())
+
+
+def stored_events_of_two_days(spark, folder):
+    """A range whose ends lie on midnights."""
+    start, end = (dt.datetime(2024, 1, d, tzinfo=UTC) for d in (9, 11))
+    return _stored(in_range(_ingested(spark, folder)[0].events(), start, end))
+
+
+def stored_rejects(spark, folder):
+    rejects = _ingested(spark, folder)[0].rejects()
+    return rejects.groupBy("source", "reject_reason").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.length("raw") > 0).alias("with_text"))
+
+
+def file_manifest(spark, folder):
+    store, _ = _ingested(spark, folder)
+    files = read_manifest(spark, store.manifest_path)
+    kind = F.split_part("file_path", F.lit("/"), F.lit(-3)).alias("kind")
+    return files.groupBy(kind, labels.parent_directory(F.col("file_path")).alias("folder")).agg(F.count(F.lit(1)).alias("files"))
+
+
 def ingest_report(spark, folder):
-    parsed = [f(spark, folder).select("source", "event_uid", "reject_reason") for f in (_parsed_logs, _parsed_calls, _parsed_reports)]
-    rows = parsed[0].unionByName(parsed[1]).unionByName(parsed[2])
-    per_key = rows.groupBy("source", "reject_reason", "event_uid").agg(F.count(F.lit(1)).alias("records"))
-    usable = F.col("reject_reason").isNull()
-    return per_key.groupBy("source").agg(
-        F.count_if(usable).alias("rows_added"),
-        F.coalesce(F.sum(F.when(~usable, F.col("records"))), F.lit(0)).alias("records_skipped"),
-        F.coalesce(F.sum(F.when(usable, F.col("records") - 1)), F.lit(0)).alias("duplicates"),
-    )
+    return _ingested(spark, folder)[1].drop("error")
+
+
+def fired_alerts(spark, folder):
+    """The alert log after two firings, with the messages of the outbox."""
+    events, root, _, _, limits = _landed(spark, folder)
+    store = UsageStore(spark, f"{root}/store")
+    store.append_events(events.withColumn("raw_meta", F.lit(None).cast(RAW_META)).withColumn("event_date", utc_date(F.col("ts"))).select(*USAGE_COLUMNS))
+    fractions = load_alert_fractions(spark, f"{root}/settings")
+    for _ in range(2):
+        fire_alerts(store, limits, BUDGET_NOW, fractions, outbox=True)
+    sent = spark.read.text(store.outbox_path).select(F.from_json("value", "title string, scope string, period_key string, actual double").alias("m"))
+    calendar_key, fraction = budgets.split_dedupe_key(F.col("m.period_key"))
+    sent = sent.select("m.title", F.col("m.scope").alias("scope"), calendar_key.alias("calendar_key"), fraction.cast("decimal(10,4)").alias("fraction"), F.col("m.actual").alias("sent_usd"))
+    return _ntz(_doubles(store.alerts().join(sent, ["scope", "calendar_key", "fraction"])), "ts")
+
+
+def ingest_stream_events(spark, folder):
+    """All files as a stream of small batches, with alerts after each."""
+    events, root, sources, prices, limits = _landed(spark, folder)
+    landing.land(root, events)
+    store = UsageStore(spark, f"{root}/store")
+    for source in sources:
+        query = streams.ingest_stream(store, source, prices, f"{root}/checkpoint-{source.name}", limits, lambda: BUDGET_NOW, files_per_batch=8)
+        query.awaitTermination()
+    fired = store.alerts().groupBy("scope", "period", "calendar_key", "fraction").count()
+    if fired.where("count > 1").count():
+        raise ValueError("an alert fired twice")
+    return _stored(store.events())
 
 
 def _event_stream(spark, folder):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    streams.keep_state_on_disk(spark)
     raw = streams.read_table_stream(spark, f"{folder}/events.parquet")
     return samples.price(samples.usage_from_events(raw), samples.sample_prices(spark))
 
 
 def tumbling_spend_stream(spark, folder):
-    closed = streams.tumbling_spend(_event_stream(spark, folder), STREAM_DELAY)
-    return _ntz(_doubles(streams.write_available(closed, "tumbling-spend")), "window_start", "window_end")
+    windows = streams.tumbling_spend(_event_stream(spark, folder), STREAM_DELAY)
+    rows = streams.write_latest(windows, ["window_start", "window_end", "model"], "tumbling-spend")
+    return _ntz(_doubles(rows), "window_start", "window_end")
 
 
 def stream_dedup(spark, folder):
@@ -275,7 +355,8 @@ def stream_dedup(spark, folder):
 
 def burst_stream(spark, folder):
     bursts = streams.call_bursts(_event_stream(spark, folder), STREAM_DELAY, 4, "6 hours", "1 hour")
-    return _ntz(streams.write_available(bursts, "bursts"), "window_start", "window_end")
+    rows = streams.write_latest(bursts, ["window_start", "window_end", "project"], "bursts")
+    return _ntz(rows, "window_start", "window_end")
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -316,6 +397,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "api_records": api_records,
         "flatten_org_report": flatten_org_report,
         "ingest_report": ingest_report,
+        "stored_events": stored_events,
+        "stored_events_of_two_days": stored_events_of_two_days,
+        "stored_rejects": stored_rejects,
+        "file_manifest": file_manifest,
+        "fired_alerts": fired_alerts,
+        "ingest_stream_events": ingest_stream_events,
         "tumbling_spend_stream": tumbling_spend_stream,
         "stream_dedup": stream_dedup,
         "burst_stream": burst_stream,
@@ -540,6 +627,19 @@ records AS (
 """
 
 
+# What the stored table holds after all files are read; logged calls count once for each id, or each time without one.
+STORED_ROWS = f"""{EVENTS}, {PARSED_LOGS}, {PARSED_CALLS}, {REPORT_RECORDS}, stored AS (
+  SELECT ts, 'session_log' AS source, project, model, input_tokens, output_tokens, cache_creation_tokens, cache_read_tokens, is_batch,
+    {_priced_sql()}::DOUBLE / 1e6 AS cost_usd, cache_ttl, event_id FROM logs WHERE reject_reason IS NULL
+  UNION ALL SELECT ts, source, project, model, input_tokens, output_tokens, cache_creation_tokens, cache_read_tokens, is_batch,
+    micros::DOUBLE / 1e6, cache_ttl, event_id FROM keyed_calls WHERE copy = 0 OR response_id IS NULL
+  UNION ALL SELECT ts, 'org_report', project, model, input_tokens, output_tokens, cache_creation_tokens, cache_read_tokens, is_batch,
+    cost_usd, NULL, NULL FROM records)
+"""
+STORED_LIST = """ts, source, project, model, input_tokens, output_tokens, cache_creation_tokens, cache_read_tokens, is_batch, cost_usd,
+  cache_ttl, strftime(ts, '%Y-%m-%d') AS event_date"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "priced_events": f"""{EVENTS}
@@ -613,23 +713,49 @@ SELECT sha256(concat_ws(chr(31), 'org_report', strftime(ts, '%Y-%m-%dT%H:%M:%S.%
   ts, 'org_report' AS source, project, model, input_tokens, output_tokens, cache_creation_tokens, cache_read_tokens,
   is_batch, cost_usd, aggregated_cost
 FROM records""",
-        "ingest_report": f"""{EVENTS}, {PARSED_LOGS}, {PARSED_CALLS}, {REPORT_RECORDS}
-SELECT 'session_log' AS source, count(*) FILTER (reject_reason IS NULL) AS rows_added,
-  count(reject_reason) AS records_skipped, 0::BIGINT AS duplicates FROM logs
-UNION ALL SELECT 'api', count(DISTINCT call_uid), 0, count(*) - count(DISTINCT call_uid) FROM keyed_calls
-UNION ALL SELECT 'org_report', count(*), 2 * count(DISTINCT ts), 0 FROM records""",
+        "stored_events": f"{STORED_ROWS} SELECT {STORED_LIST} FROM stored",
+        "ingest_stream_events": f"{STORED_ROWS} SELECT {STORED_LIST} FROM stored",
+        "stored_events_of_two_days": f"""{STORED_ROWS} SELECT {STORED_LIST} FROM stored
+WHERE ts >= TIMESTAMP '2024-01-09' AND ts <= TIMESTAMP '2024-01-11'""",
+        "stored_rejects": f"""{EVENTS}, {PARSED_LOGS}, {REPORT_RECORDS}
+SELECT 'session_log' AS source, reject_reason, count(*) AS records, count(*) AS with_text FROM logs WHERE reject_reason IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'org_report', reason, count(DISTINCT ts), count(DISTINCT ts) FROM records, (VALUES ('no_usage'), ('not_a_json_object')) r(reason) GROUP BY 2""",
+        "file_manifest": f"""{EVENTS}
+SELECT 'projects' AS kind, 'folder=-home-team-' || project AS folder, count(DISTINCT event_id % 2) AS files FROM e GROUP BY project
+UNION ALL SELECT 'calls', 'project=' || project, count(DISTINCT event_id % 2) FROM e WHERE source = 'api' GROUP BY project
+UNION ALL SELECT 'pages', 'page=page-' || strftime(ts, '%Y-%m-%d'), 1 FROM e GROUP BY ALL""",
+        "ingest_report": f"""{STORED_ROWS}, f AS (
+  SELECT 'session_log' AS source, count(DISTINCT project) FILTER (event_id % 2 = 0) AS even, count(DISTINCT project) FILTER (event_id % 2 = 1) AS odd FROM e
+  UNION ALL SELECT 'api', count(DISTINCT project) FILTER (event_id % 2 = 0), count(DISTINCT project) FILTER (event_id % 2 = 1) FROM e WHERE source = 'api'
+  UNION ALL SELECT 'org_report', count(DISTINCT ts), 0 FROM records),
+r AS (
+  SELECT source, event_id % 2 AS odd, count(*) AS n FROM stored GROUP BY ALL),
+k AS (
+  SELECT 'session_log' AS source, event_id % 2 AS odd, count(*) AS n FROM logs WHERE reject_reason IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT 'org_report', NULL, 2 * count(DISTINCT ts) FROM records),
+d AS (SELECT event_id % 2 AS odd, count(*) FILTER (copy = 1 AND response_id IS NOT NULL) AS n FROM keyed_calls GROUP BY ALL),
+t AS (SELECT sum(n) FILTER (coalesce(odd, 0) = 0) AS one, sum(n) FILTER (odd = 1) AS two FROM r)
+SELECT run::BIGINT AS run, source, (CASE run WHEN 1 THEN f.even ELSE f.even + f.odd END)::BIGINT AS files_scanned,
+  (CASE run WHEN 1 THEN 0 ELSE f.even END)::BIGINT AS files_unchanged,
+  coalesce((SELECT n FROM r WHERE r.source = f.source AND coalesce(r.odd, 0) = run - 1), 0)::BIGINT AS rows_added,
+  coalesce((SELECT n FROM d WHERE f.source = 'api' AND d.odd = run - 1), 0)::BIGINT AS duplicates,
+  coalesce((SELECT n FROM k WHERE k.source = f.source AND coalesce(k.odd, 0) = run - 1), 0)::BIGINT AS records_skipped,
+  (CASE run WHEN 1 THEN 0 ELSE one END)::BIGINT AS events_before, (CASE run WHEN 1 THEN one ELSE one + two END)::BIGINT AS events_after
+FROM f, t, (VALUES (1), (2)) v(run)""",
+        "fired_alerts": f"""{BUDGET_EVENTS}
+SELECT TIMESTAMP '2024-01-17 12:00:00' AS ts, scope, period, calendar_key, fraction, threshold, actual,
+  period || ' budget of ' || scope || ': ' || round(fraction * 100)::BIGINT || '% reached' AS title, actual AS sent_usd
+FROM c""",
         "tumbling_spend_stream": f"""{EVENTS}, w AS (
   SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, * FROM e)
 SELECT window_start, window_end, model, count(*) AS call_count, {USD} AS spend_usd, sum(tokens)::BIGINT AS tokens
-FROM w GROUP BY 1, 2, 3
-HAVING window_end <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM e)""",
+FROM w GROUP BY 1, 2, 3""",
         "stream_dedup": f"{EVENTS} SELECT event_uid, ts, model, micros::DOUBLE / 1e6 AS cost_usd FROM e",
         "burst_stream": f"""{EVENTS}, w AS (
   SELECT date_trunc('hour', ts) - back * INTERVAL 1 HOUR AS window_start, project
   FROM e CROSS JOIN range(6) r(back) WHERE source = 'api' AND NOT is_batch)
 SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, project, count(*) AS calls
 FROM w GROUP BY 1, 2, 3
-HAVING count(*) >= 4 AND window_end <= (
-  SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM e WHERE source = 'api' AND NOT is_batch)""",
+HAVING count(*) >= 4""",
         **LLM_SQL,
     }

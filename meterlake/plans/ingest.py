@@ -67,42 +67,48 @@ def org_report_source(pattern: str) -> FileSource:
 
 @dataclass(frozen=True)
 class Ingested:
+    """What one source gave: files that match and those of them unchanged, events added and found again, records rejected."""
+
     source: str
-    files_scanned: int
-    rows_added: int
-    records_skipped: int
+    files_scanned: int = 0
+    files_unchanged: int = 0
+    rows_added: int = 0
+    duplicates: int = 0
+    records_skipped: int = 0
     error: str | None = None
 
 
-def ingest_files(store: UsageStore, source: FileSource, files: DataFrame, prices: PriceTable) -> tuple[int, int]:
-    """Ingest the given (staged) files; returns rows added and records skipped.
+def ingest_files(store: UsageStore, source: FileSource, files: DataFrame, prices: PriceTable) -> tuple[int, int, int]:
+    """Ingest the given (staged) files; returns rows added, duplicates and records skipped.
 
     The files go into the manifest last. If the job dies before that, the next
     run reads them again, and the keys keep their events from counting twice.
     """
     since = landed.oldest_change(files)
     if since is None:
-        return 0, 0
+        return 0, 0, 0
     with StagingArea(store.spark, f"ingest-{source.name}") as area:
         rows = area.stage(priced(source.drafts(area, files, since), prices), "parsed")
         skipped = store.append_rejects(rejected(rows))
-        added = store.append_events(accepted(rows))
+        usable = accepted(rows)
+        added, offered = store.append_events(usable), usable.count()
     store.record_files(files)
-    return added, skipped
+    return added, offered - added, skipped
 
 
 def ingest_source(store: UsageStore, source: FileSource, prices: PriceTable) -> Ingested:
     """Ingest the files of a source that changed since they were last read."""
     spark = store.spark
     if not landed.matches_any(spark, source.pattern):
-        return Ingested(source.name, 0, 0, 0)
+        return Ingested(source.name)
     with StagingArea(spark, f"files-{source.name}") as area:
         listed = area.stage(landed.list_files(spark, source.pattern), "listed")
         changed = area.stage(
             landed.changed_files(listed, landed.read_manifest(spark, store.manifest_path)), "changed"
         )
-        added, skipped = ingest_files(store, source, changed, prices)
-        return Ingested(source.name, listed.count(), added, skipped)
+        added, duplicates, skipped = ingest_files(store, source, changed, prices)
+        scanned = listed.count()
+        return Ingested(source.name, scanned, scanned - changed.count(), added, duplicates, skipped)
 
 
 def ingest(
@@ -128,7 +134,7 @@ def ingest(
             results.append(ingest_source(store, source, prices))
         except Exception as error:
             LOG.exception("source %s failed", source.name)
-            results.append(Ingested(source.name, 0, 0, 0, str(error)))
+            results.append(Ingested(source.name, error=str(error)))
     if budgets is not None:
         try:
             fire_alerts(store, budgets, now or dt.datetime.now(dt.timezone.utc), fractions, outbox)
@@ -141,7 +147,9 @@ def _report(store: UsageStore, results: Sequence[Ingested], before: int | None)
     columns: Mapping[str, pa.DataType] = {
         "source": pa.string(),
         "files_scanned": pa.int64(),
+        "files_unchanged": pa.int64(),
         "rows_added": pa.int64(),
+        "duplicates": pa.int64(),
         "records_skipped": pa.int64(),
         "error": pa.string(),
     }

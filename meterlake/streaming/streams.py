@@ -13,7 +13,7 @@ from meterlake.operators.reports import total_tokens
 from meterlake.plans.alerts import fire_alerts
 from meterlake.plans.ingest import FileSource, ingest_files
 from meterlake.plans.store import UsageStore
-from meterlake.schema import is_folder
+from meterlake.schema import is_folder, read_or_empty
 from meterlake.sources.budgets import DEFAULT_FRACTIONS
 from meterlake.sources.pricing import PriceTable
 from meterlake.staging import StagingArea, new_staging_path
@@ -21,9 +21,17 @@ from meterlake.staging import StagingArea, new_staging_path
 LANDED_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
-def read_table_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, a folder or a single file, as a stream of its files."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """State of streams started from now on is kept by RocksDB instead of in the executors' heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+def read_table_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
+    """A Parquet table, a folder or a single file, as a stream of its files, so many at a time."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
     if is_folder(spark, path):
         return reader.parquet(path)
     # A stream watches a folder, so a single file is picked out by its name.
@@ -41,7 +49,7 @@ def deduplicated(events: DataFrame, delay: str) -> DataFrame:
 
 
 def tumbling_spend(events: DataFrame, delay: str, width: str = "1 hour") -> DataFrame:
-    """Calls, spend and tokens per window and model, once the window is closed."""
+    """Calls, spend and tokens per window and model: of closed windows in append mode, of all with ``write_latest``."""
     return (
         events.withWatermark("ts", delay)
         .groupBy(F.window("ts", width).alias("window"), "model")
@@ -90,6 +98,29 @@ def write_available(stream: DataFrame, label: str, path: str | None = None, chec
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def write_latest(stream: DataFrame, keys: Sequence[str], label: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run a stream of aggregates over what is there now; returns the last state of each key.
+
+    Batches write what they changed, so windows that the watermark has not passed
+    at the end of the input are there too. A batch that is written again after a
+    failure has the same number and the same rows.
+    """
+    spark = stream.sparkSession
+    path = path or new_staging_path(spark, label)
+    query = (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(lambda rows, number: rows.withColumn("batch", F.lit(number)).write.mode("append").parquet(path))
+        .option("checkpointLocation", checkpoint or f"{path}-checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    changes = read_or_empty(spark, path, stream.select("*", F.lit(0).cast("long").alias("batch")).schema)
+    last = F.max_by(F.struct(*rest), F.col("batch")).alias("last")
+    return changes.groupBy(*keys).agg(last).select(*[F.col(f"last.{c}").alias(c) if c in rest else F.col(c) for c in stream.columns])
+
+
 def _each_batch(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame], None], continuous: str | None) -> StreamingQuery:
     trigger = {"processingTime": continuous} if continuous else {"availableNow": True}
     return (
