@@ -6,7 +6,6 @@ import base64
 import hashlib
 import os
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterlake.llm.shared import fresh, mounted, new_folder, staged
-from meterlake.llm.words import U64, mix
+from meterlake.llm.words import U64, mix, pieces
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the tokenizer's public vocabulary splits text before merging.
@@ -28,6 +27,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SEQUENCE_TOKENS, SHARD_SEQUENCES, SEED = 512, 8_192, 2024
 #: A piece of a text that is tokenised at once; pieces end before a blank, where the splitting pattern ends too.
 PIECE_CHARACTERS = 1 << 20
+#: Text of a staged blob of tokens, tokens that are dealt to shards at once, and the level at which both are compressed.
+BLOB_BYTES, DEALT_TOKENS, LEVEL = 1 << 19, 2 << 20, 6
 
 
 @lru_cache(maxsize=2)
@@ -72,38 +73,41 @@ class Permutation:
         return self._walk(slot, self._back)
 
 
-def _ids(encoding: tiktoken.Encoding, text: str) -> list[int]:
+def _ids(encoding: tiktoken.Encoding, text: str) -> list[np.ndarray]:
+    """Ids of a text, of one piece after another."""
     out, at = [], 0
     while at < len(text):
         end = at + PIECE_CHARACTERS
         while end < len(text) and not (text[end] == " " and text[end - 1].isalnum() and text[end + 1 : end + 2].isalpha()):
             end += 1
-        out += encoding.encode_ordinary(text[at:end])
+        ids = encoding.encode_ordinary(text[at:end])
+        out.append(np.fromiter(ids, "<u2", len(ids)))
         at = end
     return out
 
 
 def _tokenised(docs: DataFrame, text: str, tokens: str, path: str) -> DataFrame:
-    """docs without its text, with the tokens and an end of each text (zstd of 16-bit ids), its input partition, and where it begins there."""
+    """docs without its text, with its number of tokens (an end of each text included), its input partition, and its place there.
+
+    The first row of some documents in a row has the tokens of all of them (zstd of 16-bit ids).
+    """
     keep = [f for f in docs.schema.fields if f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, at, part = tokenizer(path), 0, TaskContext.get().partitionId()
-        end = encoding.n_vocab
-        if end >= 1 << 16:
+        if encoding.n_vocab >= 1 << 16:
             raise ValueError("ids do not fit 16 bits")
+        end = np.array([encoding.n_vocab], "<u2")
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                blobs, counts, begins = [], [], []
-                for t in batch.column(text):
-                    ids = np.array([*_ids(encoding, t.as_py() or ""), end], "<u2")
-                    blobs.append(zstandard.compress(ids.tobytes(), 3))
-                    counts.append(len(ids))
-                    begins.append(at)
-                    at += len(ids)
+            for batch in pieces(whole, text, BLOB_BYTES):
+                each = [[*_ids(encoding, t.as_py() or ""), end] for t in batch.column(text)]
+                counts = np.array([sum(map(len, x)) for x in each], np.int64)
+                blob = zstandard.compress(np.concatenate([a for x in each for a in x]).tobytes(), LEVEL)
+                begins = at + np.cumsum(counts) - counts
+                at += int(counts.sum())
                 columns = [batch.column(f.name) for f in keep]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(blobs, pa.binary()), pa.array(counts, pa.int64()), pa.array(begins, pa.int64()), pa.array([part] * len(counts), pa.int32())], [*(f.name for f in keep), tokens, f"{tokens}_n", f"{tokens}_at", f"{tokens}_part"])
+                own = [pa.array([blob] + [None] * (len(counts) - 1), pa.binary()), pa.array(counts), pa.array(begins), pa.array(np.full(len(counts), part, np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, *own], [*(f.name for f in keep), tokens, f"{tokens}_n", f"{tokens}_at", f"{tokens}_part"])
 
     more = [(tokens, T.BinaryType()), (f"{tokens}_n", T.LongType()), (f"{tokens}_at", T.LongType()), (f"{tokens}_part", T.IntegerType())]
     return docs.mapInArrow(run, T.StructType([*keep, *(T.StructField(n, t) for n, t in more)]))
@@ -122,7 +126,7 @@ def materialise(docs: DataFrame, text: str = "text", folder: str | None = None,
     sequences with its tokens, in stream order), shards. shards: shard, path, first_slot, n_sequences, sha256.
 
     Tokens are staged once; what follows is the same each time. Only token counts of input partitions come to the driver.
-    Pieces of documents go to the shard's range of slots, compressed; a group is one shard, whose size is fixed. Files are
+    Pieces of the stream go to the shard's range of slots, compressed; a group is one shard, whose size is fixed. Files are
     written under a name of their own and renamed. A null text is empty and has only its end. Without rows nothing is written.
     Repeated rows are written each time. Columns of docs that have one of the new names are replaced.
     """
@@ -141,23 +145,34 @@ def materialise(docs: DataFrame, text: str = "text", folder: str | None = None,
     end = tokenizer(path).n_vocab
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pieces of a batch's documents for each shard: slot, place and length of each, and their ids together."""
+        """What some of the stream has for each shard: slot, place and length of each piece, and their ids together."""
+        places, ids, held = [], [], 0
+
+        def dealt() -> pa.RecordBatch:
+            rows, all_ids = np.concatenate(places), [x for part in ids for x in part]
+            shard = rows[:, 0] // per_shard
+            by_shard = np.argsort(shard, kind="stable")
+            edges = np.flatnonzero(np.diff(shard[by_shard], prepend=-1, append=-1))
+            groups = [by_shard[a:b] for a, b in zip(edges[:-1], edges[1:])]
+            where = pa.array([rows[g].astype("<i8").tobytes() for g in groups], pa.binary())
+            packed = pa.array([zstandard.compress(np.concatenate([all_ids[k] for k in g]).tobytes(), LEVEL) for g in groups], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([int(shard[g[0]]) for g in groups], pa.int64()), where, packed], ["shard", "places", "ids"])
+
         for batch in batches:
-            places, ids = defaultdict(list), defaultdict(list)
             for blob, at, part in zip(batch.column(name), batch.column(f"{name}_at"), batch.column(f"{name}_part")):
                 tokens = np.frombuffer(zstandard.decompress(blob.as_py()), "<u2")
                 first = base[part.as_py()] + at.as_py()
                 sequences = np.arange(first // length, (first + len(tokens) - 1) // length + 1)
-                slots = order.slot(sequences)
-                edges = np.clip(np.r_[sequences, sequences[-1] + 1] * length - first, 0, len(tokens))
-                for slot, s, a, b in zip(slots.tolist(), sequences.tolist(), edges[:-1].tolist(), edges[1:].tolist()):
-                    places[slot // per_shard].append((slot, first + a - s * length, b - a))
-                    ids[slot // per_shard].append(tokens[a:b])
-            shards = sorted(places)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shards, pa.int64()), pa.array([np.array(places[k], "<i8").tobytes() for k in shards], pa.binary()), pa.array([zstandard.compress(np.concatenate(ids[k]).tobytes(), 3) for k in shards], pa.binary())],
-                ["shard", "places", "ids"],
-            )
+                begins = np.maximum(sequences * length, first) - first
+                ends = np.minimum((sequences + 1) * length - first, len(tokens))
+                places.append(np.stack([order.slot(sequences), first + begins - sequences * length, ends - begins], axis=1))
+                ids.append([tokens[a:b] for a, b in zip(begins.tolist(), ends.tolist())])
+                held += len(tokens)
+                if held >= DEALT_TOKENS:
+                    yield dealt()
+                    places, ids, held = [], [], 0
+        if held:
+            yield dealt()
 
     def write(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
@@ -178,8 +193,8 @@ def materialise(docs: DataFrame, text: str = "text", folder: str | None = None,
         os.replace(own, file)
         return pa.table({"shard": pa.array([shard], pa.int64()), "path": [file], "first_slot": pa.array([first], pa.int64()), "n_sequences": pa.array([n], pa.int64()), "sha256": [hashlib.sha256(data).hexdigest()]})
 
-    pieces = rows.select(name, f"{name}_at", f"{name}_part").mapInArrow(cut, "shard long, places binary, ids binary")
-    shards = staged(pieces.groupBy("shard").applyInArrow(write, "shard long, path string, first_slot long, n_sequences long, sha256 string"), "index")
+    cuts = rows.where(F.col(name).isNotNull()).select(name, f"{name}_at", f"{name}_part").mapInArrow(cut, "shard long, places binary, ids binary")
+    shards = staged(cuts.groupBy("shard").applyInArrow(write, "shard long, path string, first_slot long, n_sequences long, sha256 string"), "index")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
