@@ -35,10 +35,11 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, most: f
     capped = weighed.withColumn("cap", F.col("source_size") * F.lit(float(most)))
     capped = capped.withColumn("left", F.lit(float(share)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(upto), F.lit(0.0)))
     capped = capped.withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0)))
-    # A source's own level, if all before it are capped and none after; the first not above its cap sets the level.
+    # A source's own level, if all before it are capped and none after. The first that is not above its cap sets the level;
+    # from there on own levels only fall, so that is the highest one.
     capped = capped.withColumn("own", F.col("left") / F.col("open"))
-    level = F.min(F.when(F.col("own") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("own")))).over(everything)
-    capped = capped.withColumn("level", level.getField("own"))
+    level = F.max(F.when(F.col("own") * F.col("weight") <= F.col("cap"), F.col("own"))).over(everything)
+    capped = capped.withColumn("level", level)
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight")))
     return capped.select("source", "source_size", target.alias("target"))
 
