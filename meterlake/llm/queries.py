@@ -34,7 +34,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
 r AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER up, 0) AS left_, sum(weight) OVER () - coalesce(sum(weight) OVER up, 0) AS open_ FROM w
   WINDOW up AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT arg_min(left_ / open_, cap / weight) FILTER (WHERE left_ / open_ * weight <= cap) AS level FROM r),
+l AS (SELECT max(left_ / open_) FILTER (WHERE left_ / open_ * weight <= cap) AS level FROM r),
 t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM r, l),
 c AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
   ('0x' || substr(md5(concat_ws('|', '7', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS chance
@@ -98,6 +98,41 @@ def op5_distribution_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.judge(docs).drop("char_distance", "word_distance")
 
 
+def _js(p: str, q: str) -> str:
+    part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({p} + {q})) / 2 ELSE 0 END"
+    return f"({part(p)} + {part(q)})"
+
+
+_BINS = [*divergence.CLASSES, "blanks"]
+_KEPT_OF = {n: f"length(regexp_replace(t, '{p.replace(chr(39), chr(39) * 2)}', '', 'g'))" for n, p in divergence.CLASSES.items()}
+
+OP5_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, lang FROM documents),
+b AS (SELECT r, doc_id, lang, t, regexp_extract_all(t, '[^ 	-
+]+') AS w, length(t) AS n_chars, length(regexp_replace(t, '[ 	-
+]+', '', 'g')) AS word_chars,
+  {", ".join(f"{x} AS {n}" for n, x in _KEPT_OF.items())}, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM d),
+a AS (SELECT *, len(w) AS n_words, n_chars - word_chars AS blanks, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM b),
+h AS (SELECT r, k, md5(array_to_string(w[k : k + 7], ' ')) AS m FROM (SELECT r, w, unnest(range(1, n_words - 6)) AS k FROM a)),
+o AS (SELECT r, count(DISTINCT pos) AS n_repeat_words FROM (SELECT r, unnest(range(k, k + 8)) AS pos FROM (SELECT r, k, count(*) OVER (PARTITION BY r, m) AS n FROM h) WHERE n > 1) GROUP BY r),
+l AS (SELECT r, lang, unnest(list_transform(w, lambda x: lower(x))) AS word FROM a),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM (SELECT lang, word, count(*) AS n FROM l GROUP BY ALL)) WHERE k <= {divergence.COMMON_WORDS}),
+g AS (SELECT lang, sum(n_chars) AS all_chars, sum(n_words) AS all_words, {", ".join(f"sum({n}) AS all_{n}" for n in _BINS)} FROM a GROUP BY lang),
+x AS (SELECT a.*, g.* EXCLUDE (lang), coalesce(n_repeat_words, 0) AS n_repeat_words FROM a LEFT JOIN o USING (r) JOIN g ON a.lang IS NOT DISTINCT FROM g.lang),
+u AS (SELECT l.r, c.k, count(*) AS n FROM l JOIN c ON l.lang IS NOT DISTINCT FROM c.lang AND l.word = c.word GROUP BY ALL),
+v AS (SELECT x.r, sum({_js("(coalesce(u.n, 0) / x.n_words)", "(c.n / x.all_words)")}) AS own, sum(coalesce(u.n, 0)) / any_value(x.n_words) AS p, sum(c.n) / any_value(x.all_words) AS q
+  FROM x JOIN c ON x.lang IS NOT DISTINCT FROM c.lang LEFT JOIN u ON u.r = x.r AND u.k = c.k WHERE x.n_words > 0 GROUP BY x.r),
+y AS (SELECT x.*, sqrt(greatest(0, own + {_js("(1 - p)", "(1 - q)")})) AS word_distance, {", ".join(f"{n} / n_chars AS p_{n}, all_{n} / all_chars AS q_{n}" for n in _BINS)} FROM x LEFT JOIN v USING (r)),
+z AS (SELECT *, 1 - ({" + ".join(f"p_{n}" for n in _BINS)}) AS p_rest, 1 - ({" + ".join(f"q_{n}" for n in _BINS)}) AS q_rest FROM y),
+e AS (SELECT *, sqrt(greatest(0, {" + ".join(_js(f"(CASE WHEN p_{n} > 1e-12 THEN p_{n} ELSE 0 END)", f"(CASE WHEN q_{n} > 1e-12 THEN q_{n} ELSE 0 END)") for n in [*_BINS, "rest"])})) AS char_distance,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM z)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_chars >= {divergence.LEAST_CHARACTERS} AND char_distance > {divergence.CHARACTERS_APART} OR n_words >= {divergence.LEAST_WORDS} AND word_distance > {divergence.WORDS_APART}) AS kept
+FROM e
+"""
+
+
 def _scored(spark: SparkSession, folder: str, module, threshold: float, *more: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     learned = module.learn(docs, _table(spark, folder, "labels"), modulus=3, held_out=1)
@@ -138,4 +173,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_source_mixing": OP1_SQL,
     "op2_substring_dedup": OP2_SQL,
     "op4_benchmark_decontamination": OP4_SQL,
+    "op5_distribution_divergence": OP5_SQL,
 }
