@@ -108,11 +108,8 @@ _KEPT_OF = {n: f"length(regexp_replace(t, '{p.replace(chr(39), chr(39) * 2)}', '
 
 OP5_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, lang FROM documents),
-b AS (SELECT r, doc_id, lang, t, regexp_extract_all(t, '[^ 	-
-]+') AS w, length(t) AS n_chars, length(regexp_replace(t, '[ 	-
-]+', '', 'g')) AS word_chars,
-  {", ".join(f"{x} AS {n}" for n, x in _KEPT_OF.items())}, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
-]')) AS lines FROM d),
+b AS (SELECT r, doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, length(t) AS n_chars, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+  {", ".join(f"{x} AS {n}" for n, x in _KEPT_OF.items())}, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 a AS (SELECT *, len(w) AS n_words, n_chars - word_chars AS blanks, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM b),
 h AS (SELECT r, k, md5(array_to_string(w[k : k + 7], ' ')) AS m FROM (SELECT r, w, unnest(range(1, n_words - 6)) AS k FROM a)),
 o AS (SELECT r, count(DISTINCT pos) AS n_repeat_words FROM (SELECT r, unnest(range(k, k + 8)) AS pos FROM (SELECT r, k, count(*) OVER (PARTITION BY r, m) AS n FROM h) WHERE n > 1) GROUP BY r),
