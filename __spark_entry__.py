@@ -47,7 +47,6 @@ BUDGET_NOW = dt.datetime(2024, 1, 17, 12, tzinfo=UTC)
 MONTH_END = dt.datetime(2024, 1, 31, tzinfo=UTC)
 BURST_MINUTES = 360
 BURST_CALLS = 6
-STREAM_DELAY = "1 hour"
 # Not all models, so that the column of the others has something in it.
 PIVOTED = samples.SAMPLE_MODELS[:3]
 
@@ -340,21 +339,24 @@ def _event_stream(spark, folder):
 
 
 def tumbling_spend_stream(spark, folder):
-    windows = streams.tumbling_spend(_event_stream(spark, folder), STREAM_DELAY)
+    windows = streams.tumbling_spend(_event_stream(spark, folder), None)
     rows = streams.write_latest(windows, ["window_start", "window_end", "model"], "tumbling-spend")
     return _ntz(_doubles(rows), "window_start", "window_end")
 
 
 def stream_dedup(spark, folder):
-    """Every event arrives twice and is kept once."""
+    """Every event arrives twice and is kept once, in whatever order the files are."""
     twice = _event_stream(spark, folder).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
-    once = streams.deduplicated(twice, STREAM_DELAY)
-    rows = streams.write_available(once, "stream-dedup").select("event_uid", "ts", "model", "cost_usd")
+    full = twice.withColumn("raw_meta", F.lit(None).cast(RAW_META)).withColumn("event_date", utc_date(F.col("ts"))).select(*USAGE_COLUMNS)
+    root = new_staging_path(spark, "stream-dedup")
+    store = UsageStore(spark, f"{root}/store")
+    streams.append_stream(full, store, f"{root}/checkpoint").awaitTermination()
+    rows = store.events().select("event_uid", "ts", "model", "cost_usd")
     return _ntz(_doubles(rows), "ts")
 
 
 def burst_stream(spark, folder):
-    bursts = streams.call_bursts(_event_stream(spark, folder), STREAM_DELAY, 4, "6 hours", "1 hour")
+    bursts = streams.call_bursts(_event_stream(spark, folder), None, 4, "6 hours", "1 hour")
     rows = streams.write_latest(bursts, ["window_start", "window_end", "project"], "bursts")
     return _ntz(rows, "window_start", "window_end")
 

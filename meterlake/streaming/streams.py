@@ -1,4 +1,10 @@
-"""Streams over usage events. Delays are watermark texts such as ``1 hour``."""
+"""Streams over usage events.
+
+Delays are watermark texts such as ``1 hour``. A watermark drops what comes later than that after the
+largest time of earlier batches, so it is for events that land about in order of time. A table whose files are in
+no such order is aggregated with no delay (None), which loses nothing and keeps a state for each
+key of the result, and deduplicated by ``append_stream``.
+"""
 
 from __future__ import annotations
 
@@ -30,7 +36,10 @@ def keep_state_on_disk(spark: SparkSession) -> None:
 
 
 def read_table_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
-    """A Parquet table, a folder or a single file, as a stream of its files, so many at a time."""
+    """A Parquet table, a folder or a single file, as a stream of its files, so many at a time.
+
+    Files come by the time at which they were written, which tells nothing about the times of their rows.
+    """
     reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
     if is_folder(spark, path):
         return reader.parquet(path)
@@ -48,10 +57,17 @@ def deduplicated(events: DataFrame, delay: str) -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_uid"])
 
 
-def tumbling_spend(events: DataFrame, delay: str, width: str = "1 hour") -> DataFrame:
-    """Calls, spend and tokens per window and model: of closed windows in append mode, of all with ``write_latest``."""
+def _watermarked(events: DataFrame, delay: str | None) -> DataFrame:
+    return events if delay is None else events.withWatermark("ts", delay)
+
+
+def tumbling_spend(events: DataFrame, delay: str | None, width: str = "1 hour") -> DataFrame:
+    """Calls, spend and tokens per window and model: of closed windows in append mode, of all with ``write_latest``.
+
+    Without a delay no row is late and no window closes, so only ``write_latest`` gives them.
+    """
     return (
-        events.withWatermark("ts", delay)
+        _watermarked(events, delay)
         .groupBy(F.window("ts", width).alias("window"), "model")
         .agg(
             F.count(F.lit(1)).alias("call_count"),
@@ -64,16 +80,17 @@ def tumbling_spend(events: DataFrame, delay: str, width: str = "1 hour") -> Data
 
 
 def call_bursts(
-    events: DataFrame, delay: str, min_calls: int, width: str = "60 minutes", slide: str = "5 minutes"
+    events: DataFrame, delay: str | None, min_calls: int, width: str = "60 minutes", slide: str = "5 minutes"
 ) -> DataFrame:
     """Windows on a grid of ``slide`` in which a project makes many direct API calls.
 
     Windows on a grid can miss a burst that lies between two of them; the exact
-    count per project is the batch operator ``densest_window``.
+    count per project is the batch operator ``densest_window``. The delay is as in
+    ``tumbling_spend``.
     """
     calls = events.where((F.col("source") == "api") & ~F.col("is_batch"))
     return (
-        calls.withWatermark("ts", delay)
+        _watermarked(calls, delay)
         .groupBy(F.window("ts", width, slide).alias("window"), F.coalesce("project", F.lit("")).alias("project"))
         .agg(F.count(F.lit(1)).alias("calls"))
         .where(F.col("calls") >= min_calls)
