@@ -23,7 +23,7 @@ MOST_EXAMPLES, MOST_TERMS, BLOCK = 16_384, 1_024, 64
 #: Texts from this score on are toxic.
 THRESHOLD = 0.7
 NEIGHBOURS, GRAM, LEAST_EXAMPLES = 15, 5, 3
-#: A term must be tied to toxic examples by this chi-squared value, and be so many times as likely in them as in all.
+#: A term must be tied to toxic examples by this chi-squared value, and be so many times as likely in them as in clean ones.
 CHI2, LIFT = 15.0, 2.0
 _OTHER = re.compile(r"[\W_]+")
 
@@ -135,7 +135,7 @@ def _select_terms(rows: DataFrame) -> tuple[list[str], np.ndarray, int]:
     all_ = float(clean + toxic)
     chi2 = F.lit(all_) * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * (c + d) * F.lit(float(max(toxic, 1))) * F.lit(float(max(clean, 1))) + 1e-9)
     counted = rows.select("text", "label").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    fit = (a >= LEAST_EXAMPLES) & (chi2 >= CHI2) & (a / (a + b) >= LIFT * toxic / max(all_, 1.0))
+    fit = (a >= LEAST_EXAMPLES) & (chi2 >= CHI2) & (a * F.lit(float(clean)) >= LIFT * b * F.lit(float(toxic)))
     chosen = counted.withColumn("chi2", chi2).where(fit).orderBy(F.desc("chi2"), "term").limit(MOST_TERMS).collect()
     return [r.term for r in chosen], np.array([r.clean + r.toxic for r in chosen], float), int(all_)
 
