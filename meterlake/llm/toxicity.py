@@ -1,4 +1,4 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine of all words over an inverted index with block maxima."""
 
 from __future__ import annotations
 
@@ -18,8 +18,10 @@ from pyspark.sql import types as T
 from meterlake.llm.labelled import examples
 from meterlake.llm.shared import staged
 
-#: Bounds of what is learned, and so of the broadcast index: examples, terms, and examples of a block.
+#: Bounds of what is learned: examples, and terms that count as marks; and the examples of a block. All words are indexed.
 MOST_EXAMPLES, MOST_TERMS, BLOCK = 16_384, 1_024, 64
+#: Marks weigh so many times as much as other words; terms of more than one in so many examples are common.
+MARKED, COMMON = 8.0, 8
 #: Texts from this score on are toxic.
 THRESHOLD = 0.7
 NEIGHBOURS, GRAM, LEAST_EXAMPLES = 15, 5, 3
@@ -46,64 +48,117 @@ def terms_of(line: str) -> set[str]:
 
 @dataclass
 class Index:
-    """terms and idf; blocks of examples, each with its terms and a row of weights for each, and the largest of the row."""
+    """Terms, marks of toxic texts first and then all other words, and their idf; examples, in blocks, with their labels.
+
+    Terms that few examples have are postings: examples and weights of term t lie from starts[t] to starts[t + 1]. The others
+    (column[t] >= 0) are rows of common, and common_max holds the largest weight of each row by block.
+    """
 
     terms: list[str]
     idf: np.ndarray
-    block_terms: list[np.ndarray]
-    block_weights: list[np.ndarray]
-    block_max: np.ndarray  # term by block
+    n_marks: int
+    starts: np.ndarray
+    posted: np.ndarray
+    weights: np.ndarray
+    column: np.ndarray
+    common: np.ndarray  # row by example
+    common_max: np.ndarray  # row by block
     ids: np.ndarray
     labels: np.ndarray
     prior: float
-    unmatched: float  # share of toxic among examples without terms
-    curve: tuple[float, float, float] = (1.0, 0.0, 0.0)  # of the log-odds of votes, the weight of all terms, and 1
+    unmatched: float  # share of toxic among examples without marks, for texts that share no term with any example
+    curve: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0)  # of the log-odds of votes, the weight of all marks, 1, and no marks
 
     def automaton(self) -> ahocorasick.Automaton | None:
-        if not self.terms:
+        """Finds marks, which can be pieces of words."""
+        if not self.n_marks:
             return None
         a = ahocorasick.Automaton()
-        for i, t in enumerate(self.terms):
+        for i, t in enumerate(self.terms[: self.n_marks]):
             a.add_word(t, i)
         a.make_automaton()
         return a
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_words"}
+
+    def words(self) -> dict[str, int]:
+        if "_words" not in self.__dict__:
+            self._words = {t[1:-1]: i for i, t in enumerate(self.terms[self.n_marks :], self.n_marks)}
+        return self._words
+
     def vector(self, found: ahocorasick.Automaton | None, text: str | None) -> tuple[np.ndarray, np.ndarray, float]:
-        """Terms of a text, their weights scaled to length 1, and the length before."""
-        counts = Counter(i for _, i in found.iter(normal(text))) if found else {}
+        """Terms of a text, their weights scaled to length 1, and the length of its marks before."""
+        line, words = normal(text), self.words()
+        counts = Counter(i for _, i in found.iter(line)) if found else {}
+        for word, n in Counter(line.split()).items():
+            if (i := words.get(word)) is not None:
+                counts[i] = n
         at = np.array(sorted(counts), np.int64)
         w = (1 + np.log(np.array([counts[i] for i in at.tolist()], float))) * self.idf[at] if len(at) else np.empty(0)
-        length = float(np.linalg.norm(w))
-        return at, w / length if length else w, length
+        marks = at < self.n_marks
+        length = float(np.linalg.norm(w[marks]))
+        w = np.where(marks, MARKED * w, w)
+        norm = float(np.linalg.norm(w))
+        return at, w / norm if norm else w, length
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, but: int | None = None) -> list[tuple[float, int]]:
         """The k examples of the largest cosine above 0 (of equal ones those that come first), and their cosines.
 
-        Blocks are looked at in the order of what they can have at most; once that is below the k-th best, the rest is
-        left out. So the result is exact.
+        Postings are summed for all examples. Common terms are added only for examples that can be among the best with the
+        most that their block has of these terms. So the result is exact.
         """
-        if not len(at) or not self.block_terms:
+        n = len(self.ids)
+        if not len(at) or not n:
             return []
-        bound = w @ self.block_max[at] + 1e-9
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 1e-9 or len(best) == k and bound[b] < -best[-1][0]:
-                break
-            place = np.searchsorted(self.block_terms[b], at)
-            place[place == len(self.block_terms[b])] = 0
-            there = self.block_terms[b][place] == at
-            cosines = w[there] @ self.block_weights[b][place[there]]
-            first = b * BLOCK
-            for i in np.flatnonzero(cosines > 0).tolist():
-                if but is None or self.ids[first + i] != but:
-                    best.append((-float(cosines[i]), first + i))
-            best = sorted(best)[:k]
-        return [(-c, i) for c, i in best]
+        rare = self.column[at] < 0
+        spans = [(slice(self.starts[t], self.starts[t + 1]), x) for t, x in zip(at[rare].tolist(), w[rare].tolist())]
+        if spans:
+            cosines = np.bincount(np.concatenate([self.posted[s] for s, _ in spans]), np.concatenate([self.weights[s] * x for s, x in spans]), n)
+        else:
+            cosines = np.zeros(n)
+        k_too = min(n, k + (but is not None))
+        rows, x = self.column[at[~rare]], w[~rare]
+        chosen = np.arange(n)
+        if len(rows):
+            most = np.repeat(x @ self.common_max[rows], BLOCK)[:n]
+            chosen = np.flatnonzero(cosines + most + 1e-6 >= np.partition(cosines, n - k_too)[n - k_too])
+            for row, y in zip(rows.tolist(), x.tolist()):
+                cosines[chosen] += y * self.common[row][chosen]
+        there = cosines[chosen]
+        least = np.partition(there, len(there) - min(k_too, len(there)))[len(there) - min(k_too, len(there))]
+        chosen = chosen[(there >= least) & (there > 0)]
+        chosen = chosen[np.argsort(-cosines[chosen], kind="stable")]
+        if but is not None:
+            chosen = chosen[self.ids[chosen] != but]
+        return [(float(cosines[i]), i) for i in chosen[:k].tolist()]
+
+    def _block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        first, last = b * BLOCK, min((b + 1) * BLOCK, len(self.ids))
+        term = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
+        inside = (self.posted >= first) & (self.posted < last)
+        rows = self.common[:, first:last]
+        at = np.unique(np.concatenate([term[inside], np.flatnonzero(self.column >= 0)]))
+        weights = np.zeros((len(at), last - first))
+        weights[np.searchsorted(at, term[inside]), self.posted[inside] - first] = self.weights[inside]
+        full = np.flatnonzero(self.column >= 0)
+        weights[np.searchsorted(at, full)] = rows[self.column[full]]
+        return at, weights
+
+    @property
+    def block_terms(self) -> list[np.ndarray]:
+        """For each block of examples its terms."""
+        return [self._block(b)[0] for b in range(-(-len(self.ids) // BLOCK))]
+
+    @property
+    def block_weights(self) -> list[np.ndarray]:
+        """For each block of examples a row of weights for each of its terms."""
+        return [self._block(b)[1] for b in range(-(-len(self.ids) // BLOCK))]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        """The share of toxic neighbours weighted by nearness, drawn to the prior as if by one far neighbour."""
-        total = sum(c for c, _ in near)
-        return (sum(c * self.labels[i] for c, i in near) + 0.1 * self.prior) / (total + 0.1)
+        """The share of toxic neighbours weighted by nearness, which a copy outweighs all others by, drawn a little to the prior."""
+        weights = [c * c / (1.01 - min(c, 1.0)) for c, _ in near]
+        return (sum(x * self.labels[i] for x, (_, i) in zip(weights, near)) + 0.02 * self.prior) / (sum(weights) + 0.02)
 
     def score(self, near: list[tuple[float, int]], length: float) -> float:
         if not near:
@@ -113,7 +168,7 @@ class Index:
 
 def _facts(vote: float, length: float) -> np.ndarray:
     p = min(max(vote, 1e-3), 1 - 1e-3)
-    return np.array([np.log(p / (1 - p)), np.log1p(length), 1.0])
+    return np.array([np.log(p / (1 - p)), np.log1p(length), 1.0, float(length == 0)])
 
 
 def _select_terms(rows: DataFrame) -> tuple[list[str], np.ndarray, int]:
@@ -140,6 +195,25 @@ def _select_terms(rows: DataFrame) -> tuple[list[str], np.ndarray, int]:
     return [r.term for r in chosen], np.array([r.clean + r.toxic for r in chosen], float), int(all_)
 
 
+def _all_words(rows: DataFrame, but: list[str]) -> tuple[list[str], np.ndarray]:
+    """All words of the examples, with a blank on both sides, and the number of examples that have each."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = Counter()
+        for batch in batches:
+            for text in batch.column("text"):
+                have.update(set(normal(text.as_py()).split()))
+        names = list(have)
+        for i in range(0, len(names), 50_000):
+            part = names[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([have[t] for t in part], pa.int64())], ["term", "n"])
+
+    counted = rows.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    known = set(but)
+    got = sorted((f" {t} ", n) for t, n in zip(counted.column("term").to_pylist(), counted.column("n").to_pylist()) if f" {t} " not in known)
+    return [t for t, _ in got], np.array([n for _, n in got], float)
+
+
 def _sketch(text: str | None) -> int:
     """The least hash of five words in a row; near copies mostly share it."""
     words = normal(text).split()
@@ -160,68 +234,100 @@ def _distinct(rows: DataFrame) -> DataFrame:
 def fit(rows: DataFrame) -> Index:
     """Learns from rows (doc_id, text, label), of which there must be a bounded number (see labelled.examples).
 
-    Terms are words and pieces of words that mark toxic examples. An example is a vector of its terms, weighted by
-    (1 + log count) * idf, of length 1. Examples without terms are no neighbours; the share of toxic ones among them is the
-    score of a text without terms. Scores of the others are calibrated by a logistic curve on votes and the length of
-    the vector before scaling, as a chance term alone is weak evidence. A quarter of the examples, from which no terms are
-    chosen, serves for that; each is voted on by all others.
+    Terms are all words of the examples, and words and pieces of words that mark toxic ones. An example is a vector of its
+    terms, weighted by (1 + log count) * idf, marks MARKED times as much, of length 1. Scores are calibrated by a logistic
+    curve on votes and the length of the marks before scaling, as a chance mark alone is weak evidence. A quarter of the
+    examples, from which no marks are chosen, serves for that; each is voted on by all others.
     """
     rows = staged(_distinct(rows.select("doc_id", "text", "label")), "examples")
-    terms, have, n = _select_terms(rows.where("NOT apart"))
-    index = Index(terms, np.log((n + 1) / (have + 1)) + 1 if n else have, [], [], np.zeros((len(terms), 0)), np.empty(0), np.empty(0), 0.0, 0.5)
+    marks, have, n = _select_terms(rows.where("NOT apart"))
+    words, in_all = _all_words(rows, marks)
+    total = rows.count()
+    # Words that all examples have tell next to nothing, so only marks keep a weight of at least 1.
+    idf = np.concatenate([np.log((n + 1) / (have + 1)) + 1 if n else have, np.log((total + 1) / (in_all + 0.5)) if total else in_all])
+    none = np.empty(0, np.int64)
+    index = Index([*marks, *words], idf, len(marks), np.zeros(len(idf) + 1, np.int64), none, none, none, none, none, none, none, 0.0, 0.5)
+
+    shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = index.automaton()
+        known = shared.value
+        found = known.automaton()
         for batch in batches:
-            each = [index.vector(found, t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([v[0].tolist() for v in each], pa.list_(pa.int64())), pa.array([v[1].tolist() for v in each], pa.list_(pa.float64())), pa.array([v[2] for v in each], pa.float64()), batch.column("apart")], ["doc_id", "label", "at", "w", "length", "apart"])
+            each = [known.vector(found, t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([v[0] for v in each], pa.list_(pa.int32())), pa.array([v[1] for v in each], pa.list_(pa.float32())), pa.array([v[2] for v in each], pa.float64()), batch.column("apart")], ["doc_id", "label", "at", "w", "length", "apart"])
 
     key = rows.schema["doc_id"].dataType.simpleString()
-    seen = rows.mapInArrow(vectors, f"doc_id {key}, label int, at array<long>, w array<double>, length double, apart boolean").collect()
-    labels = np.array([r.label > 0 for r in seen], float)
-    index.prior = float(labels.mean()) if len(labels) else 0.0
-    bare = [r.label > 0 for r in seen if not r.at and r.apart]
-    index.unmatched = (sum(bare) + index.prior) / (len(bare) + 1) if seen else 0.0
-    _fill(index, sorted((r for r in seen if r.at), key=lambda r: (r.at, r.doc_id)))
-    facts, truth = [], []
-    for r in seen:
-        near = index.nearest(np.array(r.at), np.array(r.w), NEIGHBOURS, r.doc_id) if r.at and r.apart else []
-        if near:
-            facts.append(_facts(index.vote(near), r.length))
-            truth.append(r.label > 0)
-    index.curve = _calibrated(np.array(facts).reshape(-1, 3), np.array(truth, float))
+    seen = rows.mapInArrow(vectors, f"doc_id {key}, label int, at array<int>, w array<float>, length double, apart boolean").toArrow().combine_chunks()
+    labels, apart, length = (np.array(seen.column(c).to_pylist()) for c in ("label", "apart", "length"))
+    if len(labels):
+        labels, apart = (labels > 0).astype(float), apart.astype(bool)
+        index.prior = float(labels.mean())
+        bare = labels[apart & (length == 0)]
+        index.unmatched = float((bare.sum() + index.prior) / (len(bare) + 1))
+        _fill(index, seen, labels, [i for i, _ in sorted(enumerate(seen.column("doc_id").to_pylist()), key=lambda x: x[1])])
+    else:
+        index.unmatched = 0.0
+        _fill(index, seen, np.empty(0), [])
+    learned = rows.sparkSession.sparkContext.broadcast(index)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = learned.value
+        found = known.automaton()
+        for batch in batches:
+            votes, lengths = [], []
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                at, w, length = known.vector(found, text.as_py())
+                near = known.nearest(at, w, NEIGHBOURS, i)
+                votes.append(known.vote(near) if near else None)
+                lengths.append(length)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(votes, pa.float64()), pa.array(lengths, pa.float64())], ["label", "vote", "length"])
+
+    facts = [r for r in rows.where("apart").mapInArrow(judged, "label int, vote double, length double").collect() if r.vote is not None]
+    index.curve = _calibrated(np.array([_facts(r.vote, r.length) for r in facts]).reshape(-1, 4), np.array([r.label > 0 for r in facts], float))
     return index
 
 
-def _fill(index: Index, rows: list) -> None:
-    index.ids, index.labels = np.array([r.doc_id for r in rows]), np.array([r.label > 0 for r in rows], float)
-    blocks = range(0, len(rows), BLOCK)
-    index.block_max = np.zeros((len(index.terms), len(blocks)))
-    for b, start in enumerate(blocks):
-        part = rows[start : start + BLOCK]
-        at = np.unique(np.concatenate([r.at for r in part]))
-        weights = np.zeros((len(at), len(part)))
-        for i, r in enumerate(part):
-            weights[np.searchsorted(at, r.at), i] = r.w
-        index.block_terms.append(at)
-        index.block_weights.append(weights)
-        index.block_max[at, b] = weights.max(axis=1)
-
-
-def _calibrated(x: np.ndarray, truth: np.ndarray) -> tuple[float, float, float]:
+def _fill(index: Index, seen: pa.Table, labels: np.ndarray, order: list[int]) -> None:
+    """Postings of the examples in this order, terms of many examples apart."""
+    flat = lambda c, of: np.concatenate([x.values.to_numpy()[x.offsets[0].as_py() : x.offsets[-1].as_py()] for x in seen.column(c).chunks] or [np.empty(0, of)]).astype(of)
+    sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in seen.column("at").chunks] or [np.empty(0, np.int64)])
+    n, place = len(order), np.empty(len(order), np.int32)
+    place[order] = np.arange(n)
+    ids = seen.column("doc_id").to_pylist()
+    index.ids, index.labels = np.array([ids[i] for i in order]), labels[order] if n else labels
+    term, w, example = flat("at", np.int32), flat("w", np.float32), np.repeat(place, sizes)
+    of_each = np.bincount(term, minlength=len(index.terms))
+    full = np.flatnonzero(of_each * COMMON > n)
+    index.column = np.full(len(index.terms), -1, np.int32)
+    index.column[full] = np.arange(len(full))
+    index.common = np.zeros((len(full), n), np.float32)
+    dense = index.column[term] >= 0
+    index.common[index.column[term[dense]], example[dense]] = w[dense]
+    blocks = -(-n // BLOCK)
+    padded = np.zeros((len(full), blocks * BLOCK), np.float32)
+    padded[:, :n] = index.common
+    index.common_max = padded.reshape(len(full), blocks, BLOCK).max(axis=2) if n else np.zeros((len(full), 0), np.float32)
+    term, w, example = term[~dense], w[~dense], example[~dense]
+    by = np.lexsort((example, term))
+    index.posted, index.weights = example[by], w[by]
+    index.starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(index.terms)))]).astype(np.int64)
+
+
+def _calibrated(x: np.ndarray, truth: np.ndarray) -> tuple[float, ...]:
     """A logistic curve over the columns of x, by Newton steps, held near the identity of the first."""
-    b, start = np.array([1.0, 0.0, 0.0]), np.array([1.0, 0.0, 0.0])
+    b, start = np.array([1.0, 0.0, 0.0, 0.0]), np.array([1.0, 0.0, 0.0, 0.0])
     for _ in range(30 if len(x) else 0):
         q = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) + 0.1 * np.eye(3), x.T @ (truth - q) - 0.1 * (b - start))
+        step = np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) + 0.1 * np.eye(4), x.T @ (truth - q) - 0.1 * (b - start))
         b = b + np.clip(step, -1, 1)
-    return float(b[0]), float(b[1]), float(b[2])
+    return tuple(b.tolist())
 
 
 def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     """All columns of docs, and score (0 to 1) and evidence: the nearest three examples with cosine and label.
 
-    The index is broadcast; its size is bounded by the bounds on examples and terms. Null and empty texts have no terms.
+    The index is broadcast; its size is that of all words of the bounded examples. Null and empty texts have no terms.
     Nothing learned gives the share of toxic examples, or 0. Columns of docs that have one of the new names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)

@@ -34,3 +34,14 @@ def test_any_share_of_toxic_labels(spark, share):
     got = scores(spark, index, [r[1] for r in other])
     right = [(got[i].score >= toxicity.THRESHOLD) == bool(r[2]) for i, r in enumerate(other)]
     assert sum(right) >= 0.95 * len(right)
+
+
+def test_words_that_are_no_marks_count(spark):
+    rng = random.Random(6)
+    rows = texts(rng, 600, 0.1)
+    rare = " ".join(f"zq{i}x" for i in range(30))
+    index = toxicity.fit(spark.createDataFrame([*rows, (1000, rare, 1)], "doc_id long, text string, label int"))
+    got = scores(spark, index, [rare, rows[-1][1], "unseen"])
+    assert got[0].evidence[0].doc_id == "1000" and got[0].evidence[0].cosine == pytest.approx(1) and got[0].score >= toxicity.THRESHOLD
+    assert got[1].evidence[0].doc_id == str(rows[-1][0]) and got[1].evidence[0].cosine == pytest.approx(1) and got[1].score < 0.1
+    assert not got[2].evidence
