@@ -22,10 +22,14 @@ MARKS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "p
 BLANK = r"[\x20\x09-\x0D]"
 #: A word with a digit or an at sign: what may be an identifier.
 WORD = r"(?<![^\x20\x09-\x0D])[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Neighbouring words of digits, such as a national phone number, and an address with its sign spelt out.
+_DIGITS = r"[+(]*+[0-9][0-9().+/-]*+"
+RUN = rf"(?<![^\x20\x09-\x0D]){_DIGITS}(?:\x20{_DIGITS})++"
+SPELT = r"(?<![^\x20\x09-\x0D])[A-Za-z0-9._%+-]++\x20at\x20[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 #: Rounds of scoring, distinct seeds that a pattern needs, and the confidence from which it adds spans.
 ROUNDS, LEAST_SEEDS, CONFIDENCE = 3, 3, 0.9
 
-_FOUND = "array<struct<start:int,kind:int,end:int,value:string>>"
+_FOUND = "array<struct<start:int,kind:int,end:int,value:string,left:string,right:string>>"
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -51,6 +55,13 @@ def _matches(text: Column, pattern: str) -> Column:
     return let(between, placed)
 
 
+def _word(gap: Column, last: bool) -> Column:
+    """The last or first word of a gap, in lower case, without what is no letter or digit at its ends."""
+    near = F.right(gap, F.lit(200)) if last else F.left(gap, F.lit(200))
+    bare = F.regexp_replace(near, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    return F.lower(F.element_at(F.split(bare, rf"{BLANK}+"), -1 if last else 1))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -80,7 +91,7 @@ def base_spans(text: Column) -> Column:
     """Spans of the base patterns, by start and then kind; matches that fail their check are dropped."""
     each = []
     for k, kind in enumerate(KINDS):
-        spans = F.transform(_matches(text, PATTERNS[kind]), lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), (m["start"] + F.length(m["value"])).alias("end"), m["value"].alias("value")))  # noqa: B023
+        spans = F.transform(_matches(text, PATTERNS[kind]), lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), (m["start"] + F.length(m["value"])).alias("end"), m["value"].alias("value"), _word(m["before"], True).alias("left"), _word(m["after"], False).alias("right")))  # noqa: B023
         valid = F.filter(spans, lambda s: _valid(kind, s["value"]))  # noqa: B023
         each.append(F.when(F.regexp_like(text, F.lit(MARKS[kind])), valid).otherwise(F.array().cast(_FOUND)))
     return F.sort_array(F.concat(*each))
@@ -94,22 +105,28 @@ def _shape(value: Column) -> Column:
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """Words with digits as (value, start, end, kind: of the base span that it is, left word, right word); those that only overlap base spans are left out."""
+    """Words with digits, runs of them and spelt addresses that overlap no base span, as (value, start, end, left word, right word)."""
     edge = r"^[^\p{L}\p{N}+]+"
-    word = lambda gap, last: F.lower(F.element_at(F.split(F.regexp_replace(gap, rf"^{BLANK}+|{BLANK}+$", ""), rf"{BLANK}+"), -1 if last else 1))
 
     def one(m: Column) -> Column:
         lead = F.length(m["value"]) - F.length(F.regexp_replace(m["value"], edge, ""))
         value = F.regexp_replace(F.regexp_replace(m["value"], edge, ""), r"[^\p{L}\p{N}]+$", "")
-        return F.struct(value.alias("value"), (m["start"] + lead).alias("start"), (m["start"] + lead + F.length(value)).alias("end"), word(m["before"], True).alias("left"), word(m["after"], False).alias("right"))
+        return F.struct(value.alias("value"), (m["start"] + lead).alias("start"), (m["start"] + lead + F.length(value)).alias("end"), _word(m["before"], True).alias("left"), _word(m["after"], False).alias("right"))
+
+    found = F.concat(*[F.when(F.regexp_like(text, F.lit(p)), F.transform(_matches(text, p), one)).otherwise(F.array().cast("array<struct<value:string,start:int,end:int,left:string,right:string>>")) for p in (WORD, RUN, SPELT)])
+    free = lambda b, c: ~F.exists(b, lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"]))
+    return let(base, lambda b: F.filter(found, lambda c: (F.length(c["value"]) > 0) & free(b, c)))
 
-    def known(b: Column) -> Column:
-        of = lambda c: F.filter(b, lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"]))
-        with_kind = lambda c, own: F.struct(c["value"].alias("value"), c["start"].alias("start"), c["end"].alias("end"), c["left"].alias("left"), c["right"].alias("right"),
-            F.when((F.size(own) == 1) & (F.get(own, F.lit(0))["start"] == c["start"]) & (F.get(own, F.lit(0))["end"] == c["end"]), F.get(own, F.lit(0))["kind"]).alias("kind"), (F.size(own) > 0).alias("taken"))
-        return F.transform(F.transform(_matches(text, WORD), one), lambda c: let(of(c), lambda own: with_kind(c, own)))
 
-    return F.filter(let(base, known), lambda c: (F.length(c["value"]) > 0) & (~c["taken"] | c["kind"].isNotNull()))
+def _plausible(kind: Column, value: Column) -> Column:
+    """Whether a value can be of a kind at all, which what only its neighbouring words speak for must be."""
+    n = F.length(_digits(value))
+    return (
+        F.when(kind == KINDS.index("email"), F.regexp_like(value, F.lit(r"@|\x20at\x20")))
+        .when(kind == KINDS.index("ip"), F.regexp_like(value, F.lit(r"[.:]")) & (n >= 4))
+        .when(kind == KINDS.index("card"), n.between(12, 19))
+        .otherwise(n.between(6, 15) & ~F.regexp_like(value, F.lit("@")))
+    )
 
 
 def _bootstrapped(seen: DataFrame) -> DataFrame:
@@ -117,19 +134,19 @@ def _bootstrapped(seen: DataFrame) -> DataFrame:
 
     seen: (value, kind or null, patterns). The graph has an edge for each pattern and distinct value. A pattern's confidence
     for a kind is the sum of its values' scores over their number; a seed's score is 1, another value's the best confidence
-    of its patterns. Both sides are scored in turn; sums are combined by map tasks, so a pattern that most values have is
+    of its patterns. A pattern counts if enough values of high score have it, which in later rounds can be discovered ones. Both sides are scored in turn; sums are combined by map tasks, so a pattern that most values have is
     no large group.
     """
-    edges = staged(seen.select("value", F.explode("patterns").alias("pattern")).distinct(), "edges")
+    edges = staged(seen.select("value", F.explode("patterns").alias("pattern")).where("pattern IS NOT NULL").distinct(), "edges")
     seeds = staged(seen.where("kind IS NOT NULL").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0)), "seeds")
-    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    seeded = edges.join(seeds, "value").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS)
-    support = staged(seeded.join(sizes, "pattern"), "support")
+    sizes = staged(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), "sizes")
     scores = seeds
     for _ in range(ROUNDS):
-        sums = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
-        confidence = sums.join(support, ["pattern", "kind"]).select("pattern", "kind", (F.col("s") / F.col("n")).alias("score"))
-        best = edges.join(confidence, "pattern").groupBy("value").agg(F.max(F.struct("score", (-F.col("kind")).alias("order"))).alias("b"))
+        certain = F.count(F.when(F.col("score") >= CONFIDENCE, F.lit(1)))
+        sums = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), certain.alias("support")).where(F.col("support") >= LEAST_SEEDS)
+        confidence = sums.join(sizes, "pattern").select("pattern", "kind", (F.col("s") / F.col("n")).alias("score"))
+        fit = ~F.startswith("pattern", F.lit("words-")) | _plausible(F.col("kind"), F.col("value"))
+        best = edges.join(confidence, "pattern").where(fit).groupBy("value").agg(F.max(F.struct("score", (-F.col("kind")).alias("order"))).alias("b"))
         others = best.select("value", (-F.col("b.order")).alias("kind"), "b.score").join(seeds, "value", "left_anti")
         scores = staged(seeds.unionByName(others), "scores")
     return scores.where(F.col("score") >= CONFIDENCE).join(seeds, "value", "left_anti").select("value", "kind")
@@ -140,27 +157,44 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _outermost(spans: Column) -> Column:
+    """Spans that lie in no other; of equal ones the first."""
+    wider = lambda x, y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    outer = lambda all_: F.filter(all_, lambda x: ~F.exists(all_, lambda y: wider(x, y)))
+    first = lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["start"] != x["start"]) | (F.get(all_, i - 1)["end"] != x["end"]))
+    return let(let(spans, outer), first)
+
+
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
 
-    Base spans are those of PATTERNS that pass their check. Seeds: words that are a base span. Patterns that seeds induce: the
-    shape of the word, and the shape with the word to its left or right. What has a pattern of high confidence and is no
-    seed is an added span of the seeds' kind: a card number whose neighbour number spoils the base match, for instance.
+    Base spans are those of PATTERNS that pass their check, and the seeds. Patterns that seeds induce: the shape of the value, the
+    shape with the word to its left or right, and the words to its left, its right and on both sides whatever the shape.
+    Candidates are words with digits, runs of neighbouring digit words and spelt addresses. One that has a pattern of high
+    confidence is an added span of the seeds' kind: a card number whose neighbour number spoils the base match, or a
+    number in a new format where others stand. For the latter it must be plausible, and no card number that fails its check.
+    An added span inside another is left out.
     Spans are in code points, the end exclusive; counts and base_sha256 are of base spans, `spans` lists all.
 
     One pass over the texts; only spans and words with digits leave it, and are staged. Nulls: a null text is empty.
     Repeated rows give repeated results. Other columns of docs are not looked at.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    some = F.regexp_like(F.col("text"), F.lit("[0-9@]"))
+    some = F.regexp_like(F.col("text"), F.lit(r"[0-9@]|\x20at\x20"))
     based = rows.withColumn("base", F.when(some, base_spans(F.col("text"))).otherwise(F.array().cast(_FOUND)))
     worded = based.withColumn("words", F.when(some, _candidates(F.col("text"), F.col("base"))))
     kept = staged(worded.select("doc_id", F.monotonically_increasing_id().alias("row"), "base", "words"), "spans")
+    free = F.transform("words", lambda w: F.struct(w["value"].alias("value"), w["start"].alias("start"), w["end"].alias("end"), w["left"].alias("left"), w["right"].alias("right"), F.lit(None).cast("int").alias("kind")))
+    based = F.transform("base", lambda w: F.struct(w["value"].alias("value"), w["start"].alias("start"), w["end"].alias("end"), w["left"].alias("left"), w["right"].alias("right"), w["kind"].alias("kind")))
     shape = _shape(F.col("w.value"))
-    seen = kept.select("row", F.explode("words").alias("w")).select("row", "w.*", shape.alias("shape"))
-    patterns = F.array(F.concat(F.lit("own|"), "shape"), F.concat(F.lit("left|"), "shape", F.lit("|"), "left"), F.concat(F.lit("right|"), "shape", F.lit("|"), "right"))
+    seen = kept.select("row", F.explode(F.concat(F.coalesce(free, F.array()), based)).alias("w")).select("row", "w.*", shape.alias("shape"))
+    pattern = lambda name, *of: F.concat(F.lit(name), *[x for c in of for x in (F.lit("|"), F.col(c))])
+    lexical = lambda name, *of: F.when(~F.endswith("shape", F.lit("|other")) & F.concat(*[F.col(c) for c in of]).rlike(r"\p{L}"), pattern(name, *of))
+    patterns = F.array(pattern("own", "shape"), pattern("left", "shape", "left"), pattern("right", "shape", "right"), lexical("words-left", "left"), lexical("words-right", "right"), lexical("words-both", "left", "right"))
     found = _bootstrapped(staged(seen.select("value", "kind", patterns.alias("patterns")).distinct(), "seen")).withColumnRenamed("kind", "as_kind")
-    added = seen.where("kind IS NULL").join(found, "value").groupBy("row").agg(F.collect_list(F.struct("start", F.col("as_kind").alias("kind"), "end", "value")).alias("added"))
+    one = F.struct("start", F.col("as_kind").alias("kind"), "end", "value", "left", "right")
+    added = seen.where("kind IS NULL").join(found, "value").groupBy("row").agg(F.sort_array(F.collect_list(one)).alias("added"))
+    added = added.withColumn("added", _outermost(F.col("added")))
     both = kept.join(added, "row", "left").withColumn("added", F.coalesce("added", F.array().cast(_FOUND)))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return both.select(
