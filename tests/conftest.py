@@ -75,7 +75,3 @@ def usage(spark, prices):
         return priced.withColumn("raw_meta", F.lit(None).cast(empty_meta)).withColumn("event_date", F.to_date("ts"))
 
     return make
-
-
-def at(text: str) -> dt.datetime:
-    return dt.datetime.fromisoformat(text).replace(tzinfo=UTC)

@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at
+from times import at
 from meterlake import UsageStore, budget_status, budget_table, crossings, fire_alerts, load_budgets, recent_alerts
 from meterlake.operators.budgets import alert_messages, fraction_label, split_dedupe_key
 from meterlake.sources.budgets import BudgetError, load_alert_fractions

@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at
+from times import at
 from meterlake import savings_suggestions
 from meterlake.operators import rules
 from meterlake.operators.density import candidate_slots, densest_window, slot_counts

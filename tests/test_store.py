@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import at
+from times import at
 from meterlake import UsageStore, in_range, summary
 from meterlake.operators.dedup import first_per_key, not_stored
 from meterlake.staging import staging_root

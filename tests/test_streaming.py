@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import at
+from times import at
 from meterlake import UsageStore, budget_table, session_log_source
 from meterlake.operators.density import densest_window
 from meterlake.streaming import streams
