@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import decontaminate, divergence, kneser_ney, mixing, pairwise, pii, simhash, substrings, toxicity, training_order
+from meterlake.llm import decontaminate, divergence, kneser_ney, mixing, pairwise, periodic, pii, simhash, substrings, toxicity, training_order
 from meterlake.llm.labelled import fold
 from meterlake.llm.shared import ship_package
 
@@ -153,6 +153,27 @@ def op8_kneser_ney_scores(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.token_scores(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def _with_loops(docs: DataFrame) -> DataFrame:
+    """Of one document in ten, by the checksum of its id, the words from one place on are replaced by its words there again and again."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    rows = docs.select("doc_id", "text", words.alias("w"), F.floor(h / 10).alias("g"))
+    rows = rows.select("doc_id", "text", F.expr("if(size(w) > 0, w, null)").alias("w"), "g", F.expr("if(size(w) > 0, cast(g % size(w) as int), 0)").alias("a"))
+    rows = rows.select("doc_id", "text", "w", "a", F.expr("cast(1 + (size(w) - a) div (3 + g % 8) as int)").alias("p"))
+    again = F.expr("slice(concat(slice(w, 1, a), flatten(array_repeat(slice(w, a + 1, p), cast(ceil((size(w) - a) / p) as int)))), 1, size(w))")
+    return rows.select("doc_id", F.coalesce(F.array_join(again, " "), "text").alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.find_runs(_with_loops(_table(spark, folder, "documents").select("doc_id", "text")))
+    best = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    rows = found.select("doc_id", "n_words", "runs", best.alias("best"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    milli = F.expr("1000 * best.length div -best.period")
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -164,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney_scores": op8_kneser_ney_scores,
     "op9_pairwise_quality": op9_pairwise_quality,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
