@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import decontaminate, divergence, kneser_ney, mixing, pairwise, periodic, pii, simhash, substrings, toxicity, training_order
+from meterlake.llm import decontaminate, divergence, kneser_ney, mixing, pairwise, periodic, pii, simhash, spelling, substrings, toxicity, training_order
 from meterlake.llm.labelled import fold
 from meterlake.llm.shared import ship_package
 
@@ -153,6 +154,17 @@ def op8_kneser_ney_scores(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.token_scores(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def _mistyped(doc_id: int | None, run: str) -> str:
+    """The run without one code point, for one run of a document in 31, by the checksum of both."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+    return run if h % 31 else run[: h % len(run)] + run[h % len(run) + 1 :]
+
+
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return spelling.group_variants(spelling.count_words(docs, 7, 2, _mistyped), ratio=10)
+
+
 def _with_loops(docs: DataFrame) -> DataFrame:
     """Of one document in ten, by the checksum of its id, the words from one place on are replaced by its words there again and again."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -185,6 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney_scores": op8_kneser_ney_scores,
     "op9_pairwise_quality": op9_pairwise_quality,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_periodic_runs": op12_periodic_runs,
 }
 
