@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import decontaminate, divergence, kneser_ney, mixing, pairwise, periodic, pii, simhash, spelling, substrings, toxicity, training_order
+from meterlake.llm import decontaminate, divergence, kneser_ney, mixing, pairwise, periodic, pii, simhash, spelling, substrings, suffixes, toxicity, training_order
 from meterlake.llm.labelled import fold
 from meterlake.llm.shared import ship_package
 
@@ -186,6 +186,12 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words")
 
 
+def op13_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"), length=200)
+    size = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.first)").alias("n_removed")
+    return found.select("doc_id", "n_bytes", size, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -199,6 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
