@@ -15,8 +15,8 @@ from meterlake.llm.hasharrays import SortedHashes, bucket_of, load, merged, save
 from meterlake.llm.shared import mounted, new_folder, staged
 from meterlake.llm.words import _BASE, _INVERSE, _VALUES, U64, mix, pieces, powers, text_bytes
 
-#: Window starts of a longer text that are looked at in one go.
-PART_BYTES = 4 << 20
+#: Bytes of many texts, and window starts of one longer text, that are looked at in one go, and the most that the latter can be.
+PIECE_BYTES, PART_BYTES, PART_MOST = 256 << 10, 4 << 20, 4 << 20
 #: From so many units under one gram on, its windows are dealt out one by one. Changes the work, never the result.
 CROWDED = 10_000
 #: Hashes of a file, units of a shuffle partition, and units sorted at once.
@@ -42,7 +42,7 @@ class Units:
         grams = mix((self.total[gram:] - self.total[:-gram]) * self.back[: n - gram + 1]) if starts else np.empty(0, U64)
         place = _leftmost_least(grams, length - gram + 1)[start] if starts else start
         new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]][: len(place)])
-        self.first, self.place = start[new], place[new].astype(np.int64)
+        self.first, self.place = start[new], place[new]
         self.count = np.diff(np.r_[new, len(place)])
         self.anchor = grams[self.place]
         whole = (self.total[self.first + self.count + length - 1] - self.total[self.first]) * self.back[self.first]
@@ -56,15 +56,17 @@ class Units:
 
 
 def _leftmost_least(keys: np.ndarray, width: int) -> np.ndarray:
-    """The place of the least of keys[i : i + width] for each i, by minima over 1, 2, 4, ... keys."""
-    at, size = np.arange(len(keys), dtype=np.int32), 1
+    """The place of the least of keys[i : i + width] for each i, by minima over 1, 2, 4, ... keys.
+
+    The place stands in the low bits of a key, so the leftmost of keys that agree in the others counts as the least.
+    """
+    low, size = U64((2 * PART_MOST) - 1), 1
+    keys = keys & ~low | np.arange(len(keys), dtype=U64)
     while size < width:
         step = min(size, width - size)
-        take = keys[step:] < keys[:-step]
-        at = np.where(take, at[step:], at[:-step])
-        keys = np.where(take, keys[step:], keys[:-step])
+        keys = np.minimum(keys[:-step], keys[step:])
         size += step
-    return at
+    return (keys & low).astype(np.int64)
 
 
 def _parts(column: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -127,7 +129,7 @@ class Repeats:
         n = rows.count()
         if not n:
             return
-        bits, folder = max(1, (n // FILE_ROWS).bit_length()), self.folder
+        bits, folder = max(5, (n // FILE_ROWS).bit_length()), self.folder
 
         def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             bucket, hashes = key[0].as_py(), table.column("hash").to_numpy().view(U64)
@@ -152,7 +154,7 @@ def _counts(docs: DataFrame, rows, names: list[str], keys: int = 1) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE_BYTES):
                 for columns in rows(batch.column("text")):
                     held.append(merged([columns], keys))
                     n += len(held[-1][0])
@@ -207,7 +209,7 @@ def _units(docs: DataFrame, own: Repeats) -> DataFrame:
         held: dict[tuple, list] = {}
         size = 0
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE_BYTES):
                 for _, u in own.units(batch.column("text")):
                     data = memoryview(u.data.tobytes())
                     one_by_one = own.has("crowded", u.anchor)
@@ -336,8 +338,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, doc_id: s
     Null and empty texts, and those shorter than `length`, keep all bytes. Repeated rows repeat each other. Columns of docs
     other than the two named are not looked at. The shared folder must be mounted, as tasks map files there.
     """
-    if not 1 <= gram <= length or length < 8:
-        raise ValueError(f"a gram of {gram} bytes must lie in a string of {length}, of at least 8")
+    if not 1 <= gram <= length or not 8 <= length <= PART_MOST:
+        raise ValueError(f"a gram of {gram} bytes must lie in a string of {length}, of 8 to {PART_MOST}")
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     own = Repeats(mounted(new_folder(docs.sparkSession, "suffixes")), length, gram, {})
     texts = docs.select("text")
@@ -348,14 +350,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, doc_id: s
         own.write("again", _windows_seen(texts, own).where("n > 1").select("hash"))
     if "seen" in own.bits:
         expected = grams.agg(F.sum(F.least("units", F.lit(CROWDED)))).first()[0]
-        result = staged(_sorted_units(_units(texts, own), own, max(1, expected // PARTITION_UNITS)), "units")
-        own.write("result", result)
+        units = staged(_units(texts, own), "units")
+        own.write("result", staged(_sorted_units(units, own, max(1, expected // PARTITION_UNITS)), "results"))
     span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
     fields = [docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE_BYTES):
                 yield _marked(batch, own)
 
     return docs.mapInArrow(mark, T.StructType(fields))
