@@ -44,7 +44,8 @@ class Units:
         new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]][: len(place)])
         self.first, self.place = start[new], place[new]
         self.count = np.diff(np.r_[new, len(place)])
-        self.anchor = grams[self.place]
+        # The least of many hashes are small; mixed again, they spread over all files.
+        self.anchor = mix(~grams[self.place])
         whole = (self.total[self.first + self.count + length - 1] - self.total[self.first]) * self.back[self.first]
         self.unit = mix(whole ^ mix((self.place - self.first).astype(U64) << U64(32) | self.count.astype(U64)))
 
@@ -69,18 +70,18 @@ def _leftmost_least(keys: np.ndarray, width: int) -> np.ndarray:
     return (keys & low).astype(np.int64)
 
 
-def _parts(column: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _parts(column: pa.Array, length: int, part: int = PART_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(place of its first byte, bytes, text boundaries) of all texts, or of overlapping parts of one long text.
 
     Parts overlap by a window less a byte, so that every window lies in one part.
     """
     data, first = text_bytes(column)
-    if len(data) <= 2 * PART_BYTES:
+    if len(data) <= 2 * part:
         yield 0, data, first
     else:
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            for i in range(a, b, PART_BYTES):
-                end = min(b, i + PART_BYTES + length - 1)
+            for i in range(a, b, part):
+                end = min(b, i + part + length - 1)
                 yield i, data[i:end], np.array([0, end - i])
 
 
@@ -92,9 +93,10 @@ class Repeats:
     length: int
     gram: int
     bits: dict[str, int]
+    part: int
 
     def units(self, column: pa.Array) -> Iterator[tuple[int, Units]]:
-        for at, data, first in _parts(column, self.length):
+        for at, data, first in _parts(column, self.length, self.part):
             yield at, Units(data, first, self.length, self.gram)
 
     def has(self, name: str, hashes: np.ndarray) -> np.ndarray:
@@ -341,7 +343,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, doc_id: s
     if not 1 <= gram <= length or not 8 <= length <= PART_MOST:
         raise ValueError(f"a gram of {gram} bytes must lie in a string of {length}, of 8 to {PART_MOST}")
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    own = Repeats(mounted(new_folder(docs.sparkSession, "suffixes")), length, gram, {})
+    own = Repeats(mounted(new_folder(docs.sparkSession, "suffixes")), length, gram, {}, PART_BYTES)
     texts = docs.select("text")
     grams = staged(_grams_seen(texts, own).where("n > 1"), "grams")
     own.write("seen", grams.select("hash"))
