@@ -15,18 +15,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterlake.llm.hasharrays import load, save
 from meterlake.llm.labelled import examples
-from meterlake.llm.shared import staged
-
-#: Bounds of what is learned: examples, and terms that count as marks; and the examples of a block. All words are indexed.
-MOST_EXAMPLES, MOST_TERMS, BLOCK = 16_384, 1_024, 64
-#: Marks weigh so many times as much as other words; terms of more than one in so many examples are common.
-MARKED, COMMON = 8.0, 8
+from meterlake.llm.shared import mounted, new_folder, staged
+from meterlake.llm.words import Words, pieces
+
+#: Labelled rows to learn from, at most; all their words are indexed.
+MOST_EXAMPLES = 16_384
+#: Examples of a block, texts searched at once, those of them whose postings are added at once, and blocks that are searched first.
+BLOCK, TEXTS, FEW, FIRST_BLOCKS = 512, 64, 4, 2
+#: Words of more than one in so many examples are common. They are rows of a matrix instead of postings.
+COMMON = 8
 #: Texts from this score on are toxic.
 THRESHOLD = 0.7
 NEIGHBOURS, GRAM, LEAST_EXAMPLES = 15, 5, 3
-#: A term must be tied to toxic examples by this chi-squared value, and be so many times as likely in them as in clean ones.
-CHI2, LIFT = 15.0, 2.0
+#: A mark must be tied to toxic examples by this chi-squared value, and be so many times as likely in them as in clean ones.
+CHI2, LIFT = 25.0, 2.0
+#: Rounding of 32-bit sums that bounds must allow for.
+CLOSE = 1e-5
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -35,8 +41,8 @@ def normal(text: str | None) -> str:
     return _OTHER.sub(" ", f" {(text or '').lower()} ")
 
 
-def terms_of(line: str) -> set[str]:
-    """Words, with their blanks, their pieces of five characters and their longer beginnings, blanks included."""
+def pieces_of(line: str) -> set[str]:
+    """What can be a mark: words, with their blanks, their pieces of five characters and their longer beginnings, blanks included."""
     out = set()
     for word in set(line.split()):
         padded = f" {word} "
@@ -46,274 +52,345 @@ def terms_of(line: str) -> set[str]:
     return out
 
 
+def counted_words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, count) of the different words of each text, by text and hash."""
+    words = Words(lines)
+    h = words.hashes()
+    text = np.repeat(np.arange(len(lines)), np.diff(words.first))
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])][: len(h)])
+    return text[new], h[new], np.diff(np.r_[new, len(h)])
+
+
 @dataclass
 class Index:
-    """Terms, marks of toxic texts first and then all other words, and their idf; examples, in blocks, with their labels.
+    """Where the arrays of the examples lie, and what is learned besides.
 
-    Terms that few examples have are postings: examples and weights of term t lie from starts[t] to starts[t + 1]. The others
-    (column[t] >= 0) are rows of common, and common_max holds the largest weight of each row by block.
+    Arrays, by word: words (hashes, sorted), idf, entries (a word's entries lie from there to the next), common (row of the
+    matrix, or -1). An entry is a word in a block: entry_block, entry_most (the largest weight there), entry_posted (its
+    postings lie from there to the next; common words have none). Postings: posted (example), posted_weight. matrix: block by
+    common word by example. By example: ids, labels, rank (place by id).
     """
 
-    terms: list[str]
-    idf: np.ndarray
-    n_marks: int
-    starts: np.ndarray
-    posted: np.ndarray
-    weights: np.ndarray
-    column: np.ndarray
-    common: np.ndarray  # row by example
-    common_max: np.ndarray  # row by block
-    ids: np.ndarray
-    labels: np.ndarray
+    folder: str
+    n: int
+    marks: list[str]
+    mark_idf: np.ndarray
     prior: float
-    unmatched: float  # share of toxic among examples without marks, for texts that share no term with any example
-    curve: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0)  # of the log-odds of votes, the weight of all marks, 1, and no marks
-
-    def automaton(self) -> ahocorasick.Automaton | None:
-        """Finds marks, which can be pieces of words."""
-        if not self.n_marks:
-            return None
-        a = ahocorasick.Automaton()
-        for i, t in enumerate(self.terms[: self.n_marks]):
-            a.add_word(t, i)
-        a.make_automaton()
-        return a
+    unmatched: float  # share of toxic among examples without marks, for texts that share no word with any example
+    curve: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0)  # of the log-odds of votes, the strength of marks, 1, and no marks
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        array = np.asarray(load(self.folder, name))
+        self.__dict__[name] = array
+        return array
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_words"}
-
-    def words(self) -> dict[str, int]:
-        if "_words" not in self.__dict__:
-            self._words = {t[1:-1]: i for i, t in enumerate(self.terms[self.n_marks :], self.n_marks)}
-        return self._words
-
-    def vector(self, found: ahocorasick.Automaton | None, text: str | None) -> tuple[np.ndarray, np.ndarray, float]:
-        """Terms of a text, their weights scaled to length 1, and the length of its marks before."""
-        line, words = normal(text), self.words()
-        counts = Counter(i for _, i in found.iter(line)) if found else {}
-        for word, n in Counter(line.split()).items():
-            if (i := words.get(word)) is not None:
-                counts[i] = n
-        at = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[i] for i in at.tolist()], float))) * self.idf[at] if len(at) else np.empty(0)
-        marks = at < self.n_marks
-        length = float(np.linalg.norm(w[marks]))
-        w = np.where(marks, MARKED * w, w)
-        norm = float(np.linalg.norm(w))
-        return at, w / norm if norm else w, length
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, but: int | None = None) -> list[tuple[float, int]]:
-        """The k examples of the largest cosine above 0 (of equal ones those that come first), and their cosines.
-
-        Postings are summed for all examples. Common terms are added only for examples that can be among the best with the
-        most that their block has of these terms. So the result is exact.
+        return {k: self.__dict__[k] for k in self.__dataclass_fields__}
+
+    def strengths(self, lines: list[str]) -> np.ndarray:
+        """How strongly each text is marked: the length of the TF-IDF vector of its marks."""
+        if not self.marks:
+            return np.zeros(len(lines))
+        if "_found" not in self.__dict__:
+            self._found = ahocorasick.Automaton()
+            for i, t in enumerate(self.marks):
+                self._found.add_word(t, i)
+            self._found.make_automaton()
+        out = np.zeros(len(lines))
+        for k, line in enumerate(lines):
+            counts = Counter(i for _, i in self._found.iter(line))
+            if counts:
+                out[k] = np.linalg.norm((1 + np.log(np.fromiter(counts.values(), float))) * self.mark_idf[list(counts)])
+        return out
+
+    def vectors(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, word, weight): (1 + log count) * idf of the words that examples have, each text scaled to length 1."""
+        if not self.n:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        text, h, count = counted_words(pa.array(lines, pa.string()))
+        word = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        known = self.words[word] == h
+        text, word, count = text[known], word[known], count[known]
+        weight = (1 + np.log(count)) * self.idf[word]
+        square = np.bincount(text, weight * weight, len(lines))
+        return text, word, weight / np.sqrt(square[text])
+
+    def nearest(self, lines: list[str], k: int, but: list[str] | None = None) -> list[list[tuple[float, int]]]:
+        """For each text the k examples of the largest cosine above 0 (of equal ones those that come first by id), and their cosines.
+
+        A block can't hold a larger cosine than the sum of its largest weights. The blocks of the largest sums are searched
+        first; then all those whose sum reaches the k-th best cosine found there, and no others. What may be among the best is
+        computed again from the whole vectors with 64 bits, in an order that doesn't depend on the other texts.
         """
-        n = len(self.ids)
-        if not len(at) or not n:
-            return []
-        rare = self.column[at] < 0
-        spans = [(slice(self.starts[t], self.starts[t + 1]), x) for t, x in zip(at[rare].tolist(), w[rare].tolist())]
-        if spans:
-            cosines = np.bincount(np.concatenate([self.posted[s] for s, _ in spans]), np.concatenate([self.weights[s] * x for s, x in spans]), n)
-        else:
-            cosines = np.zeros(n)
-        k_too = min(n, k + (but is not None))
-        rows, x = self.column[at[~rare]], w[~rare]
-        chosen = np.arange(n)
-        if len(rows):
-            most = np.repeat(x @ self.common_max[rows], BLOCK)[:n]
-            chosen = np.flatnonzero(cosines + most + 1e-6 >= np.partition(cosines, n - k_too)[n - k_too])
-            for row, y in zip(rows.tolist(), x.tolist()):
-                cosines[chosen] += y * self.common[row][chosen]
-        there = cosines[chosen]
-        least = np.partition(there, len(there) - min(k_too, len(there)))[len(there) - min(k_too, len(there))]
-        chosen = chosen[(there >= least) & (there > 0)]
-        chosen = chosen[np.argsort(-cosines[chosen], kind="stable")]
-        if but is not None:
-            chosen = chosen[self.ids[chosen] != but]
-        return [(float(cosines[i]), i) for i in chosen[:k].tolist()]
-
-    def _block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
-        first, last = b * BLOCK, min((b + 1) * BLOCK, len(self.ids))
-        term = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
-        inside = (self.posted >= first) & (self.posted < last)
-        rows = self.common[:, first:last]
-        at = np.unique(np.concatenate([term[inside], np.flatnonzero(self.column >= 0)]))
-        weights = np.zeros((len(at), last - first))
-        weights[np.searchsorted(at, term[inside]), self.posted[inside] - first] = self.weights[inside]
-        full = np.flatnonzero(self.column >= 0)
-        weights[np.searchsorted(at, full)] = rows[self.column[full]]
-        return at, weights
-
-    @property
-    def block_terms(self) -> list[np.ndarray]:
-        """For each block of examples its terms."""
-        return [self._block(b)[0] for b in range(-(-len(self.ids) // BLOCK))]
-
-    @property
-    def block_weights(self) -> list[np.ndarray]:
-        """For each block of examples a row of weights for each of its terms."""
-        return [self._block(b)[1] for b in range(-(-len(self.ids) // BLOCK))]
+        text, word, weight = self.vectors(lines)
+        out: list[list[tuple[float, int]]] = []
+        edges = np.searchsorted(text, np.arange(0, len(lines) + TEXTS, TEXTS))
+        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            first, size = i * TEXTS, min(TEXTS, len(lines) - i * TEXTS)
+            if b > a:
+                out += self._nearest(text[a:b] - first, word[a:b], weight[a:b], size, k, but and but[first : first + size])
+            else:
+                out += [[] for _ in range(size)]
+        return out
+
+    def _nearest(self, text: np.ndarray, word: np.ndarray, weight: np.ndarray, n: int, k: int, but: list[str] | None) -> list[list[tuple[float, int]]]:
+        blocks, _, block = self.matrix.shape
+        rank = min(self.n, k + (but is not None))
+        some = min(blocks, max(FIRST_BLOCKS, -(-rank // block)))
+        common = self.common[word]
+        queries = np.zeros((n, self.matrix.shape[1]), np.float32)
+        queries[text[common >= 0], common[common >= 0]] = weight[common >= 0]
+        start, size = self.entries[word], self.entries[word + 1] - self.entries[word]
+        entry = _ranges(start, size)
+        pair = np.repeat(text * blocks, size) + self.entry_block[entry]
+        part = np.repeat(weight, size)
+        most = np.bincount(pair, part * self.entry_most[entry], n * blocks).reshape(n, blocks)
+        first = np.argpartition(-most, some - 1, axis=1)[:, :some]
+        wanted = np.zeros((n, blocks), bool)
+        np.put_along_axis(wanted, first, True, axis=1)
+        sums, cosines = np.zeros((n, blocks, block)), np.zeros((n, blocks, block), np.float32)
+
+        def search(wanted: np.ndarray) -> None:
+            """Adds up the cosines of these blocks: postings for a few texts at a time, the matrix for all."""
+            here = np.flatnonzero(wanted.ravel()[pair] & (self.entry_posted[entry + 1] > self.entry_posted[entry]))
+            edges = np.searchsorted(pair[here], np.arange(0, n + FEW, FEW) * blocks)
+            for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+                if b > a:
+                    own, to = here[a:b], sums[i * FEW : (i + 1) * FEW]
+                    start, size = self.entry_posted[entry[own]], self.entry_posted[entry[own] + 1] - self.entry_posted[entry[own]]
+                    posting = _ranges(start, size)
+                    at = np.repeat((pair[own] // blocks - i * FEW) * (blocks * block), size) + self.posted[posting]
+                    to += np.bincount(at, np.repeat(part[own], size) * self.posted_weight[posting], to.size).reshape(to.shape)
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                rows = np.flatnonzero(wanted[:, b])
+                cosines[rows, b] = sums[rows, b] + queries[rows] @ self.matrix[b]
+
+        search(wanted)
+        known = np.take_along_axis(cosines, first[:, :, None], axis=1).reshape(n, some * block)
+        least = np.partition(known, known.shape[1] - rank, axis=1)[:, known.shape[1] - rank]
+        search((most >= least[:, None] - CLOSE) & (most > 0) & ~wanted)
+        sums, cosines = sums.reshape(n, blocks * block), cosines.reshape(n, blocks * block)
+        out = []
+        for q in range(n):
+            at = np.flatnonzero(cosines[q] >= max(least[q] - CLOSE, 1e-12))
+            if len(at) > rank:
+                there = cosines[q, at]
+                at = at[there >= np.partition(there, len(there) - rank)[len(there) - rank] - CLOSE]
+            rows = np.flatnonzero(queries[q])
+            exact = sums[q, at] + (self.matrix[at[:, None] // block, rows, at[:, None] % block] * queries[q, rows].astype(float)).sum(axis=1)
+            best = np.lexsort((self.rank[at], -exact))
+            if but is not None:
+                best = best[self.ids[at[best]] != but[q]]
+            out.append([(float(exact[i]), int(at[i])) for i in best[:k]])
+        return out
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """The share of toxic neighbours weighted by nearness, which a copy outweighs all others by, drawn a little to the prior."""
         weights = [c * c / (1.01 - min(c, 1.0)) for c, _ in near]
-        return (sum(x * self.labels[i] for x, (_, i) in zip(weights, near)) + 0.02 * self.prior) / (sum(weights) + 0.02)
+        return (sum(x * float(self.labels[i]) for x, (_, i) in zip(weights, near)) + 0.02 * self.prior) / (sum(weights) + 0.02)
 
-    def score(self, near: list[tuple[float, int]], length: float) -> float:
+    def score(self, near: list[tuple[float, int]], strength: float) -> float:
         if not near:
             return self.unmatched
-        return float(1 / (1 + np.exp(-(_facts(self.vote(near), length) @ np.array(self.curve)))))
-
+        return float(1 / (1 + np.exp(-(_facts(self.vote(near), strength) @ np.array(self.curve)))))
 
-def _facts(vote: float, length: float) -> np.ndarray:
-    p = min(max(vote, 1e-3), 1 - 1e-3)
-    return np.array([np.log(p / (1 - p)), np.log1p(length), 1.0, float(length == 0)])
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
-def _select_terms(rows: DataFrame) -> tuple[list[str], np.ndarray, int]:
-    """Terms that mark toxic examples, the number of examples that have each, and the number of examples."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
-            for text, label in zip(batch.column("text"), batch.column("label")):
-                have[int(label.as_py() > 0)].update(terms_of(normal(text.as_py())))
-        names = list(have[0].keys() | have[1].keys())
-        for i in range(0, len(names), 50_000):
-            part = names[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([h[t] for t in part], pa.int64()) for h in have)], ["term", "clean", "toxic"])
-
-    n = {r.toxic: r.n for r in rows.groupBy((F.col("label") > 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    clean, toxic = n.get(False, 0), n.get(True, 0)
-    a, b, c, d = F.col("toxic"), F.col("clean"), F.lit(float(toxic)) - F.col("toxic"), F.lit(float(clean)) - F.col("clean")
-    all_ = float(clean + toxic)
-    chi2 = F.lit(all_) * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * (c + d) * F.lit(float(max(toxic, 1))) * F.lit(float(max(clean, 1))) + 1e-9)
-    counted = rows.select("text", "label").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    fit = (a >= LEAST_EXAMPLES) & (chi2 >= CHI2) & (a * F.lit(float(clean)) >= LIFT * b * F.lit(float(toxic)))
-    chosen = counted.withColumn("chi2", chi2).where(fit).orderBy(F.desc("chi2"), "term").limit(MOST_TERMS).collect()
-    return [r.term for r in chosen], np.array([r.clean + r.toxic for r in chosen], float), int(all_)
-
-
-def _all_words(rows: DataFrame, but: list[str]) -> tuple[list[str], np.ndarray]:
-    """All words of the examples, with a blank on both sides, and the number of examples that have each."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = Counter()
-        for batch in batches:
-            for text in batch.column("text"):
-                have.update(set(normal(text.as_py()).split()))
-        names = list(have)
-        for i in range(0, len(names), 50_000):
-            part = names[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([have[t] for t in part], pa.int64())], ["term", "n"])
-
-    counted = rows.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    known = set(but)
-    got = sorted((f" {t} ", n) for t, n in zip(counted.column("term").to_pylist(), counted.column("n").to_pylist()) if f" {t} " not in known)
-    return [t for t, _ in got], np.array([n for _, n in got], float)
+def _facts(vote: float, strength: float) -> np.ndarray:
+    p = min(max(vote, 1e-3), 1 - 1e-3)
+    return np.array([np.log(p / (1 - p)), np.log1p(strength), 1.0, float(strength == 0)])
 
 
-def _sketch(text: str | None) -> int:
+def _sketch(line: str) -> int:
     """The least hash of five words in a row; near copies mostly share it."""
-    words = normal(text).split()
+    words = line.split()
     return min(zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4)))
 
 
-def _distinct(rows: DataFrame) -> DataFrame:
-    """One example for each sketch and label, so that copies of one text do not make its words look like marks."""
+def _with_lines(rows: DataFrame) -> DataFrame:
+    """Examples with their normalised text, one for each such text and label, and their weight as evidence for marks.
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Examples of one sketch and label have a weight of 1 between them, so that near copies of one text don't make its words
+    look like marks. Only ids, labels and hashes are shuffled.
+    """
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("sketch", pa.array([_sketch(t.as_py()) for t in batch.column("text")], pa.int64()))
+            each = [normal(t.as_py()) for t in batch.column("text")]
+            columns = [batch.column("doc_id"), batch.column("label"), pa.array(each, pa.string()), pa.array([_sketch(x) for x in each], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "line", "sketch"])
+
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["label"], T.StructField("line", T.StringType()), T.StructField("sketch", T.LongType())])
+    known = staged(rows.select("doc_id", "text", "label").mapInArrow(lines, schema), "lines")
+    toxic = (F.col("label") > 0).alias("toxic")
+    first = known.groupBy(F.md5("line").alias("digest"), toxic, "sketch").agg(F.min("doc_id").alias("doc_id"))
+    weights = first.groupBy("sketch", "toxic").agg((1 / F.count(F.lit(1))).alias("weight"))
+    apart = (F.pmod(F.xxhash64("sketch"), F.lit(4)) == 0).alias("apart")
+    kept = first.join(weights, ["sketch", "toxic"]).select("doc_id", "toxic", "weight", apart)
+    return known.join(F.broadcast(kept), (known.doc_id == kept.doc_id) & (toxic == kept.toxic)).select(known.doc_id, kept.toxic, "line", "weight", "apart")
 
-    sketched = rows.mapInArrow(sketch, T.StructType([*rows.schema.fields, T.StructField("sketch", T.LongType())]))
-    return sketched.groupBy("sketch", "label").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.doc_id", "r.text", "label", (F.pmod(F.xxhash64("sketch"), F.lit(4)) == 0).alias("apart"))
 
+def _marks(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Pieces that mark toxic examples, and their idf. All that pass the test are marks."""
 
-def fit(rows: DataFrame) -> Index:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: tuple[dict, dict] = ({}, {})
+        for batch in batches:
+            for line, toxic, weight in zip(batch.column("line"), batch.column("toxic"), batch.column("weight")):
+                of, weight = have[toxic.as_py()], weight.as_py()
+                for piece in pieces_of(line.as_py()):
+                    of[piece] = of.get(piece, 0.0) + weight
+        names = list(have[0].keys() | have[1].keys())
+        for i in range(0, len(names), 50_000):
+            part = names[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([h.get(t, 0.0) for t in part], pa.float64()) for h in have)], ["term", "clean", "toxic"])
+
+    total = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
+    clean, toxic = total.get(False, 0.0), total.get(True, 0.0)
+    # Sums of weights come in any order; rounded, they don't depend on it.
+    a, b = (F.round(F.sum(c), 6).alias(c) for c in ("toxic", "clean"))
+    counted = rows.select("line", "toxic", "weight").mapInArrow(count, "term string, clean double, toxic double").groupBy("term").agg(a, b)
+    a, b, c, d = F.col("toxic"), F.col("clean"), F.lit(toxic) - F.col("toxic"), F.lit(clean) - F.col("clean")
+    chi2 = F.lit(clean + toxic) * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * (c + d) * F.lit(max(toxic, 1.0)) * F.lit(max(clean, 1.0)) + 1e-9)
+    fit = (a >= LEAST_EXAMPLES) & (chi2 >= CHI2) & (a * F.lit(clean) >= LIFT * b * F.lit(toxic))
+    chosen = counted.where(fit).orderBy("term").collect()
+    return [r.term for r in chosen], np.array([np.log((clean + toxic + 1) / (r.clean + r.toxic + 1)) + 1 for r in chosen])
+
+
+def _write_index(folder: str, rows: pa.Table, size_of_block: int) -> None:
+    """Writes the arrays of the index for examples (doc_id, toxic, hashes, counts), which are at most MOST_EXAMPLES."""
+    n = rows.num_rows
+    ids = rows.column("doc_id").to_pylist()
+    by_id = np.array(sorted(range(n), key=lambda i: ids[i]), np.int64)
+    flat = [rows.column(c).combine_chunks() for c in ("hashes", "counts")]
+    size = np.diff(flat[0].offsets.to_numpy())
+    h, count = flat[0].flatten().to_numpy().view(np.uint64), flat[1].flatten().to_numpy()
+    words, word = np.unique(h, return_inverse=True)
+    have = np.bincount(word, minlength=len(words))
+    # A word that all examples have tells next to nothing, but a text of such words alone has neighbours too.
+    idf = np.log((n + 1) / (have + 0.5))
+    example = np.repeat(np.arange(n), size)
+    weight = (1 + np.log(count)) * idf[word]
+    weight /= np.sqrt(np.bincount(example, weight * weight, n))[example]
+    common = np.full(len(words), -1, np.int64)
+    often = np.flatnonzero(have * COMMON > n)
+    common[often] = np.arange(len(often))
+    table = np.zeros((n, len(often)), np.float32)
+    dense = common[word] >= 0
+    table[example[dense], common[word[dense]]] = weight[dense]
+    order = _alike(table, by_id, size_of_block)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    example = place[example]
+    block = example // size_of_block
+    by = np.lexsort((example, block, word))
+    word, block, example, weight, dense = word[by], block[by], example[by], weight[by], dense[by]
+    new = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])])
+    most = np.maximum.reduceat(weight, new)
+    posted = np.add.reduceat((~dense).astype(np.int64), new)
+    blocks = -(-n // size_of_block)
+    matrix = np.zeros((blocks * size_of_block, len(often)), np.float32)
+    matrix[:n] = table[order]
+    rank = np.empty(n, np.int64)
+    rank[by_id] = np.arange(n)
+    arrays = {
+        "words": words,
+        "idf": idf,
+        "common": common,
+        "entries": np.searchsorted(word[new], np.arange(len(words) + 1)),
+        "entry_block": block[new].astype(np.int32),
+        "entry_most": most,
+        "entry_posted": np.concatenate([[0], np.cumsum(posted)]),
+        "posted": example[~dense].astype(np.int32),
+        "posted_weight": weight[~dense].astype(np.float32),
+        "matrix": np.ascontiguousarray(matrix.reshape(blocks, size_of_block, len(often)).transpose(0, 2, 1)),
+        "ids": np.array([str(ids[i]) for i in order]),
+        "labels": np.array(rows.column("toxic").to_pylist(), float)[order],
+        "rank": rank[order],
+    }
+    for name, array in arrays.items():
+        save(folder, name, array)
+
+
+def _alike(table: np.ndarray, order: np.ndarray, block: int) -> np.ndarray:
+    """Examples in an order that brings those with the same common words together, so that a block's largest weights say much.
+
+    A part is halved along its main direction until it fits a block.
+    """
+    if len(order) <= block or not table.shape[1]:
+        return order
+    part = table[order] - table[order].mean(axis=0)
+    direction = np.ones(part.shape[1], np.float32) + np.arange(part.shape[1], dtype=np.float32) / part.shape[1]
+    for _ in range(12):
+        direction = part.T @ (part @ direction)
+        length = np.linalg.norm(direction)
+        if not length:
+            return order
+        direction /= length
+    blocks = -(-len(order) // block)
+    along = order[np.argsort(part @ direction, kind="stable")]
+    cut = blocks // 2 * block
+    return np.concatenate([_alike(table, along[:cut], block), _alike(table, along[cut:], block)])
+
+
+def fit(rows: DataFrame, block: int = BLOCK) -> Index:
     """Learns from rows (doc_id, text, label), of which there must be a bounded number (see labelled.examples).
 
-    Terms are all words of the examples, and words and pieces of words that mark toxic ones. An example is a vector of its
-    terms, weighted by (1 + log count) * idf, marks MARKED times as much, of length 1. Scores are calibrated by a logistic
-    curve on votes and the length of the marks before scaling, as a chance mark alone is weak evidence. A quarter of the
-    examples, from which no marks are chosen, serves for that; each is voted on by all others.
+    An example is a vector of its words, weighted by (1 + log count) * idf, of length 1. Tasks make the vectors, one task
+    orders the bounded number of them and writes the index to the shared folder, where all workers map it. Marks are words
+    and pieces of words that toxic examples have much more often. Scores are calibrated by a logistic curve on votes and the
+    strength of marks. A quarter of the examples, from which no marks are chosen, serves for that; each is voted on by all
+    others.
     """
-    rows = staged(_distinct(rows.select("doc_id", "text", "label")), "examples")
-    marks, have, n = _select_terms(rows.where("NOT apart"))
-    words, in_all = _all_words(rows, marks)
-    total = rows.count()
-    # Words that all examples have tell next to nothing, so only marks keep a weight of at least 1.
-    idf = np.concatenate([np.log((n + 1) / (have + 1)) + 1 if n else have, np.log((total + 1) / (in_all + 0.5)) if total else in_all])
-    none = np.empty(0, np.int64)
-    index = Index([*marks, *words], idf, len(marks), np.zeros(len(idf) + 1, np.int64), none, none, none, none, none, none, none, 0.0, 0.5)
-
-    shared = rows.sparkSession.sparkContext.broadcast(index)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        found = known.automaton()
-        for batch in batches:
-            each = [known.vector(found, t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([v[0] for v in each], pa.list_(pa.int32())), pa.array([v[1] for v in each], pa.list_(pa.float32())), pa.array([v[2] for v in each], pa.float64()), batch.column("apart")], ["doc_id", "label", "at", "w", "length", "apart"])
-
-    key = rows.schema["doc_id"].dataType.simpleString()
-    seen = rows.mapInArrow(vectors, f"doc_id {key}, label int, at array<int>, w array<float>, length double, apart boolean").toArrow().combine_chunks()
-    labels, apart, length = (np.array(seen.column(c).to_pylist()) for c in ("label", "apart", "length"))
-    if len(labels):
-        labels, apart = (labels > 0).astype(float), apart.astype(bool)
-        index.prior = float(labels.mean())
-        bare = labels[apart & (length == 0)]
-        index.unmatched = float((bare.sum() + index.prior) / (len(bare) + 1))
-        _fill(index, seen, labels, [i for i, _ in sorted(enumerate(seen.column("doc_id").to_pylist()), key=lambda x: x[1])])
-    else:
-        index.unmatched = 0.0
-        _fill(index, seen, np.empty(0), [])
-    learned = rows.sparkSession.sparkContext.broadcast(index)
+    spark = rows.sparkSession
+    rows = staged(_with_lines(rows), "examples")
+    marks, idf = _marks(rows.where("NOT apart"))
+    n = rows.count()
+    folder = mounted(new_folder(spark, "toxic-index"))
+    if n:
+        key = rows.schema["doc_id"].dataType.simpleString()
+
+        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                text, h, count = counted_words(batch.column("line"))
+                edges = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (h.view(np.int64), count.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], ["doc_id", "toxic", "hashes", "counts"])
+
+        def write(table: pa.Table) -> pa.Table:
+            _write_index(folder, table, block)
+            return pa.table({"n": pa.array([table.num_rows], pa.int64())})
+
+        seen = rows.select("doc_id", "toxic", "line").mapInArrow(vectors, f"doc_id {key}, toxic boolean, hashes array<long>, counts array<int>")
+        seen.groupBy().applyInArrow(write, "n long").collect()
+    sums = rows.agg(F.avg(F.col("toxic").cast("double")).alias("prior")).first()
+    prior = sums.prior or 0.0
+    index = Index(folder, n, marks, idf, prior, prior)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = learned.value
-        found = known.automaton()
-        for batch in batches:
-            votes, lengths = [], []
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                at, w, length = known.vector(found, text.as_py())
-                near = known.nearest(at, w, NEIGHBOURS, i)
-                votes.append(known.vote(near) if near else None)
-                lengths.append(length)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(votes, pa.float64()), pa.array(lengths, pa.float64())], ["label", "vote", "length"])
-
-    facts = [r for r in rows.where("apart").mapInArrow(judged, "label int, vote double, length double").collect() if r.vote is not None]
-    index.curve = _calibrated(np.array([_facts(r.vote, r.length) for r in facts]).reshape(-1, 4), np.array([r.label > 0 for r in facts], float))
+        for whole in batches:
+            for batch in pieces(whole, "line"):
+                lines = batch.column("line").to_pylist()
+                near = index.nearest(lines, NEIGHBOURS, [str(i) for i in batch.column("doc_id").to_pylist()])
+                votes = pa.array([index.vote(x) if x else None for x in near], pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), votes, pa.array(index.strengths(lines))], ["toxic", "vote", "strength"])
+
+    facts = rows.where("apart").select("doc_id", "toxic", "line").mapInArrow(judged, "toxic boolean, vote double, strength double").collect()
+    bare = [r.toxic for r in facts if not r.strength]
+    index.unmatched = (sum(bare) + prior) / (len(bare) + 1)
+    facts = sorted((r.vote, r.strength, r.toxic) for r in facts if r.vote is not None)
+    index.curve = _calibrated(np.array([_facts(v, s) for v, s, _ in facts]).reshape(-1, 4), np.array([t for _, _, t in facts], float))
     return index
 
 
-def _fill(index: Index, seen: pa.Table, labels: np.ndarray, order: list[int]) -> None:
-    """Postings of the examples in this order, terms of many examples apart."""
-    flat = lambda c, of: np.concatenate([x.values.to_numpy()[x.offsets[0].as_py() : x.offsets[-1].as_py()] for x in seen.column(c).chunks] or [np.empty(0, of)]).astype(of)
-    sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in seen.column("at").chunks] or [np.empty(0, np.int64)])
-    n, place = len(order), np.empty(len(order), np.int32)
-    place[order] = np.arange(n)
-    ids = seen.column("doc_id").to_pylist()
-    index.ids, index.labels = np.array([ids[i] for i in order]), labels[order] if n else labels
-    term, w, example = flat("at", np.int32), flat("w", np.float32), np.repeat(place, sizes)
-    of_each = np.bincount(term, minlength=len(index.terms))
-    full = np.flatnonzero(of_each * COMMON > n)
-    index.column = np.full(len(index.terms), -1, np.int32)
-    index.column[full] = np.arange(len(full))
-    index.common = np.zeros((len(full), n), np.float32)
-    dense = index.column[term] >= 0
-    index.common[index.column[term[dense]], example[dense]] = w[dense]
-    blocks = -(-n // BLOCK)
-    padded = np.zeros((len(full), blocks * BLOCK), np.float32)
-    padded[:, :n] = index.common
-    index.common_max = padded.reshape(len(full), blocks, BLOCK).max(axis=2) if n else np.zeros((len(full), 0), np.float32)
-    term, w, example = term[~dense], w[~dense], example[~dense]
-    by = np.lexsort((example, term))
-    index.posted, index.weights = example[by], w[by]
-    index.starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(index.terms)))]).astype(np.int64)
-
-
 def _calibrated(x: np.ndarray, truth: np.ndarray) -> tuple[float, ...]:
     """A logistic curve over the columns of x, by Newton steps, held near the identity of the first."""
     b, start = np.array([1.0, 0.0, 0.0, 0.0]), np.array([1.0, 0.0, 0.0, 0.0])
@@ -327,23 +404,22 @@ def _calibrated(x: np.ndarray, truth: np.ndarray) -> tuple[float, ...]:
 def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     """All columns of docs, and score (0 to 1) and evidence: the nearest three examples with cosine and label.
 
-    The index is broadcast; its size is that of all words of the bounded examples. Null and empty texts have no terms.
-    Nothing learned gives the share of toxic examples, or 0. Columns of docs that have one of the new names are replaced.
+    Null and empty texts have no words, so no neighbours; their score is the share of toxic ones among examples without
+    marks. Nothing learned gives 0. Columns of docs that have one of the new names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)
     own = [f for f in docs.schema.fields if f.name.lower() not in ("score", "evidence") or f.name == text]
     docs = docs.select(*[F.col(f"`{f.name}`") for f in own])
     evidence = T.ArrayType(T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.IntegerType())]))
     arrow = pa.list_(pa.struct([("doc_id", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        found = known.automaton()
-        for batch in batches:
-            vectors = [known.vector(found, t.as_py()) for t in batch.column(text)]
-            near = [known.nearest(at, w, NEIGHBOURS) for at, w, _ in vectors]
-            why = [[{"doc_id": str(known.ids[i]), "cosine": c, "toxic": int(known.labels[i])} for c, i in x[:3]] for x in near]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([known.score(x, v[2]) for x, v in zip(near, vectors)], pa.float64()), pa.array(why, arrow)], [*batch.schema.names, "score", "evidence"])
+        for whole in batches:
+            for batch in pieces(whole, text):
+                lines = [normal(t.as_py()) for t in batch.column(text)]
+                near = index.nearest(lines, NEIGHBOURS)
+                scores = [index.score(x, s) for x, s in zip(near, index.strengths(lines))]
+                why = [[{"doc_id": str(index.ids[i]), "cosine": c, "toxic": int(index.labels[i])} for c, i in x[:3]] for x in near]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(why, arrow)], [*batch.schema.names, "score", "evidence"])
 
     return docs.mapInArrow(run, T.StructType([*own, T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)]))
 

@@ -32,25 +32,7 @@ def test_quality_of_held_out(tables):
 def test_toxicity_of_held_out(tables):
     docs, labels = tables
     right, caught, clean = held_out(toxicity.score(docs, toxicity.learn(docs, labels)), labels, "toxic", toxicity.THRESHOLD)
-    assert right >= 0.93 and caught >= 0.6 and clean <= 0.02
-
-
-def test_neighbours_are_exact(tables):
-    docs, labels = tables
-    index = toxicity.learn(docs, labels)
-    dense = np.zeros((len(index.ids), len(index.terms)))
-    for b, (at, w) in enumerate(zip(index.block_terms, index.block_weights)):
-        dense[b * toxicity.BLOCK : b * toxicity.BLOCK + w.shape[1], at] = w.T
-    assert np.allclose(np.linalg.norm(dense, axis=1), 1)
-    rng = np.random.default_rng(3)
-    for _ in range(200):
-        at = np.sort(rng.choice(len(index.terms), rng.integers(1, 6), replace=False))
-        w = rng.random(len(at))
-        w /= np.linalg.norm(w)
-        cosines = dense[:, at] @ w
-        near = index.nearest(at, w, 7)
-        assert [c for c, _ in near] == pytest.approx(sorted(cosines[cosines > 1e-12], reverse=True)[:7])
-        assert all(cosines[i] == pytest.approx(c) for c, i in near)
+    assert right >= 0.93 and caught >= 0.65 and clean <= 0.02
 
 
 @pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (pairwise, "quality")])
@@ -72,6 +54,16 @@ def test_odd_rows(spark, module, label):
     assert examples(docs.limit(0), labels.limit(0), label, 5).count() == 0
 
 
+@pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (pairwise, "quality")])
+def test_clashing_columns(spark, module, label):
+    rows = [(1, "you stupid clown", "a"), (2, "a calm line", "b"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    docs = docs.selectExpr("doc_id", "text", "score", "score as evidence", "score as merit", "score as weight", "score as line", "score as `_`")
+    labels = spark.createDataFrame([(1, 1, "x"), (2, 0, "y")], f"doc_id long, {label} int, text string")
+    scored = module.score(docs, module.learn(docs, labels, 2, 5)).collect()
+    assert len(scored) == 3 and all(0 <= r.score <= 1 and r["line"] == r["_"] for r in scored)
+
+
 def test_sample_is_bounded(tables):
     docs, labels = tables
     rows = examples(docs, labels, "toxic", 50, 3, 1)
