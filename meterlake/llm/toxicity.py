@@ -22,8 +22,8 @@ from meterlake.llm.words import Words, pieces
 
 #: Labelled rows to learn from, at most; all their words are indexed.
 MOST_EXAMPLES = 16_384
-#: Examples of a block, texts searched at once, those of them whose postings are added at once, and blocks that are searched first.
-BLOCK, TEXTS, FEW, FIRST_BLOCKS = 512, 64, 4, 2
+#: Examples of a block, texts searched at once, and blocks that are searched before the first bound is known.
+BLOCK, TEXTS, FIRST_BLOCKS = 1024, 32, 1
 #: Words of more than one in so many examples are common. They are rows of a matrix instead of postings.
 COMMON = 8
 #: Texts from this score on are toxic.
@@ -144,27 +144,31 @@ class Index:
         common = self.common[word]
         queries = np.zeros((n, self.matrix.shape[1]), np.float32)
         queries[text[common >= 0], common[common >= 0]] = weight[common >= 0]
-        start, size = self.entries[word], self.entries[word + 1] - self.entries[word]
-        entry = _ranges(start, size)
-        pair = np.repeat(text * blocks, size) + self.entry_block[entry]
-        part = np.repeat(weight, size)
-        most = np.bincount(pair, part * self.entry_most[entry], n * blocks).reshape(n, blocks)
+        edges = np.searchsorted(text, np.arange(n + 1)).tolist()
+        entries, of_block, parts, most = [], [], [], np.zeros((n, blocks))
+        # One text at a time, so that the arrays stay in the processor's cache.
+        for q, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            start = self.entries[word[a:b]]
+            size = self.entries[word[a:b] + 1] - start
+            entries.append(_ranges(start, size))
+            of_block.append(self.entry_block[entries[q]])
+            parts.append(np.repeat(weight[a:b], size))
+            most[q] = np.bincount(of_block[q], parts[q] * self.entry_most[entries[q]], blocks)
         first = np.argpartition(-most, some - 1, axis=1)[:, :some]
         wanted = np.zeros((n, blocks), bool)
         np.put_along_axis(wanted, first, True, axis=1)
         sums, cosines = np.zeros((n, blocks, block)), np.zeros((n, blocks, block), np.float32)
 
         def search(wanted: np.ndarray) -> None:
-            """Adds up the cosines of these blocks: postings for a few texts at a time, the matrix for all."""
-            here = np.flatnonzero(wanted.ravel()[pair] & (self.entry_posted[entry + 1] > self.entry_posted[entry]))
-            edges = np.searchsorted(pair[here], np.arange(0, n + FEW, FEW) * blocks)
-            for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-                if b > a:
-                    own, to = here[a:b], sums[i * FEW : (i + 1) * FEW]
-                    start, size = self.entry_posted[entry[own]], self.entry_posted[entry[own] + 1] - self.entry_posted[entry[own]]
-                    posting = _ranges(start, size)
-                    at = np.repeat((pair[own] // blocks - i * FEW) * (blocks * block), size) + self.posted[posting]
-                    to += np.bincount(at, np.repeat(part[own], size) * self.posted_weight[posting], to.size).reshape(to.shape)
+            """Adds up the cosines of these blocks: postings for each text, the matrix for all texts."""
+            for q in range(n):
+                here = np.flatnonzero(wanted[q][of_block[q]])
+                start = self.entry_posted[entries[q][here]]
+                size = self.entry_posted[entries[q][here] + 1] - start
+                posting = _ranges(start, size)
+                weights = np.repeat(parts[q][here], size)
+                weights *= self.posted_weight[posting]
+                sums[q] += np.bincount(self.posted[posting], weights, blocks * block).reshape(blocks, block)
             for b in np.flatnonzero(wanted.any(axis=0)).tolist():
                 rows = np.flatnonzero(wanted[:, b])
                 cosines[rows, b] = sums[rows, b] + queries[rows] @ self.matrix[b]
@@ -201,7 +205,9 @@ class Index:
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All numbers of the ranges, one range after the other."""
-    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    out = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    out += np.arange(len(out))
+    return out
 
 
 def _facts(vote: float, strength: float) -> np.ndarray:
