@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterlake.llm.shared import fresh
+
 #: Items of about so many bytes of text are searched for, and broadcast, in one pass.
 BLOCK_BYTES = 16 << 20
 
@@ -99,34 +101,33 @@ def find_benchmark(
     items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    out, mask = docs, "__hit_mask"
+    out, mask = docs, fresh(docs, "__hit_mask")
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
         shared = spark.sparkContext.broadcast(machines([(r.item, r.text) for r in part], window))
-        last = k == blocks - 1
+        begun, last = k > 0, k == blocks - 1
         fields = [f for f in docs.schema.fields if f.name.lower() not in added]
         extra = [T.StructField(n, t) for n, t in added.items()] if last else [T.StructField(mask, T.BinaryType()), T.StructField("items", added["items"])]
-        out = out.mapInArrow(_pass(shared, text, mask, [f.name for f in fields], last), T.StructType(fields + extra))
+        out = out.mapInArrow(_pass(shared, text, mask, [f.name for f in fields], begun, last), T.StructType(fields + extra))
     return out
 
 
-def _pass(shared, text: str, mask: str, keep: list[str], last: bool):
+def _pass(shared, text: str, mask: str, keep: list[str], begun: bool, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
         for batch in batches:
             n_words, n_hit, hits, lists = [], [], [], []
-            before = mask in batch.schema.names
             for i, value in enumerate(batch.column(text)):
                 words = folded_words(value.as_py())
                 hit, items = bytearray(len(words)), set()
-                if before:
+                if begun:
                     hit = bytearray(np.unpackbits(np.frombuffer(batch.column(mask)[i].as_py(), np.uint8), count=len(words)).tobytes())
                     items = set(batch.column("items")[i].as_py())
                 for m in found:
-                    fresh = bytearray(len(words))
-                    m.search(words, fresh, items)
-                    if any(fresh):
-                        hit = bytearray((np.frombuffer(hit, np.uint8) | np.frombuffer(fresh, np.uint8)).tobytes())
+                    own = bytearray(len(words))
+                    m.search(words, own, items)
+                    if any(own):
+                        hit = bytearray((np.frombuffer(hit, np.uint8) | np.frombuffer(own, np.uint8)).tobytes())
                 n_words.append(len(words))
                 n_hit.append(sum(hit))
                 lists.append(sorted(items, key=str.encode))

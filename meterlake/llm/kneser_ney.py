@@ -131,7 +131,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
         hashed = mix(pairs)
         order = np.argsort(hashed)
         save(folder, f"pair-{key[0].as_py()}", hashed[order])
-        save(folder, f"pcount-{key[0].as_py()}", np.minimum(n[order], (1 << 32) - 1).astype(np.uint32))
+        save(folder, f"pcount-{key[0].as_py()}", n[order].astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.uint64))
         context, word, n = (pairs >> U64(32)).astype(np.int64), (pairs & U64(0xFFFFFFFF)).astype(np.int64), n.astype(np.int64)
         at = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
         sums = [np.add.reduceat(x, at) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))]

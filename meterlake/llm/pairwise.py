@@ -9,14 +9,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterlake.llm.labelled import examples
 
-#: Bounds of what is learned from: labelled documents, and pairs made of them.
-MOST_EXAMPLES, MOST_PAIRS = 16_384, 65_536
+#: Labelled documents to learn from, at most; all pairs of a preferred and another one count.
+MOST_EXAMPLES = 16_384
+#: Preferred documents that are compared with all others in one piece of work, and pairs in memory at once.
+PART_ROWS, PAIRS_AT_ONCE = 1_024, 1 << 20
 _SYMBOLS, _MARKS = b"#*$%&|<>", b".,;:!?\"'()-"
 _CAPITALS, _SMALL, _DIGITS = bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)), b"0123456789"
 NAMES = (
@@ -70,8 +72,9 @@ def _expanded(x: np.ndarray, centre: np.ndarray, spread: np.ndarray) -> np.ndarr
 def fit(rows: DataFrame) -> Ranking:
     """Learns from rows (doc_id, text, label), of which there must be a bounded number; label 1 is preferred to 0.
 
-    Each preferred document is paired with others and the reverse, up to MOST_PAIRS, in an order fixed by a seed. Weights
-    minimise the logistic loss on feature differences, with a ridge. The threshold is the quantile of merit that parts
+    Every document of label 1 is paired with every one of label 0. Weights minimise the mean logistic loss on the feature
+    differences of all these pairs, with a ridge, by Newton steps whose sums over pairs are made by Spark tasks, each for some
+    of the preferred documents against all others. The threshold is the quantile of merit that parts
     the examples as their labels do: a share of them equal to that of label 0 lies below. With one label only, everything
     has the score of that label's share.
     """
@@ -93,16 +96,13 @@ def fit(rows: DataFrame) -> Ranking:
         p = min(max(share, 0.01), 0.99)
         return Ranking(centre, spread, np.zeros(2 * len(NAMES)), -float(np.log(p / (1 - p))), 1.0)
     z = _expanded(x, centre, spread)
-    rng = np.random.default_rng(11)
-    each = max(1, MOST_PAIRS // (len(good) + len(bad)))
-    first = np.r_[np.repeat(good, each), rng.choice(good, each * len(bad))]
-    second = np.r_[rng.choice(bad, each * len(good)), np.repeat(bad, each)]
-    d = z[first] - z[second]
-    w = np.zeros(z.shape[1])
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((z[good], z[~y]))
+    parts = -(-len(good) // PART_ROWS)
+    pairs, w = len(good) * len(bad), np.zeros(z.shape[1])
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -40, 40)))
-        gradient = d.T @ (1 - p) / len(d) - 1e-3 * w
-        hessian = d.T @ (d * (p * (1 - p))[:, None]) / len(d) + 1e-3 * np.eye(len(w))
+        gradient, hessian = _sums(spark, shared, parts, w)
+        gradient, hessian = gradient / pairs - 1e-3 * w, hessian / pairs + 1e-3 * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
         w = w + step * min(1.0, 2.0 / max(np.linalg.norm(step), 1e-12))
         if np.abs(step).max() < 1e-7:
@@ -114,6 +114,33 @@ def fit(rows: DataFrame) -> Ranking:
     return Ranking(centre, spread, w, float(threshold), 1.0)
 
 
+def pair_sums(good: np.ndarray, bad: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gradient and the negative Hessian of the log-likelihood, summed over all pairs (good, bad), by products of matrices."""
+    gradient, hessian, far = np.zeros(len(w)), np.zeros((len(w), len(w))), bad @ w
+    for i in range(0, len(good), step := max(1, PAIRS_AT_ONCE // max(1, len(bad)))):
+        part = good[i : i + step]
+        p = 1 / (1 + np.exp(-np.clip((part @ w)[:, None] - far, -40, 40)))
+        gradient += (1 - p).sum(axis=1) @ part - (1 - p).sum(axis=0) @ bad
+        p *= 1 - p
+        mixed = part.T @ (p @ bad)
+        hessian += part.T @ (part * p.sum(axis=1)[:, None]) + bad.T @ (bad * p.sum(axis=0)[:, None]) - mixed - mixed.T
+    return gradient, hessian
+
+
+def _sums(spark: SparkSession, shared, parts: int, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good, bad = shared.value
+        for batch in batches:
+            for part in batch.column("id").to_pylist():
+                gradient, hessian = pair_sums(good[part * PART_ROWS : (part + 1) * PART_ROWS], bad, w)
+                yield pa.RecordBatch.from_pylist([{"part": part, "sums": [*gradient.tolist(), *hessian.ravel().tolist()]}])
+
+    rows = spark.range(0, parts, 1, parts).mapInArrow(run, "part long, sums array<double>").collect()
+    # Always in the same order, so that reruns agree to the last bit.
+    total = np.sum([r.sums for r in sorted(rows, key=lambda r: r.part)], axis=0)
+    return total[: len(w)], total[len(w) :].reshape(len(w), len(w))
+
+
 def score(docs: DataFrame, ranking: Ranking, text: str = "text") -> DataFrame:
     """All columns of docs, and merit and score; score is at least 0.5 from the threshold on.
 

@@ -19,7 +19,8 @@ PATTERNS = {
 }
 #: Texts without these have no match of a kind.
 MARKS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-BLANK = r"[\x20\x09-\x0D]"
+BLANKS = r"\x20\x09-\x0D"
+BLANK = f"[{BLANKS}]"
 #: A word with a digit or an at sign: what may be an identifier.
 WORD = r"(?<![^\x20\x09-\x0D])[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+"
 #: Neighbouring words of digits, such as a national phone number, and an address with its sign spelt out.
@@ -57,9 +58,8 @@ def _matches(text: Column, pattern: str) -> Column:
 
 def _word(gap: Column, last: bool) -> Column:
     """The last or first word of a gap, in lower case, without what is no letter or digit at its ends."""
-    near = F.right(gap, F.lit(200)) if last else F.left(gap, F.lit(200))
-    bare = F.regexp_replace(near, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    return F.lower(F.element_at(F.split(bare, rf"{BLANK}+"), -1 if last else 1))
+    bare = F.regexp_replace(gap, r"^[^\p{L}\p{N}]++|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+    return F.lower(F.regexp_extract(bare, rf"(?<![^{BLANKS}])([^{BLANKS}]++)$" if last else rf"^([^{BLANKS}]++)", 1))
 
 
 def _digits(value: Column) -> Column:

@@ -40,3 +40,12 @@ def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_hit, r.contaminated) for r in find_benchmark(docs, bench).collect()] == [(0, False)]
     assert find_benchmark(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 8])
+def test_clashing_names(spark, block_bytes):
+    docs = spark.createDataFrame([(1, "say a b c d now", 7)], "doc_id long, text string, n_hit long")
+    docs = docs.selectExpr("doc_id", "text", "n_hit as __hit_mask", "n_hit as N_words", "n_hit as `__hit_mask_`")
+    bench = spark.createDataFrame([(1, "a b c d"), (2, "c d now"), (3, "x y")], "item_id long, text string")
+    row = find_benchmark(docs, bench, 3, block_bytes=block_bytes).first()
+    assert (row.n_words, row.n_hit, row["items"], row["__hit_mask"], row["__hit_mask_"]) == (6, 5, ["1", "2"], 7, 7)

@@ -68,3 +68,22 @@ def test_sample_is_bounded(tables):
     docs, labels = tables
     rows = examples(docs, labels, "toxic", 50, 3, 1)
     assert rows.count() == 50 and rows.where(fold(F.col("doc_id"), 3) == 1).count() == 0
+
+
+def test_ranking_is_that_of_all_pairs(spark):
+    """The loss over all pairs laid side by side is convex; its slope must vanish at the weights."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["a", "bb", "Ccc,", "dddd", "#", "7"], rng.integers(1, 30), p=p)), y) for i, (y, p) in enumerate([(1, [0.3, 0.3, 0.1, 0.2, 0.05, 0.05]), (0, [0.2, 0.2, 0.1, 0.1, 0.2, 0.2])] * 40)]
+    got = pairwise.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    x = np.array([pairwise.features(t) for _, t, _ in rows])
+    y = np.array([y for *_, y in rows], bool)
+    spread = x.std(axis=0)
+    spread[spread < 1e-9] = 1
+    z = np.clip((x - x.mean(axis=0)) / spread, -6, 6)
+    z = np.concatenate([z, z * z / 6], axis=1)
+    d = np.array([a - b for a in z[y] for b in z[~y]])
+    slope = d.T @ (1 / (1 + np.exp(d @ got.weights))) / len(d) - 1e-3 * got.weights
+    assert np.abs(slope).max() < 1e-8
+    merit = np.sort(z @ got.weights)
+    assert got.threshold == pytest.approx((merit[39] + merit[40]) / 2)
+    assert got.merit(x) == pytest.approx(z @ got.weights)

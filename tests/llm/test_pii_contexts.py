@@ -2,6 +2,10 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from meterlake.llm import pii
 from meterlake.llm.pii import find_personal_data
 from test_pii import card
 
@@ -37,3 +41,8 @@ def test_cards_with_blanks_are_seeds(spark):
     apart = lambda c: " ".join(c[i : i + 4] for i in range(0, 16, 4))
     rows = [(i, f"pay with {apart(card(rng))} now") for i in range(30)] + [(99, "pay with 6304 1234 5678 now")]
     assert found(spark, rows)[99].spans == "card:9:23"
+
+
+@pytest.mark.parametrize("last,gap,word", [(True, "x " * 300 + "Card no: ", "no"), (True, "(card) -- ", "card"), (False, " -- Now, " + "y" * 400, "now,"), (False, "z" * 400 + " a", "z" * 400), (True, "a " + "z" * 400, "z" * 400), (True, "", ""), (False, " .. ", "")])
+def test_next_word_whatever_its_length(spark, last, gap, word):
+    assert spark.createDataFrame([(gap,)], "gap string").select(pii._word(F.col("gap"), last)).first()[0] == word
