@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm import decontaminate, mixing, simhash, toxicity, training_order
-from meterlake.llm.shared import ship_package, staged
+from meterlake.llm.shared import fresh, ship_package, staged
 
 REST = "__rest"
 
@@ -15,7 +15,8 @@ def _apart(docs: DataFrame, *needed: str) -> DataFrame:
     """The needed columns, and all others in one, so that an operator's new columns replace none of them."""
     ship_package(docs.sparkSession)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
-    return docs.select(*needed, F.struct(F.lit(0).alias("_"), *others).alias(REST))
+    # A struct must have a field.
+    return docs.select(*needed, F.struct(F.lit(0).alias(fresh(docs, "_")), *others).alias(REST))
 
 
 def _together(rows: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
