@@ -22,7 +22,6 @@ from meterlake.schema import RAW_META, USAGE_COLUMNS
 from meterlake.sources import landing, samples
 from meterlake.sources.api_records import parse_api_records
 from meterlake.sources.budgets import budget_table, load_alert_fractions, load_budgets
-from meterlake.sources.files import read_manifest
 from meterlake.sources.org_reports import parse_org_reports
 from meterlake.sources.records import accepted, priced
 from meterlake.sources.session_logs import parse_session_lines
@@ -295,7 +294,7 @@ def stored_rejects(spark, folder):
 
 def file_manifest(spark, folder):
     store, _ = _ingested(spark, folder)
-    files = read_manifest(spark, store.manifest_path)
+    files = store.manifest()
     kind = F.split_part("file_path", F.lit("/"), F.lit(-3)).alias("kind")
     return files.groupBy(kind, labels.parent_directory(F.col("file_path")).alias("folder")).agg(F.count(F.lit(1)).alias("files"))
 

@@ -103,9 +103,7 @@ def ingest_source(store: UsageStore, source: FileSource, prices: PriceTable) ->
         return Ingested(source.name)
     with StagingArea(spark, f"files-{source.name}") as area:
         listed = area.stage(landed.list_files(spark, source.pattern), "listed")
-        changed = area.stage(
-            landed.changed_files(listed, landed.read_manifest(spark, store.manifest_path)), "changed"
-        )
+        changed = area.stage(landed.changed_files(listed, store.manifest()), "changed")
         added, duplicates, skipped = ingest_files(store, source, changed, prices)
         scanned = listed.count()
         return Ingested(source.name, scanned, scanned - changed.count(), added, duplicates, skipped)

@@ -43,6 +43,8 @@ USAGE_SCHEMA = T.StructType(
     ]
 )
 
+KEY_SCHEMA = T.StructType([f for f in USAGE_SCHEMA.fields if f.name in ("event_uid", "event_date")])
+
 REJECT_SCHEMA = T.StructType(
     [
         T.StructField("reject_uid", T.StringType(), False),

@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterlake.schema import MANIFEST_SCHEMA, hadoop_path, path_exists, read_or_empty
+from meterlake.schema import hadoop_path, path_exists
 from meterlake.staging import StagingArea, broadcast_if_small
 
 # Files up to this size are read as one row each, which numbers their lines
 # without a shuffle. Larger ones are read in splits.
 WHOLE_FILE_BYTES = 32 * 1024 * 1024
 
+# Up to so many files are opened by their paths, which the driver holds. More are found again by listing the
+# pattern and joining the list, with the same rows as the result.
+NAMED_FILES = 10_000
+
 # What ends a line, the longest first.
 LINE_END = r"\r\n|\n|\r"
 
+# Characters that stand for others in a path to read from.
+GLOB_CHARACTER = r"[{}\[\]*?\\]"
+
 
 def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     """``(file_path, length, modified)`` of the files under ``pattern``, contents unread."""
@@ -31,9 +39,8 @@ def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The latest entry per file."""
-    entries = read_or_empty(spark, path, MANIFEST_SCHEMA)
+def latest_entries(entries: DataFrame) -> DataFrame:
+    """The latest manifest entry per file."""
     latest = F.max_by(F.struct("length", "modified", "ingested"), F.struct("ingested", "modified", "length"))
     return entries.groupBy("file_path").agg(latest.alias("last")).select("file_path", "last.*")
 
@@ -88,6 +95,31 @@ def _numbered_large(lines: DataFrame, area: StagingArea) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Choice:
+    """Where to read: paths or patterns, and the list that their files must be on, if any."""
+
+    paths: list[str]
+    on_list: DataFrame | None = None
+
+    def chosen(self, rows: DataFrame) -> DataFrame:
+        return rows if self.on_list is None else rows.join(self.on_list, "file_path", "left_semi")
+
+
+def choose(pattern: str, files: DataFrame | None) -> Choice:
+    """How to read the listed ``files`` of a pattern; all of it without a list.
+
+    A short list names its files, so nothing else is listed, however many files the pattern matches.
+    """
+    if files is None:
+        return Choice([pattern])
+    literal = F.regexp_replace(plain_path(F.col("file_path")), GLOB_CHARACTER, r"\\$0")
+    named = [r.path for r in files.select(literal.alias("path")).distinct().limit(NAMED_FILES + 1).collect()]
+    if len(named) <= NAMED_FILES:
+        return Choice(named)
+    return Choice([pattern], broadcast_if_small(files.select("file_path")))
+
+
 def _reader(spark: SparkSession, since: dt.datetime | None) -> DataFrameReader:
     if since is None:
         return spark.read
@@ -118,10 +150,9 @@ def read_whole(
     spark: SparkSession, pattern: str, files: DataFrame | None = None, since: dt.datetime | None = None
 ) -> DataFrame:
     """``(file_path, modified, value)`` with each file's whole text."""
-    rows = _reader(spark, since).text(pattern, wholetext=True).select(*_facts(), _without_mark("value").alias("value"))
-    if files is not None:
-        rows = rows.join(broadcast_if_small(files.select("file_path")), "file_path", "left_semi")
-    return _readable(rows)
+    choice = choose(pattern, files)
+    rows = _reader(spark, since).text(choice.paths, wholetext=True)
+    return _readable(choice.chosen(rows.select(*_facts(), _without_mark("value").alias("value"))))
 
 
 def read_lines(
@@ -133,33 +164,27 @@ def read_lines(
 ) -> DataFrame:
     """``(file_path, modified, line_number, value)`` of every line.
 
-    ``files`` (a staged list) keeps only those files. ``since`` is a bound on
+    ``files`` (a staged list, not empty) keeps only those files. ``since`` is a bound on
     their modification time that lets Spark leave older files out of the scan
-    altogether; it need not be tight, because the exact choice is the join with
+    altogether; it need not be tight, because the exact choice is that of
     ``files``. Lines of large files are staged in ``area``.
     """
     spark = area.spark
+    choice = choose(pattern, files)
     reader = _reader(spark, since)
-    whole = reader.text(pattern, wholetext=True)
-    split = reader.text(pattern, wholetext=False)
     is_small = F.col("_metadata.file_size") <= whole_file_bytes
-
-    wanted = None if files is None else broadcast_if_small(files.select("file_path"))
-
-    def chosen(rows: DataFrame) -> DataFrame:
-        return rows if wanted is None else rows.join(wanted, "file_path", "left_semi")
-
-    lines = _numbered_small(chosen(whole.where(is_small).select(*_facts(), "value")))
+    whole = reader.text(choice.paths, wholetext=True).where(is_small).select(*_facts(), "value")
+    lines = _numbered_small(choice.chosen(whole))
     large_files = list_files(spark, pattern) if files is None else files
     if not large_files.where(F.col("length") > whole_file_bytes).isEmpty():
-        cut = split.where(~is_small).select(
+        cut = reader.text(choice.paths, wholetext=False).where(~is_small).select(
             *_facts(),
             F.col("_metadata.file_block_start").alias("split_start"),
             F.spark_partition_id().alias("task"),
             F.monotonically_increasing_id().alias("place"),
             "value",
         )
-        lines = lines.unionByName(_numbered_large(chosen(cut), area))
+        lines = lines.unionByName(_numbered_large(choice.chosen(cut), area))
     return _readable(lines)
 
 

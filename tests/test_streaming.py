@@ -75,11 +75,11 @@ def test_deduplicated_within_delay(spark, usage, tmp_path):
 def test_ingest_stream_fires_alerts_once(spark, prices, tmp_path):
     store = UsageStore(spark, str(tmp_path / "store"))
     source = session_log_source(str(tmp_path))
-    budgets = budget_table(spark, {"monthly": "0.01"})
+    budgets = budget_table(spark, {"monthly": "0.0001"})
 
     def run():
         streams.ingest_stream(
-            store, source, prices, str(tmp_path / "checkpoint"), budgets, lambda: at("2026-06-20"), files_per_batch=1
+            store, source, prices, str(tmp_path / "checkpoint"), budgets, lambda: at("2027-05-20"), files_per_batch=1
         ).awaitTermination()
         return store.events().count(), store.rejects().count(), store.alerts().count()
 
