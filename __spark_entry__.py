@@ -22,11 +22,12 @@ from meterlake.schema import RAW_META, USAGE_COLUMNS
 from meterlake.sources import landing, samples
 from meterlake.sources.api_records import parse_api_records
 from meterlake.sources.budgets import budget_table, load_alert_fractions, load_budgets
+from meterlake.sources.files import read_lines
 from meterlake.sources.org_reports import parse_org_reports
 from meterlake.sources.records import accepted, priced
-from meterlake.sources.session_logs import parse_session_lines
+from meterlake.sources.session_logs import log_pattern, parse_session_lines
 from meterlake.sources.pricing import load_pricing
-from meterlake.staging import new_staging_path, stage
+from meterlake.staging import StagingArea, new_staging_path, stage
 from meterlake.streaming import streams
 
 try:
@@ -317,18 +318,56 @@ def fired_alerts(spark, folder):
     return _ntz(_doubles(store.alerts().join(sent, ["scope", "calendar_key", "fraction"])), "ts")
 
 
-def ingest_stream_events(spark, folder):
-    """All files as a stream of small batches, with alerts after each."""
+def _streamed(spark, folder):
+    """A store that all files went into as a stream of small batches, with alerts after each."""
     events, root, sources, prices, limits = _landed(spark, folder)
     landing.land(root, events)
     store = UsageStore(spark, f"{root}/store")
+    fractions = load_alert_fractions(spark, f"{root}/settings")
     for source in sources:
-        query = streams.ingest_stream(store, source, prices, f"{root}/checkpoint-{source.name}", limits, lambda: BUDGET_NOW, files_per_batch=8)
-        query.awaitTermination()
-    fired = store.alerts().groupBy("scope", "period", "calendar_key", "fraction").count()
-    if fired.where("count > 1").count():
-        raise ValueError("an alert fired twice")
-    return _stored(store.events())
+        checkpoint = f"{root}/checkpoint-{source.name}"
+        streams.ingest_stream(store, source, prices, checkpoint, limits, lambda: BUDGET_NOW, fractions, files_per_batch=8).awaitTermination()
+    return store
+
+
+def ingest_stream_events(spark, folder):
+    return _stored(_streamed(spark, folder).events())
+
+
+def stream_alerts(spark, folder):
+    """Alerts that fired while files came in, each once; what was spent at that time depends on the files' order."""
+    reached = (F.col("actual") >= F.col("threshold")).alias("reached")
+    return _doubles(_streamed(spark, folder).alerts().select("scope", "period", "calendar_key", "fraction", "threshold", reached))
+
+
+def landed_lines(spark, folder):
+    """Numbers, sessions and keys of landed log lines, from files read whole and from files read in splits."""
+    events, root = _events(spark, folder), new_staging_path(spark, "landed-lines")
+    landing.land_logs(root, events)
+    pattern = log_pattern(root)
+    split_bytes = {"spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {name: spark.conf.get(name) for name in split_bytes}
+    whole = stage(read_lines(StagingArea(spark, "whole-lines"), pattern), "whole-lines")
+    try:
+        for name, size in split_bytes.items():
+            spark.conf.set(name, size)
+        split = stage(read_lines(StagingArea(spark, "split-lines"), pattern, whole_file_bytes=0), "split-lines")
+    finally:
+        for name, size in before.items():
+            spark.conf.set(name, size)
+    return _keyed_lines(whole, "whole").unionByName(_keyed_lines(split, "split"))
+
+
+def _keyed_lines(lines, reader):
+    """Drafts of lines beside the event that the line itself names. Paths differ from run to run, so the key is made again from its parts."""
+    event = F.regexp_extract("value", '"id":"m([0-9]+)"', 1)
+    named = lines.select("file_path", "line_number", F.concat_ws(":", "file_path", "line_number").alias("location"), event.alias("event"))
+    usable = F.col("reject_reason").isNull()
+    key = F.sha2(F.concat_ws("\x1f", F.lit("session_log"), F.col("file_path"), F.col("line_number").cast("string"), F.concat(F.lit("m"), "event")), 256)
+    return parse_session_lines(lines).join(named, "location").select(
+        F.lit(reader).alias("reader"), "project", "session_id", "line_number", "reject_reason",
+        F.when(usable, F.col("event")).alias("event_uid"), F.when(usable, F.col("event_uid") == key).alias("key_holds"),
+    )
 
 
 def _event_stream(spark, folder):
@@ -344,15 +383,29 @@ def tumbling_spend_stream(spark, folder):
     return _ntz(_doubles(rows), "window_start", "window_end")
 
 
-def stream_dedup(spark, folder):
-    """Every event arrives twice and is kept once, in whatever order the files are."""
-    twice = _event_stream(spark, folder).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+def _deduplicated(spark, twice, label):
     full = twice.withColumn("raw_meta", F.lit(None).cast(RAW_META)).withColumn("event_date", utc_date(F.col("ts"))).select(*USAGE_COLUMNS)
-    root = new_staging_path(spark, "stream-dedup")
+    root = new_staging_path(spark, label)
     store = UsageStore(spark, f"{root}/store")
     streams.append_stream(full, store, f"{root}/checkpoint").awaitTermination()
-    rows = store.events().select("event_uid", "ts", "model", "cost_usd")
-    return _ntz(_doubles(rows), "ts")
+    return _ntz(_doubles(store.events().select("event_uid", "ts", "model", "cost_usd")), "ts")
+
+
+def stream_dedup(spark, folder):
+    """Every event arrives twice and is kept once, in whatever order the files are."""
+    twice = _event_stream(spark, folder).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    return _deduplicated(spark, twice, "stream-dedup")
+
+
+def stream_dedup_batches(spark, folder):
+    """The two arrivals of an event lie in different batches, with merges of the key table between them."""
+    path = new_staging_path(spark, "two-arrivals")
+    for salt in (1, 2):
+        raw = spark.read.parquet(f"{folder}/events.parquet")
+        raw.repartition(5, F.xxhash64("event_id", F.lit(salt))).write.mode("append").parquet(path)
+    streams.keep_state_on_disk(spark)
+    stream = streams.read_table_stream(spark, path, files_per_batch=1)
+    return _deduplicated(spark, samples.price(samples.usage_from_events(stream), samples.sample_prices(spark)), "stream-dedup-batches")
 
 
 def burst_stream(spark, folder):
@@ -407,6 +460,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingest_stream_events": ingest_stream_events,
         "tumbling_spend_stream": tumbling_spend_stream,
         "stream_dedup": stream_dedup,
+        "stream_dedup_batches": stream_dedup_batches,
+        "stream_alerts": stream_alerts,
+        "landed_lines": landed_lines,
         "burst_stream": burst_stream,
         **LLM_QUERIES,
     }
@@ -513,12 +569,12 @@ p(period, period_key, lo, hi) AS (VALUES
 """
 
 
-def _status_cte(name: str, where: str = "true") -> str:
+def _status_cte(name: str, where: str = "true", events: str = "e") -> str:
     return f"""
 {name} AS (
   SELECT b.scope, b.project, b.period, p.period_key, b.budget, coalesce(sum(e.micros), 0)::BIGINT AS spent
   FROM b JOIN p USING (period)
-  LEFT JOIN e ON e.ts >= p.lo AND e.ts < p.hi AND (b.project IS NULL OR b.project = e.project) AND {where}
+  LEFT JOIN {events} e ON e.ts >= p.lo AND e.ts < p.hi AND (b.project IS NULL OR b.project = e.project) AND {where}
   GROUP BY ALL)"""
 
 
@@ -753,6 +809,15 @@ FROM c""",
 SELECT window_start, window_end, model, count(*) AS call_count, {USD} AS spend_usd, sum(tokens)::BIGINT AS tokens
 FROM w GROUP BY 1, 2, 3""",
         "stream_dedup": f"{EVENTS} SELECT event_uid, ts, model, micros::DOUBLE / 1e6 AS cost_usd FROM e",
+        "stream_dedup_batches": f"{EVENTS} SELECT event_uid, ts, model, micros::DOUBLE / 1e6 AS cost_usd FROM e",
+        "stream_alerts": f"""{STORED_ROWS}, paid AS (SELECT *, round(cost_usd * 1e6)::BIGINT AS micros FROM stored),
+{BUDGETS}, {_status_cte('s', events='paid')}, {_crossings_cte('c', 's')}
+SELECT scope, period, calendar_key, fraction, threshold, true AS reached FROM c""",
+        "landed_lines": f"""{EVENTS}
+SELECT reader, project, 'session-' || project AS session_id, row_number() OVER (PARTITION BY reader, project ORDER BY event_id) AS line_number,
+  CASE event_id % 50 WHEN 0 THEN 'not_a_json_object' WHEN 1 THEN 'no_usage' END AS reject_reason,
+  CASE WHEN event_id % 50 > 1 THEN event_uid END AS event_uid, CASE WHEN event_id % 50 > 1 THEN true END AS key_holds
+FROM e CROSS JOIN (VALUES ('whole'), ('split')) v(reader)""",
         "burst_stream": f"""{EVENTS}, w AS (
   SELECT date_trunc('hour', ts) - back * INTERVAL 1 HOUR AS window_start, project
   FROM e CROSS JOIN range(6) r(back) WHERE source = 'api' AND NOT is_batch)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions.calendar import utc_text
+from meterlake.schema import hadoop_path
 from meterlake.plans.ingest import FileSource, api_record_source, org_report_source
 from meterlake.sources import files as landed
 from meterlake.sources import samples
@@ -34,6 +35,20 @@ def land(root: str, events: DataFrame) -> None:
     _write_by(calls.select("project", entry.alias("value")), "project", f"{root}/calls")
 
 
+def land_logs(root: str, events: DataFrame) -> None:
+    """Log lines by number, one file for each project, where a collector leaves them: projects/<dir>/<session>.jsonl below root."""
+    spark = events.sparkSession
+    lines = samples.session_lines(events).select(F.split_part("file_path", F.lit("/"), F.lit(-2)).alias("folder"), "line_number", "value")
+    ordered = lines.repartition("folder").sortWithinPartitions("folder", "line_number")
+    ordered.drop("line_number").write.partitionBy("folder").text(f"{root}/written")
+    fs, written = hadoop_path(spark, f"{root}/written/folder=*/part-*")
+    for status in fs.globStatus(written):
+        folder = status.getPath().getParent().getName().removeprefix("folder=")
+        _, target = hadoop_path(spark, f"{root}/projects/{folder}/session-{folder.rpartition('-')[2]}.jsonl")
+        fs.mkdirs(target.getParent())
+        fs.rename(status.getPath(), target)
+
+
 def land_pages(root: str, events: DataFrame) -> None:
     """One file for each report page."""
     pages = samples.report_pages(events).select(F.col("location").alias("page"), F.col("payload").alias("value"))
