@@ -61,6 +61,14 @@ def slots_for(rows: int, per_bucket: int) -> int:
     return 1 << max(-(-rows // per_bucket) - 1, 0).bit_length()
 
 
+def level_of(rows: int, per_bucket: int) -> int:
+    """How often a 64th of a bucket must grow eightfold to have ``rows``."""
+    level, reach = 0, max(per_bucket // 64, 1) * RUNS_PER_LEVEL
+    while rows >= reach:
+        level, reach = level + 1, reach * RUNS_PER_LEVEL
+    return level
+
+
 @dataclass(frozen=True)
 class KeyedRuns:
     """A table under ``root`` with rows of ``schema``, looked up by ``key``, a text that is never null.
@@ -120,7 +128,8 @@ class KeyedRuns:
         fs.delete(old, False)
         return new
 
-    def _write(self, rows: DataFrame, count: int, level: int) -> Run:
+    def _write(self, rows: DataFrame, count: int, least_level: int = 0) -> Run:
+        level = max(least_level, level_of(count, self.rows_per_bucket))
         run = Run(uuid.uuid4().hex, count, slots_for(count, self.rows_per_bucket), level)
         (
             rows.select(*self.schema.fieldNames(), bucket_code(self.key, run.slots).alias("bucket"))
@@ -166,7 +175,7 @@ class KeyedRuns:
         now = self.snapshot()
         if now.prepared is not None:
             raise RuntimeError(f"{self.root} has rows that were prepared and neither committed nor replaced")
-        run = self._write(rows, count, 0)
+        run = self._write(rows, count)
         self._publish(Snapshot(now.number + 1, now.live, run, now.retired))
 
     def prepared_rows(self) -> DataFrame | None:
@@ -182,14 +191,14 @@ class KeyedRuns:
     def replace_prepared(self, rows: DataFrame, count: int) -> None:
         """Let ``rows`` count instead of the prepared ones."""
         now = self.snapshot()
-        live = (*now.live, self._write(rows, count, 0)) if count else now.live
+        live = (*now.live, self._write(rows, count)) if count else now.live
         self._publish(Snapshot(now.number + 1, live, None, (*now.retired, now.prepared.name)))
 
     def append(self, rows: DataFrame, count: int) -> None:
         """Add ``count`` rows, which count all at once or not at all."""
         if count:
             now = self.snapshot()
-            run = self._write(rows, count, 0)
+            run = self._write(rows, count)
             self._publish(Snapshot(now.number + 1, (*now.live, run), now.prepared, now.retired))
             self._merge()
 

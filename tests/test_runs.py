@@ -23,6 +23,17 @@ def test_slots(rows, slots):
     assert slots_for(rows, 10) == slots
 
 
+def test_a_large_run_is_not_merged_with_small_ones(spark, tmp_path):
+    table = KeyedRuns(spark, str(tmp_path / "t"), SCHEMA, "key", rows_per_bucket=64)
+    table.append(numbers(spark, 0, 1_000), 1_000)
+    large = table.snapshot().live[0]
+    for n in range(8):
+        table.append(numbers(spark, 1_000 + n, 1_001 + n), 1)
+    assert large.level == 3 and large in table.snapshot().live
+    assert [(r.level, r.rows) for r in table.snapshot().live] == [(3, 1_000), (1, 8)]
+    assert table.read().count() == 1_008
+
+
 def test_many_appends_leave_few_runs(spark, tmp_path):
     table = KeyedRuns(spark, str(tmp_path / "t"), SCHEMA, "key", rows_per_bucket=16)
     assert table.read().count() == 0 and table.stored(numbers(spark, 0, 3)).count() == 0
