@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from times import at
 from meterlake import savings_suggestions
-from meterlake.operators import rules
+from meterlake.operators import density, rules
 from meterlake.operators.density import candidate_slots, densest_window, slot_counts
 
 NOW = at("2026-06-20T12:00:00")
@@ -145,10 +145,35 @@ def test_densest_window_equals_brute_force(spark, seed):
     events = spark.createDataFrame(rows, "project string, ts timestamp")
     want = {p: brute_force([t for q, t in rows if q == p], window) for p in {p for p, _ in rows}}
     assert {r.project: r.max_in_window for r in densest_window(events, "project", 60).collect()} == want
+    for look_rows in (0, 5, 40):
+        assert {r.project: r.max_in_window for r in densest_window(events, "project", 60, look_rows=look_rows).collect()} == want
     limited = densest_window(events, "project", 60, min_calls=30)
     assert {r.project: r.max_in_window for r in limited.collect()} == {p: n for p, n in want.items() if n >= 30}
 
 
+@pytest.mark.parametrize("minutes", (1, 7, 60))
+def test_slots_are_cut_until_they_fit(spark, minutes, monkeypatch):
+    """All events in one minute, then in one instant: a look has no more rows than a cut has parts."""
+    random.seed(minutes)
+    base, seen = at("2026-06-20T00:00:00"), []
+    counts = density._part_counts
+
+    def watched(events, ends, key, window, width, part):
+        found = counts(events, ends, key, window, width, part)
+        seen.append((width // part, found.groupBy(key, "end_slot").count().agg(F.max("count")).first()[0]))
+        return found
+
+    monkeypatch.setattr(density, "_part_counts", watched)
+    burst = [base + dt.timedelta(microseconds=random.randint(0, 59_999_999)) for _ in range(4000)]
+    for times in (burst, [base] * 3000):
+        seen.clear()
+        events = spark.createDataFrame([("p", t) for t in times], "project string, ts timestamp")
+        want = brute_force(times, dt.timedelta(minutes=minutes))
+        assert [r.max_in_window for r in densest_window(events, "project", minutes, look_rows=50).collect()] == [want]
+        assert all(rows <= max(parts, 50) for parts, rows in seen[:-1]) and seen[-1][1] <= 1000
+    assert (len(seen), seen[-1][1]) == (4 if minutes > 1 else 3, 1)
+
+
 def test_most_slots_are_ruled_out(spark):
     rows = [("p", at("2026-06-01") + i * dt.timedelta(minutes=7)) for i in range(500)]
     rows += [("p", at("2026-06-02") + i * dt.timedelta(seconds=1)) for i in range(100)]
