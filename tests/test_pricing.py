@@ -1,6 +1,7 @@
 import datetime as dt
 import json
-from decimal import Decimal
+import random
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,28 @@ def test_cost_out_of_range_is_null_and_no_failure(usage):
     assert row.cost_usd is None
 
 
+def test_costs_in_64_bits_and_in_decimals(usage):
+    """Sums that fit into 64 bits, that just do not, of either sign and at half a micro-dollar, as decimals have them."""
+    random.seed(5)
+    ends = [0, 1, 3, 14, M, 2**40, 2**53 + 1, 10**18, 2**63 - 1]
+    # The first two models' input rates are 5 and 3 units of 10^-6 dollars; tokens around 2^63 of their 10^8 parts.
+    ends += [(2**63 + d) // (rate * 10**8) + e for rate in (1, 3, 5) for d in (-50_000_000, 0) for e in (-1, 0, 1)]
+    rates = {"large-a": (5, 25), "medium": (3, 15), "small": (1, 5)}
+    rows = []
+    for _ in range(400):
+        tokens = [random.choice(ends) * random.choice((1, 1, 1, -1)) if random.random() < 0.6 else random.randrange(10**5) for _ in range(4)]
+        names = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
+        ttl, batch = random.choice([None, "5m", "1h"]), random.random() < 0.5
+        rows.append({"model": random.choice(list(rates)), "cache_ttl": ttl, "is_batch": batch, **dict(zip(names, tokens))})
+    for row, priced in zip(rows, sorted(usage(*rows).collect(), key=lambda r: int(r.event_uid[1:]))):
+        into, out = map(Decimal, rates[row["model"]])
+        write = into * Decimal("2.0" if row["cache_ttl"] == "1h" else "1.25")
+        each = zip((into, out, into / 10, write), (row["input_tokens"], row["output_tokens"], row["cache_read_tokens"], row["cache_creation_tokens"]))
+        with localcontext(prec=60):
+            micros = (sum(rate * n for rate, n in each) * (Decimal("0.5") if row["is_batch"] else 1)).quantize(Decimal(1), ROUND_HALF_UP)
+            assert priced.cost_usd == (micros / M if abs(micros) < 10**18 else None), row
+
+
 def test_cost_at_other_model(usage, prices):
     events = usage({"model": "large-a", "input_tokens": M, "output_tokens": M})
     assert events.select(cost_at(prices, "small")).first()[0] == Decimal("6")
