@@ -33,25 +33,50 @@ ROUNDS, LEAST_SEEDS, CONFIDENCE = 3, 3, 0.9
 _FOUND = "array<struct<start:int,kind:int,end:int,value:string,left:string,right:string>>"
 
 
+def _blocks(items: Column) -> Column:
+    """An array in blocks of about the square root of its length, so that what looks at each block and then into few of them is no look at each pair."""
+    def cut(all_: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(all_))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(all_), F.greatest(size, F.lit(1)))
+        return F.when(F.size(all_) > 0, F.transform(starts, lambda i: F.slice(all_, i, size)))
+
+    return let(items, cut)
+
+
+def _ends(lengths: Column) -> Column:
+    """Running sums of an array of numbers.
+
+    A sum that keeps its list copies it at each step, so blocks are summed first, then each from where its block begins:
+    steps copy no more than the square root of the whole.
+    """
+    def sums(of: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out"))
+        return F.aggregate(of, start, step, lambda s: s["out"])
+
+    def all_(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x))
+        return F.flatten(F.zip_with(F.zip_with(blocks, sums(totals, F.lit(0)), lambda b, end: F.struct(b.alias("b"), end.alias("end"))), totals, lambda x, total: sums(x["b"], x["end"] - total)))
+
+    return F.coalesce(let(_blocks(lengths), all_), F.array().cast("array<int>"))
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as (before: text since the last one, value, after, start), in order.
 
-    There is no function for places, so they are summed from the lengths of what stands between matches. The sum copies
-    its list at each step, which is quadratic in the matches of one text (not in its length).
+    There is no function for places, so they are summed from the lengths of what stands between matches.
     """
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
     def placed(b: Column) -> Column:
         n = F.size(b) - 1
         each = F.zip_with(F.zip_with(F.slice(b, 1, n), found, lambda x, m: F.struct(x.alias("before"), m.alias("value"))), F.slice(b, 2, n), lambda x, y: F.struct(x["before"].alias("before"), x["value"].alias("value"), y.alias("after")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<before:string,value:string,after:string,start:int>>").alias("out"))
 
-        def step(s: Column, x: Column) -> Column:
-            at = s["at"] + F.length(x["before"])
-            one = F.struct(x["before"].alias("before"), x["value"].alias("value"), x["after"].alias("after"), at.alias("start"))
-            return F.struct((at + F.length(x["value"])).alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+        def at(all_: Column) -> Column:
+            ends = _ends(F.transform(all_, lambda x: F.length(x["before"]) + F.length(x["value"])))
+            return F.zip_with(all_, ends, lambda x, end: F.struct(x["before"].alias("before"), x["value"].alias("value"), x["after"].alias("after"), (end - F.length(x["value"])).alias("start")))
 
-        return F.aggregate(each, start, step, lambda s: s["out"])
+        return let(each, at)
 
     return let(between, placed)
 
@@ -104,6 +129,12 @@ def _shape(value: Column) -> Column:
     return F.when(card, F.concat(shape, F.when(let(value, luhn), F.lit("|valid")).otherwise(F.lit("|other")))).otherwise(shape)
 
 
+def _spanned(spans: Column) -> Column:
+    """Spans in blocks as (start, end: of all of a block, spans); none for no spans."""
+    block = lambda b: F.struct(F.array_min(b["start"]).alias("start"), F.array_max(b["end"]).alias("end"), b.alias("spans"))
+    return F.coalesce(F.transform(_blocks(spans), block), F.array())
+
+
 def _candidates(text: Column, base: Column) -> Column:
     """Words with digits, runs of them and spelt addresses that overlap no base span, as (value, start, end, left word, right word)."""
     edge = r"^[^\p{L}\p{N}+]+"
@@ -114,8 +145,9 @@ def _candidates(text: Column, base: Column) -> Column:
         return F.struct(value.alias("value"), (m["start"] + lead).alias("start"), (m["start"] + lead + F.length(value)).alias("end"), _word(m["before"], True).alias("left"), _word(m["after"], False).alias("right"))
 
     found = F.concat(*[F.when(F.regexp_like(text, F.lit(p)), F.transform(_matches(text, p), one)).otherwise(F.array().cast("array<struct<value:string,start:int,end:int,left:string,right:string>>")) for p in (WORD, RUN, SPELT)])
-    free = lambda b, c: ~F.exists(b, lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"]))
-    return let(base, lambda b: F.filter(found, lambda c: (F.length(c["value"]) > 0) & free(b, c)))
+    meets = lambda s, c: (s["start"] < c["end"]) & (s["end"] > c["start"])
+    free = lambda blocks, c: ~F.exists(blocks, lambda b: meets(b, c) & F.exists(b["spans"], lambda s: meets(s, c)))
+    return let(_spanned(base), lambda blocks: F.filter(found, lambda c: (F.length(c["value"]) > 0) & free(blocks, c)))
 
 
 def _plausible(kind: Column, value: Column) -> Column:
@@ -159,8 +191,10 @@ def _listed(spans: Column) -> Column:
 
 def _outermost(spans: Column) -> Column:
     """Spans that lie in no other; of equal ones the first."""
-    wider = lambda x, y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
-    outer = lambda all_: F.filter(all_, lambda x: ~F.exists(all_, lambda y: wider(x, y)))
+    around = lambda x, y: (y["start"] <= x["start"]) & (y["end"] >= x["end"])
+    wider = lambda x, y: around(x, y) & (y["end"] - y["start"] > x["end"] - x["start"])
+    inside = lambda x, blocks: F.exists(blocks, lambda b: around(x, b) & F.exists(b["spans"], lambda y: wider(x, y)))
+    outer = lambda all_: let(_spanned(all_), lambda blocks: F.filter(all_, lambda x: ~inside(x, blocks)))
     first = lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["start"] != x["start"]) | (F.get(all_, i - 1)["end"] != x["end"]))
     return let(let(spans, outer), first)
 

@@ -60,6 +60,14 @@ def test_odd_texts(spark):
     assert find_personal_data(docs.limit(0)).count() == 0
 
 
+def test_one_text_of_many_matches(spark):
+    """Places and overlaps are found block by block: lengths about a square number, and thousands of matches in one text."""
+    rng = random.Random(6)
+    parts = ["a@b.c", "_x@d.e and", "1.2.3.4", "256.1.1.1", "4111 1111-1111 1111", "+1 (23) 456-7890", "é 中", "1234567", "word"]
+    rows = [(n, " ".join(rng.choice(parts) for _ in range(n))) for n in [*range(1, 28), 99, 100, 101, 6000]]
+    check(rows, find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def card(rng, right=True):
     digits = [rng.randint(1, 9) for _ in range(15)]
     last = next(d for d in range(10) if luhn("".join(map(str, [*digits, d]))) == right)
