@@ -345,26 +345,18 @@ def landed_lines(spark, folder):
     events, root = _events(spark, folder), new_staging_path(spark, "landed-lines")
     landing.land_logs(root, events)
     pattern = log_pattern(root)
-    split_bytes = {"spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1k"}
-    before = {name: spark.conf.get(name) for name in split_bytes}
     whole = stage(read_lines(StagingArea(spark, "whole-lines"), pattern), "whole-lines")
-    try:
-        for name, size in split_bytes.items():
-            spark.conf.set(name, size)
-        split = stage(read_lines(StagingArea(spark, "split-lines"), pattern, whole_file_bytes=0), "split-lines")
-    finally:
-        for name, size in before.items():
-            spark.conf.set(name, size)
+    split = stage(read_lines(StagingArea(spark, "split-lines"), pattern, whole_file_bytes=0, split_bytes=16 * 1024), "split-lines")
     return _keyed_lines(whole, "whole").unionByName(_keyed_lines(split, "split"))
 
 
 def _keyed_lines(lines, reader):
     """Drafts of lines beside the event that the line itself names. Paths differ from run to run, so the key is made again from its parts."""
     event = F.regexp_extract("value", '"id":"m([0-9]+)"', 1)
-    named = lines.select("file_path", "line_number", F.concat_ws(":", "file_path", "line_number").alias("location"), event.alias("event"))
     usable = F.col("reject_reason").isNull()
     key = F.sha2(F.concat_ws("\x1f", F.lit("session_log"), F.col("file_path"), F.col("line_number").cast("string"), F.concat(F.lit("m"), "event")), 256)
-    return parse_session_lines(lines).join(named, "location").select(
+    drafts = parse_session_lines(lines, keep=("file_path", "line_number", "value")).withColumn("event", event)
+    return drafts.select(
         F.lit(reader).alias("reader"), "project", "session_id", "line_number", "reject_reason",
         F.when(usable, F.col("event")).alias("event_uid"), F.when(usable, F.col("event_uid") == key).alias("key_holds"),
     )

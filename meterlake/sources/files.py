@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
@@ -22,6 +24,9 @@ NAMED_FILES = 10_000
 # What ends a line, the longest first.
 LINE_END = r"\r\n|\n|\r"
 
+# Splits of a given size are dealt to so many tasks for each core, however many there are.
+TASKS_PER_CORE = 4
+
 # Characters that stand for others in a path to read from.
 GLOB_CHARACTER = r"[{}\[\]*?\\]"
 
@@ -64,15 +69,40 @@ def _without_mark(text: str) -> Column:
 
 def _numbered_small(files: DataFrame) -> DataFrame:
     """Lines of files that arrive whole. What follows the last line end is no line."""
-    text = F.regexp_replace(_without_mark("value"), rf"({LINE_END})\z", "")
+    text = _without_mark("value")
+    by_any_end = F.split(F.regexp_replace(text, rf"({LINE_END})\z", ""), LINE_END)
+    # A single character needs no search by a regular expression.
+    by_newline = F.split(F.when(F.endswith(text, F.lit("\n")), F.left(text, F.length(text) - 1)).otherwise(text), "\n")
+    lines = F.when(F.contains("value", F.lit("\r")), by_any_end).otherwise(by_newline)
     return (
         files.where(F.length("value") > 0)
-        .select("file_path", "modified", F.posexplode(F.split(text, LINE_END)).alias("position", "value"))
+        .select("file_path", "modified", F.posexplode(lines).alias("position", "value"))
         .select("file_path", "modified", (F.col("position") + 1).cast("long").alias("line_number"), "value")
     )
 
 
-def _numbered_large(lines: DataFrame, area: StagingArea) -> DataFrame:
+@contextmanager
+def _splits_of(spark: SparkSession, split_bytes: int | None) -> Iterator[None]:
+    """Files scanned meanwhile are cut into splits of ``split_bytes``, many of which are one task's; None leaves Spark's own."""
+    if split_bytes is None:
+        yield
+        return
+    settings = {
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
+        "spark.sql.files.openCostInBytes": str(split_bytes // 16),
+        "spark.sql.files.maxPartitionNum": str(TASKS_PER_CORE * spark.sparkContext.defaultParallelism),
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def _numbered_large(lines: DataFrame, area: StagingArea, split_bytes: int | None) -> DataFrame:
     """Lines of files that arrive in splits, numbered without moving the text.
 
     Rows keep their order inside a split, so a line's number is its place in the
@@ -80,7 +110,8 @@ def _numbered_large(lines: DataFrame, area: StagingArea) -> DataFrame:
     depends on the cores it has at that moment, so the cut lines are staged and
     counted from there. Only the counts, one row per split, are shuffled.
     """
-    lines = area.stage(lines, "split-lines")
+    with _splits_of(area.spark, split_bytes):
+        lines = area.stage(lines, "split-lines")
     split_key = ["file_path", "split_start", "task"]
     counts = lines.groupBy(*split_key).agg(F.count(F.lit(1)).alias("lines"), F.min("place").alias("first_place"))
     before = Window.partitionBy("file_path").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
@@ -161,13 +192,15 @@ def read_lines(
     files: DataFrame | None = None,
     since: dt.datetime | None = None,
     whole_file_bytes: int = WHOLE_FILE_BYTES,
+    split_bytes: int | None = None,
 ) -> DataFrame:
     """``(file_path, modified, line_number, value)`` of every line.
 
     ``files`` (a staged list, not empty) keeps only those files. ``since`` is a bound on
     their modification time that lets Spark leave older files out of the scan
     altogether; it need not be tight, because the exact choice is that of
-    ``files``. Lines of large files are staged in ``area``.
+    ``files``. Lines of large files are staged in ``area``; ``split_bytes`` is the size
+    of the splits they are read in, by default the session's.
     """
     spark = area.spark
     choice = choose(pattern, files)
@@ -184,7 +217,7 @@ def read_lines(
             F.monotonically_increasing_id().alias("place"),
             "value",
         )
-        lines = lines.unionByName(_numbered_large(choice.chosen(cut), area))
+        lines = lines.unionByName(_numbered_large(choice.chosen(cut), area, split_bytes))
     return _readable(lines)
 
 

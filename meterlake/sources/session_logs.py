@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ def log_pattern(root: str) -> str:
     return f"{root}/*/*.jsonl"
 
 
-def parse_session_lines(lines: DataFrame, dedupe_on: str = "line") -> DataFrame:
-    """Drafts from ``(file_path, modified, line_number, value)``.
+def parse_session_lines(lines: DataFrame, dedupe_on: str = "line", keep: Sequence[str] = ()) -> DataFrame:
+    """Drafts from ``(file_path, modified, line_number, value)``, with the columns of ``lines`` named by ``keep``.
 
     Two shapes occur: model, id and usage inside ``message``, or at the top. The
     key is file, line and message id; ``dedupe_on='message_id'`` leaves file and
@@ -46,13 +48,15 @@ def parse_session_lines(lines: DataFrame, dedupe_on: str = "line") -> DataFrame:
     message_id = F.coalesce(J.any_text(nested["id"]), J.any_text(flat["id"]))
 
     def tokens(key: str):
-        return J.token_count(F.try_variant_get("used", f"$.{key}", "variant"))
+        return J.token_count("used", f"$.{key}")
 
     source = F.lit(labels.SESSION_LOG)
     key = labels.event_uid(source, F.col("file_path"), F.col("line_number").cast("string"), message_id)
     if dedupe_on == "message_id":
         key = F.when(message_id.isNotNull(), labels.event_uid(source, message_id)).otherwise(key)
-    stated = F.coalesce(J.instant(record["timestamp"]), J.instant(record["ts"]))
+    # A column of its own, as it is needed twice.
+    rows = rows.withColumn("stated", F.coalesce(J.instant(record["timestamp"]), J.instant(record["ts"])))
+    stated = F.col("stated")
     reason = (
         F.when(F.trim("value") == "", "blank")
         .when(record.isNull(), "not_a_json_object")
@@ -83,4 +87,4 @@ def parse_session_lines(lines: DataFrame, dedupe_on: str = "line") -> DataFrame:
             "location": F.concat_ws(":", "file_path", "line_number"),
             "raw": F.when(reason.isNotNull(), F.col("value")),
         }
-    ).select(*DRAFT_COLUMNS)
+    ).select(*DRAFT_COLUMNS, *keep)
