@@ -20,7 +20,7 @@ from meterlake.schema import (
     read_or_empty,
 )
 from meterlake.sources.files import latest_entries
-from meterlake.staging import StagingArea
+from meterlake.staging import StagingArea, broadcast_if_small
 
 
 @dataclass(frozen=True)
@@ -89,16 +89,20 @@ class UsageStore:
                 first_per_key(events, "event_uid", ["ts", "source", "session_id"]), "unique-events"
             )
             dated, undated = unique.where("dated"), unique.where("NOT dated")
-            new = unique
+            found = []
             if not dated.isEmpty():
                 near = on_days_of(self.events().select("event_uid", "event_date"), dated, "event_date")
-                new = new.join(stored_keys(dated, near, "event_uid"), "event_uid", "left_anti")
+                found.append(stored_keys(dated, near, "event_uid"))
             if not undated.isEmpty():
-                new = new.join(self.event_keys.stored(undated), "event_uid", "left_anti")
-            # Staged before they are appended, so that counting the new events
-            # afterwards does not compare them with themselves.
-            new = area.stage(new.select(*USAGE_COLUMNS), "new-events")
-            added = new.count()
+                found.append(self.event_keys.stored(undated))
+            # The keys that were found are staged rather than the new events, which are many
+            # times as large; from then on, what is appended does not change which events are new.
+            new, added = unique.select(*USAGE_COLUMNS), unique.count()
+            for keys in found:
+                known = area.stage(keys, "known-keys")
+                count = known.count()
+                if count:
+                    new, added = new.join(broadcast_if_small(known), "event_uid", "left_anti"), added - count
             if added:
                 self.event_keys.prepare(new, added)
                 # Rebalancing splits a day that is too large for one task and joins

@@ -38,7 +38,7 @@ def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     tables ``df`` was derived from change in between.
     """
     path = path or new_staging_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
