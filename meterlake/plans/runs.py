@@ -26,6 +26,9 @@ ROWS_PER_BUCKET = 262_144
 # Up to so many buckets are named in the scan's filter; a batch that touches more reads all.
 NAMED_BUCKETS = 4_096
 
+# More keys a bucket than that leave hardly any bucket out, so all are read and the keys' buckets are not worked out.
+KEYS_PER_BUCKET = 16
+
 # Older snapshots are removed; a reader opens the latest.
 SNAPSHOTS_KEPT = 16
 
@@ -156,11 +159,13 @@ class KeyedRuns:
         return rows if self.merged is None else self.merged(rows).select(*self.schema.fieldNames())
 
     def stored(self, keys: DataFrame) -> DataFrame:
-        """The values of ``key`` in ``keys`` (staged) that the table has. Only their buckets are read."""
+        """The values of ``key`` in ``keys`` (staged) that the table has. Only their buckets are read, unless those are nearly all."""
         runs = self.snapshot().live
         slots = sorted({r.slots for r in runs})
         if not slots:
             return keys.select(self.key).limit(0)
+        if keys.count() > KEYS_PER_BUCKET * sum(slots):
+            return self._read(runs).select(self.key).join(broadcast_if_small(keys.select(self.key)), self.key, "left_semi").distinct()
         codes = F.explode(F.array(*[bucket_code(self.key, s) for s in slots]))
         wanted = keys.select(self.key, codes.alias("bucket"))
         table = self._read(runs).select(self.key, "bucket")
