@@ -58,7 +58,7 @@ def parse_api_records(records: DataFrame) -> DataFrame:
     unknown = labels.event_uid(source, F.lit("noid"), F.col("location"))
 
     def tokens(key: str):
-        return J.token_count(F.try_variant_get(record["usage"], f"$.{key}", "variant"))
+        return J.token_count(record["usage"], f"$.{key}")
 
     reason = F.when(record.isNull(), "not_a_json_object")
     return rows.withColumns(
