@@ -66,7 +66,7 @@ def _described(docs: DataFrame, common: DataFrame) -> DataFrame:
     words = F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), BLANKS)
     split = docs.withColumn("words", F.when(F.length(F.btrim("text", F.lit(" \t\n\x0b\f\r"))) > 0, words).otherwise(F.array().cast("array<string>")))
     # With two blanks between words, each word has its own blanks.
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), BLANKS, "  "), F.lit(" "))
+    spaced = F.lower(F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" ")))
     times = lambda t, w: ((F.octet_length(t) - F.octet_length(F.replace(t, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("int")
     used = let(spaced, lambda t: F.transform("common", lambda w: times(t, w)))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0)
@@ -75,7 +75,7 @@ def _described(docs: DataFrame, common: DataFrame) -> DataFrame:
         "doc_id", "lang",
         F.size("words").cast("long").alias("n_words"),
         F.length("text").cast("long").alias("n_chars"),
-        F.length(F.regexp_replace(blank, BLANKS, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         *[F.length(F.regexp_replace(blank, p, "")).cast("long").alias(n) for n, p in CLASSES.items()],
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("words")).alias("n_repeat_words"),
