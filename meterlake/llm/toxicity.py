@@ -23,9 +23,13 @@ from meterlake.llm.words import Words, pieces
 #: Labelled rows to learn from, at most; all their words are indexed.
 MOST_EXAMPLES = 16_384
 #: Examples of a block, texts searched at once, and blocks that are searched before the first bound is known.
-BLOCK, TEXTS, FIRST_BLOCKS = 1024, 32, 1
-#: Words of more than one in so many examples are common. They are rows of a matrix instead of postings.
+BLOCK, TEXTS, FIRST_BLOCKS = 1024, 64, 1
+#: Bytes of text that are looked at together, so that the arrays of their words stay small.
+PIECE_BYTES = 1 << 19
+#: Words of more than one in so many examples are common; blocks are of examples with the same common words.
 COMMON = 8
+#: Words of more than one in so many examples of a block are columns of the block's matrix instead of postings.
+DENSE = 8
 #: Texts from this score on are toxic.
 THRESHOLD = 0.7
 NEIGHBOURS, GRAM, LEAST_EXAMPLES = 15, 5, 3
@@ -38,7 +42,9 @@ _OTHER = re.compile(r"[\W_]+")
 
 def normal(text: str | None) -> str:
     """Lower case, with one blank before, between and after words."""
-    return _OTHER.sub(" ", f" {(text or '').lower()} ")
+    # Most words stand between blanks; only what holds other signs is searched for them.
+    parts = [t if t.isalnum() else _OTHER.sub(" ", t).strip() for t in (text or "").lower().split()]
+    return f" {' '.join(filter(None, parts))} " if any(parts) else " "
 
 
 def pieces_of(line: str) -> set[str]:
@@ -57,8 +63,8 @@ def counted_words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = Words(lines)
     h = words.hashes()
     text = np.repeat(np.arange(len(lines)), np.diff(words.first))
-    order = np.lexsort((h, text))
-    h, text = h[order], text[order]
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+        h[a:b].sort()
     new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])][: len(h)])
     return text[new], h[new], np.diff(np.r_[new, len(h)])
 
@@ -67,10 +73,11 @@ def counted_words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Index:
     """Where the arrays of the examples lie, and what is learned besides.
 
-    Arrays, by word: words (hashes, sorted), idf, entries (a word's entries lie from there to the next), common (row of the
-    matrix, or -1). An entry is a word in a block: entry_block, entry_most (the largest weight there), entry_posted (its
-    postings lie from there to the next; common words have none). Postings: posted (example), posted_weight. matrix: block by
-    common word by example. By example: ids, labels, rank (place by id).
+    Arrays, by word: words (hashes, sorted), idf, entries (a word's entries lie from there to the next). An entry is a word in
+    a block: entry_block, entry_most (the largest weight there), entry_posted and entry_size (where its postings lie, and how
+    many), entry_column (of words that are frequent there and have no postings: block times width of the matrix plus column;
+    -1 else). postings: example and weight, 32 bits each. matrix: block by example by column, of which a block uses its own
+    number (columns). By example: ids, labels, rank (place by id).
     """
 
     folder: str
@@ -127,65 +134,75 @@ class Index:
         computed again from the whole vectors with 64 bits, in an order that doesn't depend on the other texts.
         """
         text, word, weight = self.vectors(lines)
-        out: list[list[tuple[float, int]]] = []
-        edges = np.searchsorted(text, np.arange(0, len(lines) + TEXTS, TEXTS))
-        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            first, size = i * TEXTS, min(TEXTS, len(lines) - i * TEXTS)
-            if b > a:
-                out += self._nearest(text[a:b] - first, word[a:b], weight[a:b], size, k, but and but[first : first + size])
-            else:
-                out += [[] for _ in range(size)]
+        edges = np.searchsorted(text, np.arange(len(lines) + 1))
+        full = np.flatnonzero(np.diff(edges))
+        if not len(full):
+            return [[] for _ in lines]
+        blocks = len(self.columns)
+        own, most = {}, np.zeros((len(full), blocks))
+        # One text at a time, so that the arrays stay in the processor's cache.
+        for i, q in enumerate(full.tolist()):
+            start = self.entries[word[edges[q] : edges[q + 1]]]
+            size = self.entries[word[edges[q] : edges[q + 1]] + 1] - start
+            entry = _ranges(start, size)
+            block, part, column = self.entry_block[entry], np.repeat(weight[edges[q] : edges[q + 1]], size), self.entry_column[entry]
+            most[i] = np.bincount(block, part * self.entry_most[entry], blocks)
+            often = np.flatnonzero(column >= 0)
+            own[i] = (entry, block, part, column[often], part[often])
+        out: list[list[tuple[float, int]]] = [[] for _ in lines]
+        # Texts of one language are searched together, as they look at the same blocks.
+        alike = np.argsort(most.argmax(axis=1), kind="stable")
+        for i in range(0, len(alike), TEXTS):
+            some = alike[i : i + TEXTS]
+            found = self._nearest([own.pop(j) for j in some.tolist()], most[some], k, but and [but[q] for q in full[some].tolist()])
+            for q, near in zip(full[some].tolist(), found):
+                out[q] = near
         return out
 
-    def _nearest(self, text: np.ndarray, word: np.ndarray, weight: np.ndarray, n: int, k: int, but: list[str] | None) -> list[list[tuple[float, int]]]:
-        blocks, _, block = self.matrix.shape
+    def _nearest(self, own: list[tuple[np.ndarray, ...]], most: np.ndarray, k: int, but: list[str] | None) -> list[list[tuple[float, int]]]:
+        """own: for each text the entries of its words, their blocks and weights; the columns of the frequent ones and their weights."""
+        n, blocks = most.shape
+        _, block, width = self.matrix.shape
         rank = min(self.n, k + (but is not None))
         some = min(blocks, max(FIRST_BLOCKS, -(-rank // block)))
-        common = self.common[word]
-        queries = np.zeros((n, self.matrix.shape[1]), np.float32)
-        queries[text[common >= 0], common[common >= 0]] = weight[common >= 0]
-        edges = np.searchsorted(text, np.arange(n + 1)).tolist()
-        entries, of_block, parts, most = [], [], [], np.zeros((n, blocks))
-        # One text at a time, so that the arrays stay in the processor's cache.
-        for q, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            start = self.entries[word[a:b]]
-            size = self.entries[word[a:b] + 1] - start
-            entries.append(_ranges(start, size))
-            of_block.append(self.entry_block[entries[q]])
-            parts.append(np.repeat(weight[a:b], size))
-            most[q] = np.bincount(of_block[q], parts[q] * self.entry_most[entries[q]], blocks)
+        columns = self.columns.tolist()
+        queries = np.zeros((n, blocks * width), np.float32)
+        for q, (_, _, _, column, part) in enumerate(own):
+            queries[q, column] = part
+        queries = queries.reshape(n, blocks, width)
         first = np.argpartition(-most, some - 1, axis=1)[:, :some]
         wanted = np.zeros((n, blocks), bool)
         np.put_along_axis(wanted, first, True, axis=1)
-        sums, cosines = np.zeros((n, blocks, block)), np.zeros((n, blocks, block), np.float32)
+        sums, cosines = np.zeros((n, blocks * block)), np.zeros((n, blocks, block), np.float32)
 
         def search(wanted: np.ndarray) -> None:
             """Adds up the cosines of these blocks: postings for each text, the matrix for all texts."""
-            for q in range(n):
-                here = np.flatnonzero(wanted[q][of_block[q]])
-                start = self.entry_posted[entries[q][here]]
-                size = self.entry_posted[entries[q][here] + 1] - start
-                posting = _ranges(start, size)
-                weights = np.repeat(parts[q][here], size)
-                weights *= self.posted_weight[posting]
-                sums[q] += np.bincount(self.posted[posting], weights, blocks * block).reshape(blocks, block)
+            for q, (entry, of_block, part, _, _) in enumerate(own):
+                here = np.flatnonzero(wanted[q][of_block])
+                start = self.entry_posted[entry[here]]
+                size = self.entry_size[entry[here]]
+                posting = self.postings[_ranges(start, size)]
+                weights = np.repeat(part[here], size)
+                weights *= posting.view(np.float32)[1::2]
+                sums[q] += np.bincount(posting.view(np.int32)[::2], weights, blocks * block)
             for b in np.flatnonzero(wanted.any(axis=0)).tolist():
                 rows = np.flatnonzero(wanted[:, b])
-                cosines[rows, b] = sums[rows, b] + queries[rows] @ self.matrix[b]
+                cosines[rows, b] = sums[rows, b * block : (b + 1) * block] + queries[rows, b, : columns[b]] @ self.matrix[b][:, : columns[b]].T
 
         search(wanted)
         known = np.take_along_axis(cosines, first[:, :, None], axis=1).reshape(n, some * block)
         least = np.partition(known, known.shape[1] - rank, axis=1)[:, known.shape[1] - rank]
         search((most >= least[:, None] - CLOSE) & (most > 0) & ~wanted)
-        sums, cosines = sums.reshape(n, blocks * block), cosines.reshape(n, blocks * block)
+        cosines = cosines.reshape(n, blocks * block)
         out = []
         for q in range(n):
             at = np.flatnonzero(cosines[q] >= max(least[q] - CLOSE, 1e-12))
             if len(at) > rank:
                 there = cosines[q, at]
                 at = at[there >= np.partition(there, len(there) - rank)[len(there) - rank] - CLOSE]
-            rows = np.flatnonzero(queries[q])
-            exact = sums[q, at] + (self.matrix[at[:, None] // block, rows, at[:, None] % block] * queries[q, rows].astype(float)).sum(axis=1)
+            whole = np.zeros(blocks * width)
+            whole[own[q][3]] = own[q][4]
+            exact = sums[q, at] + (self.matrix[at // block, at % block] * whole.reshape(blocks, width)[at // block]).sum(axis=1)
             best = np.lexsort((self.rank[at], -exact))
             if but is not None:
                 best = best[self.ids[at[best]] != but[q]]
@@ -275,51 +292,64 @@ def _write_index(folder: str, rows: pa.Table, size_of_block: int) -> None:
     """Writes the arrays of the index for examples (doc_id, toxic, hashes, counts), which are at most MOST_EXAMPLES."""
     n = rows.num_rows
     ids = rows.column("doc_id").to_pylist()
+    labels = np.array(rows.column("toxic").to_pylist(), float)
     by_id = np.array(sorted(range(n), key=lambda i: ids[i]), np.int64)
     flat = [rows.column(c).combine_chunks() for c in ("hashes", "counts")]
     size = np.diff(flat[0].offsets.to_numpy())
-    h, count = flat[0].flatten().to_numpy().view(np.uint64), flat[1].flatten().to_numpy()
-    words, word = np.unique(h, return_inverse=True)
+    words, word = np.unique(flat[0].flatten().to_numpy().view(np.uint64), return_inverse=True)
+    word = word.astype(np.int32)
     have = np.bincount(word, minlength=len(words))
     # A word that all examples have tells next to nothing, but a text of such words alone has neighbours too.
     idf = np.log((n + 1) / (have + 0.5))
-    example = np.repeat(np.arange(n), size)
-    weight = (1 + np.log(count)) * idf[word]
+    example = np.repeat(np.arange(n, dtype=np.int32), size)
+    weight = (1 + np.log(flat[1].flatten().to_numpy())) * idf[word]
     weight /= np.sqrt(np.bincount(example, weight * weight, n))[example]
-    common = np.full(len(words), -1, np.int64)
+    del flat
     often = np.flatnonzero(have * COMMON > n)
+    common = np.full(len(words), -1, np.int32)
     common[often] = np.arange(len(often))
     table = np.zeros((n, len(often)), np.float32)
     dense = common[word] >= 0
     table[example[dense], common[word[dense]]] = weight[dense]
     order = _alike(table, by_id, size_of_block)
-    place = np.empty(n, np.int64)
+    del table, dense
+    place = np.empty(n, np.int32)
     place[order] = np.arange(n)
     example = place[example]
+    # Words come first, then blocks, which lie one after the other: one number orders both.
+    by = np.argsort(word.astype(np.int64) * n + example)
+    word, example, weight = word[by], example[by], weight[by]
+    del by
     block = example // size_of_block
-    by = np.lexsort((example, block, word))
-    word, block, example, weight, dense = word[by], block[by], example[by], weight[by], dense[by]
     new = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])])
-    most = np.maximum.reduceat(weight, new)
-    posted = np.add.reduceat((~dense).astype(np.int64), new)
+    entry_block, entry_word = block[new], word[new]
+    number = np.diff(np.r_[new, len(word)])
+    frequent = number > max(1, size_of_block // DENSE)
     blocks = -(-n // size_of_block)
-    matrix = np.zeros((blocks * size_of_block, len(often)), np.float32)
-    matrix[:n] = table[order]
+    columns = np.bincount(entry_block[frequent], minlength=blocks)
+    matrix = np.zeros((blocks, size_of_block, int(columns.max())), np.float32)
+    column = np.full(len(new), -1, np.int32)
+    for b in range(blocks):
+        column[frequent & (entry_block == b)] = np.arange(columns[b]) + b * matrix.shape[2]
+    dense = np.repeat(frequent, number)
+    matrix[block[dense], example[dense] % size_of_block, np.repeat(column, number)[dense] % max(1, matrix.shape[2])] = weight[dense]
+    save(folder, "matrix", matrix)
+    del matrix
     rank = np.empty(n, np.int64)
     rank[by_id] = np.arange(n)
     arrays = {
         "words": words,
         "idf": idf,
-        "common": common,
-        "entries": np.searchsorted(word[new], np.arange(len(words) + 1)),
-        "entry_block": block[new].astype(np.int32),
-        "entry_most": most,
-        "entry_posted": np.concatenate([[0], np.cumsum(posted)]),
-        "posted": example[~dense].astype(np.int32),
-        "posted_weight": weight[~dense].astype(np.float32),
-        "matrix": np.ascontiguousarray(matrix.reshape(blocks, size_of_block, len(often)).transpose(0, 2, 1)),
+        "entries": np.searchsorted(entry_word, np.arange(len(words) + 1)),
+        "entry_block": entry_block,
+        "entry_most": np.maximum.reduceat(weight, new),
+        "entry_posted": np.cumsum(np.where(frequent, 0, number)) - np.where(frequent, 0, number),
+        "entry_size": np.where(frequent, 0, number),
+        "entry_column": column,
+        "columns": columns,
+        "postings": np.stack([example[~dense], weight[~dense].astype(np.float32).view(np.int32)], axis=1).view(np.int64).ravel(),
         "ids": np.array([str(ids[i]) for i in order]),
-        "labels": np.array(rows.column("toxic").to_pylist(), float)[order],
+        "labels": labels[order],
         "rank": rank[order],
     }
     for name, array in arrays.items():
@@ -365,7 +395,7 @@ def fit(rows: DataFrame, block: int = BLOCK) -> Index:
         key = rows.schema["doc_id"].dataType.simpleString()
 
         def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (piece for whole in batches for piece in pieces(whole, "line", PIECE_BYTES)):
                 text, h, count = counted_words(batch.column("line"))
                 edges = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (h.view(np.int64), count.astype(np.int32))]
@@ -383,7 +413,7 @@ def fit(rows: DataFrame, block: int = BLOCK) -> Index:
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "line"):
+            for batch in pieces(whole, "line", PIECE_BYTES):
                 lines = batch.column("line").to_pylist()
                 near = index.nearest(lines, NEIGHBOURS, [str(i) for i in batch.column("doc_id").to_pylist()])
                 votes = pa.array([index.vote(x) if x else None for x in near], pa.float64())
@@ -436,7 +466,7 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, text):
+            for batch in pieces(whole, text, PIECE_BYTES):
                 lines = [normal(t.as_py()) for t in batch.column(text)]
                 near = index.nearest(lines, NEIGHBOURS)
                 scores = [index.score(x, s) for x, s in zip(near, index.strengths(lines))]
