@@ -260,13 +260,16 @@ def _landed(spark, folder):
 
 
 def _ingested(spark, folder):
-    """Even events land and are ingested; then odd ones land in the same folders, and only their files are read."""
+    """Even events land and are ingested; then odd ones land in the same folders, and only their files are read.
+
+    A source that fails is an error of the query, whose rows would lack that source's otherwise.
+    """
     events, root, sources, prices, limits = _landed(spark, folder)
     store = UsageStore(spark, f"{root}/store")
     reports = []
     for part in (0, 1):
         landing.land(root, events.where(F.col("event_uid").cast("bigint") % 2 == part))
-        reports.append(ingest(store, sources, prices).withColumn("run", F.lit(part + 1).cast("bigint")))
+        reports.append(ingest(store, sources, prices, strict=True).withColumn("run", F.lit(part + 1).cast("bigint")))
     return store, reports[0].unionByName(reports[1])
 
 

@@ -25,6 +25,9 @@ from meterlake.staging import StagingArea
 
 LOG = logging.getLogger(__name__)
 
+# The name of the alert step among the sources of a report; it is there only when the step failed.
+ALERT_STEP = "alerts"
+
 
 @dataclass(frozen=True)
 class FileSource:
@@ -67,17 +70,33 @@ def org_report_source(pattern: str) -> FileSource:
 
 @dataclass(frozen=True)
 class Ingested:
-    """What one source gave: files that match and those of them unchanged, events added and found again, records rejected."""
+    """What one source gave: files that match and those of them unchanged, events added and found again, records rejected.
+
+    Of a step that failed only the error is known, as it may have stored rows before: its numbers are None, not 0.
+    """
 
     source: str
-    files_scanned: int = 0
-    files_unchanged: int = 0
-    rows_added: int = 0
-    duplicates: int = 0
-    records_skipped: int = 0
+    files_scanned: int | None = 0
+    files_unchanged: int | None = 0
+    rows_added: int | None = 0
+    duplicates: int | None = 0
+    records_skipped: int | None = 0
     error: str | None = None
 
 
+class IngestFailed(RuntimeError):
+    """Steps of an ingest failed, the others are done; ``errors`` are the failed steps' names and what they raised."""
+
+    def __init__(self, errors: Sequence[tuple[str, Exception]]) -> None:
+        super().__init__("\n".join(f"{step} failed: {_error_text(error)}" for step, error in errors))
+        self.errors = list(errors)
+
+
+def _error_text(error: Exception) -> str:
+    """Never empty, whatever was raised."""
+    return f"{type(error).__name__}: {error}"
+
+
 def ingest_files(store: UsageStore, source: FileSource, files: DataFrame, prices: PriceTable) -> tuple[int, int, int]:
     """Ingest the given (staged) files; returns rows added, duplicates and records skipped.
 
@@ -118,29 +137,42 @@ def ingest(
     fractions: Sequence = DEFAULT_FRACTIONS,
     outbox: bool = False,
     count_stored: bool = True,
+    strict: bool = False,
 ) -> DataFrame:
     """Ingest all sources, then fire budget alerts; returns the report.
 
-    A source that fails is reported with its error and does not stop the others;
-    neither does the alert step. ``count_stored=False`` leaves out the number of
-    stored events, which opens the footer of every stored file.
+    A source that fails does not stop the others; neither does the alert step. What failed has
+    its error in the report and no numbers, the alert step as a source ``alerts``. With ``strict``
+    it is raised as ``IngestFailed`` when all else is done, so that a store that lacks
+    rows is not taken for a whole one.
+
+    ``count_stored=False`` leaves out the number of stored events, which opens the footer of every stored file.
     """
     before = store.events().count() if count_stored else None
-    results = []
+    results, errors = [], []
     for source in sources:
         try:
             results.append(ingest_source(store, source, prices))
         except Exception as error:
             LOG.exception("source %s failed", source.name)
-            results.append(Ingested(source.name, error=str(error)))
+            errors.append((source.name, error))
+            results.append(_failed(source.name, error))
     if budgets is not None:
         try:
             fire_alerts(store, budgets, now or dt.datetime.now(dt.timezone.utc), fractions, outbox)
-        except Exception:
+        except Exception as error:
             LOG.exception("alert step failed")
+            errors.append((ALERT_STEP, error))
+            results.append(_failed(ALERT_STEP, error))
+    if strict and errors:
+        raise IngestFailed(errors) from errors[0][1]
     return _report(store, results, before)
 
 
+def _failed(step: str, error: Exception) -> Ingested:
+    return Ingested(step, None, None, None, None, None, _error_text(error))
+
+
 def _report(store: UsageStore, results: Sequence[Ingested], before: int | None) -> DataFrame:
     columns: Mapping[str, pa.DataType] = {
         "source": pa.string(),
@@ -154,8 +186,12 @@ def _report(store: UsageStore, results: Sequence[Ingested], before: int | None)
     table = pa.table(
         {name: [getattr(r, name) for r in results] for name in columns}, schema=pa.schema(list(columns.items()))
     )
-    added = sum(r.rows_added for r in results)
-    stored = F.lit(before).cast("bigint")
+    if before is None:
+        after = None
+    elif any(r.rows_added is None for r in results):
+        after = store.events().count()
+    else:
+        after = before + sum(r.rows_added for r in results)
     return store.spark.createDataFrame(table).withColumns(
-        {"events_before": stored, "events_after": stored + F.lit(added)}
+        {"events_before": F.lit(before).cast("bigint"), "events_after": F.lit(after).cast("bigint")}
     )
